@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobasket.operators.resolve import follow_links
+from cobasket.staging import stage
 
 
 def last_writer(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -33,28 +34,56 @@ def overlay(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
     return last_writer(both, keys, [F.col("_side")]).select(*local.columns)
 
 
+def _closing_edges(loop: DataFrame, size: int) -> DataFrame:
+    """The last-made edge of every cycle: ``loop(src, dst, ord)`` holds cycle edges only."""
+    ahead, hops = loop.select("src", "dst", F.col("ord").alias("latest")), 1
+    while hops < size:
+        step = ahead.select(F.col("src").alias("dst"), F.col("dst").alias("_to"), F.col("latest").alias("_l"))
+        ahead = stage(
+            ahead.join(step, "dst").select(
+                "src", F.col("_to").alias("dst"), F.greatest("latest", "_l").alias("latest")
+            ),
+            "closing",
+        )
+        hops *= 2
+    return loop.join(ahead.select("src", "latest"), "src").where(F.col("ord") == F.col("latest")).select("src")
+
+
 def compact_merges(proposed: DataFrame, existing: DataFrame, deleted: DataFrame):
-    """Fold proposed merges into a chain-free map.
+    """Fold proposed merges, in the order of ``ord``, into a chain-free map.
 
-    Targets are resolved to their end and earlier merges into a new source are
-    re-pointed. Returns ``(accepted(src, tgt), rejected(src, tgt))``; a self-merge,
-    a cycle or a deleted end is rejected and the earlier map stays as it was.
+    ``proposed(src, tgt, ord)``, ``existing(src, tgt)``. Targets are resolved to
+    their end and earlier merges into a new source are re-pointed. A proposal that
+    reaches a deleted name or closes a cycle is rejected and the earlier map of its
+    source stays. Returns ``(map(src, tgt), rejected(src, tgt))``.
     """
-    columns = ["src", "tgt"]
-    existing = existing.select(*columns)
     gone = deleted.select(F.col("item").alias("_end"), F.lit(True).alias("_gone")).distinct()
-
-    def ends(links: DataFrame) -> DataFrame:
-        done = follow_links(links.select("src", F.col("tgt").alias("dst")))
-        return done.select("src", F.col("dst").alias("_end"), "cyclic")
-
-    combined = overlay(proposed.select(*columns), existing, ["src"])
-    judged = ends(combined).join(gone, "_end", "left")
-    bad = judged.where(F.col("cyclic") | F.col("_gone").isNotNull()).select("src")
-    rejected = proposed.select(*columns).join(bad, "src", "left_semi")
-    fine = proposed.select(*columns).join(bad, "src", "left_anti")
-    final = ends(overlay(fine, existing, ["src"]))
-    return final.select("src", F.col("_end").alias("tgt")), rejected
+    base = existing.select("src", "tgt", F.lit(-1).cast("long").alias("ord"))
+    latest = last_writer(proposed.select("src", "tgt", F.col("ord").cast("long").alias("ord")), ["src"], [F.col("ord")])
+    refused = latest.where(F.col("src") == F.col("tgt")).select("src").unionByName(
+        latest.join(gone.select(F.col("_end").alias("tgt")), "tgt", "left_semi").select("src")
+    ).distinct()
+    while True:
+        fine = stage(latest.join(refused, "src", "left_anti"), "fine")
+        links = stage(
+            overlay(fine, base, ["src"]).select("src", F.col("tgt").alias("dst"), "ord"), "links"
+        )
+        ends = stage(follow_links(links).join(gone.withColumnRenamed("_end", "dst"), "dst", "left"), "ends")
+        loop = links.join(
+            ends.where(F.col("cyclic") & (F.col("src") == F.col("dst"))).select("src"), "src", "left_semi"
+        )
+        size = loop.count()
+        bad = fine.join(ends.where("_gone").select("src"), "src", "left_semi").select("src")
+        if size:
+            bad = bad.unionByName(_closing_edges(loop, size)).join(fine.select("src"), "src", "left_semi")
+        bad = stage(bad.distinct(), "bad")
+        if bad.isEmpty():
+            break
+        refused = stage(refused.unionByName(bad).distinct(), "refused")
+    return (
+        ends.where(~F.col("cyclic")).select("src", F.col("dst").alias("tgt")),
+        latest.join(refused, "src", "left_semi").select("src", "tgt"),
+    )
 
 
 def apply_asset_changes(changes: DataFrame, manifest: DataFrame, overrides: DataFrame, credits: DataFrame):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +9,7 @@ from cobasket.functions.display import lookup
 from cobasket.operators.graph import quartiles_lower
 from cobasket.operators.resolve import resolve_base
 from cobasket.params import DEFAULTS, Params
+from cobasket.staging import stage
 
 # Scores are rounded before they decide an order, so that the order does not hang
 # on the last bit of a floating-point sum.
@@ -60,7 +59,8 @@ def candidate_features(
     candidates and the selected items themselves go through one aggregation, which
     both sums the scores and drops what is already selected.
     """
-    selections = selections.select("sel_id", "item").distinct()
+    # Read three times below.
+    selections = stage(selections.select("sel_id", "item").distinct(), "selections")
     reached = selections.join(edges.select("item", "partner", "score"), "item").select(
         "sel_id", F.col("partner").alias("item"), F.col("score").cast("long").alias("score"), F.lit(1).alias("hit")
     )
@@ -78,7 +78,9 @@ def candidate_features(
             "cats", F.array().cast("array<string>")
         )
     else:
-        tagged_items = taxonomy.select("item", "category").join(resolve_base(taxonomy), "item")
+        tagged_items = stage(
+            taxonomy.select("item", "category").join(resolve_base(taxonomy), "item"), "tags"
+        )
         picked = selections.join(tagged_items, "item", "left").withColumn(
             "root", F.coalesce("root", "item")
         )

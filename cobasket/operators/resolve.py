@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cobasket.staging import stage
+from cobasket.staging import stage, stage_counting
 
 
 def _double(links: DataFrame) -> DataFrame:
@@ -37,8 +37,10 @@ def follow_links(links: DataFrame) -> DataFrame:
     # While chains of depth > 2^k are left, some chain has a node that ends exactly
     # in this round; a round that ends nothing new leaves only cycles.
     while True:
-        current = stage(_double(current.select("src", "dst")), "links")
-        still_open = current.where("open").count()
+        current, seen = stage_counting(
+            _double(current.select("src", "dst")), "links", open=F.count_if(F.col("open"))
+        )
+        still_open = seen["open"]
         if still_open == 0:
             return current.select("src", "dst", F.lit(False).alias("cyclic"))
         if still_open == pending:

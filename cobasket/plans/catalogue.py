@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from cobasket.plans import graph_queries  # noqa: F401
+from cobasket.plans import curation_queries, graph_queries, rank_queries  # noqa: F401
 from cobasket.plans.registry import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]

@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
 
@@ -39,3 +39,10 @@ def stage(df: DataFrame, label: str = "t") -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_counting(df: DataFrame, label: str = "t", **metrics: Column) -> tuple[DataFrame, dict]:
+    """``stage`` that also returns aggregates taken while the rows are written."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *[c.alias(name) for name, c in metrics.items()]), label)
+    return staged, seen.get
