@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from cobasket.plans import curation_queries, graph_queries, rank_queries  # noqa: F401
+from cobasket.plans import (  # noqa: F401
+    asset_queries,
+    corpus_queries,
+    curation_queries,
+    eval_queries,
+    graph_queries,
+    rank_queries,
+)
 from cobasket.plans.registry import QUERIES, TWINS
 
 __all__ = ["QUERIES", "TWINS"]

@@ -126,10 +126,10 @@ def read_wide_csv(spark: SparkSession, path: str, source: str = "wide") -> DataF
 
 def read_long_csv(
     spark: SparkSession, path: str, url_key: str = "url", title_key: str = "recette", item_key: str = "ingredients"
-) -> DataFrame:
-    """One row per line item; rows of a url form a record, its first title holds."""
+) -> tuple[DataFrame, DataFrame]:
+    """One row per line item; rows of a url form a record. Returns heads and lines."""
     csv = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return group_lines(
+    return split_lines(
         csv.select(
             F.monotonically_increasing_id().alias("ord"), F.trim(F.coalesce(url_key, F.lit(""))).alias("url"),
             F.trim(F.coalesce(title_key, F.lit(""))).alias("title"), F.coalesce(item_key, F.lit("")).alias("line"),
@@ -137,17 +137,29 @@ def read_long_csv(
     )
 
 
-def group_lines(rows: DataFrame) -> DataFrame:
-    """``rows(ord, url, title, line)`` -> ``(src_ord, url, title, lines)``."""
-    return (
-        rows.where(F.col("url") != "")
-        .groupBy("url")
-        .agg(
-            F.min("ord").alias("src_ord"), F.min_by("title", "ord").alias("title"),
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", "line"))), lambda x: x["line"]).alias("lines"),
-        )
+def split_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows(ord, url, title, line)`` -> record heads and their lines.
+
+    ``(basket_id, src_ord, title, url)`` with the first title of each url, and
+    ``(basket_id, pos, line)``. Lines stay rows, so a record of any length is fine.
+    """
+    keyed = rows.where(F.col("url") != "").withColumnRenamed("url", "basket_id")
+    heads = (
+        keyed.groupBy("basket_id")
+        .agg(F.min("ord").alias("src_ord"), F.min_by("title", "ord").alias("title"))
         .where(F.col("title") != "")
-        .select("src_ord", normalise_url(F.col("url")).alias("url"), "title", "lines")
+        .select("basket_id", "src_ord", "title", normalise_url(F.col("basket_id")).alias("url"))
+    )
+    lines = keyed.select("basket_id", F.col("ord").alias("pos"), "line").join(
+        heads.select("basket_id"), "basket_id", "left_semi"
+    )
+    return heads, lines
+
+
+def parsed_lines(lines: DataFrame, **lists) -> DataFrame:
+    """``(basket_id, pos, line)`` -> ``(basket_id, pos, phrase)`` without empty phrases."""
+    return lines.select("basket_id", "pos", parse_line(F.col("line"), **lists).alias("phrase")).where(
+        F.col("phrase") != ""
     )
 
 
