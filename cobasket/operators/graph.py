@@ -83,54 +83,81 @@ def incidence(basket_items: DataFrame, label: str = "incidence") -> Incidence:
     return Incidence(rows, int(n), int(largest))
 
 
-def _pairs_in_arrays(baskets: DataFrame) -> DataFrame:
-    """``baskets(items array<struct<item,n>>, sorted)`` -> one row per pair a < b."""
-    spread = baskets.select("items", F.posexplode("items").alias("i", "a"))
-    tail = F.slice(F.col("items"), F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0)))
-    return spread.select("a", F.explode(tail).alias("b"))
+def _number_items(inc: Incidence, params: Params) -> DataFrame:
+    """Frequent items ``(id, item, n)``; the ids are unique, in no particular order."""
+    frequent = inc.rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(
+        F.col("n") >= params.min_item_freq
+    )
+    return stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
+
 
+def _light_counts(rows: DataFrame, params: Params) -> DataFrame:
+    """``rows(basket_id, id, n)`` of baskets of usual size -> ``(a, b, n_ab)``.
 
-def _count_pairs(pairs: DataFrame) -> DataFrame:
-    # The item counts depend on the names, so carrying them in the key costs no
-    # extra groups and saves two joins afterwards.
-    return pairs.groupBy(
-        F.col("a.item").alias("a"), F.col("b.item").alias("b"),
-        F.col("a.n").alias("n_a"), F.col("b.n").alias("n_b"),
-    ).agg(F.count(F.lit(1)).alias("n_ab"))
+    A basket is one array, rarest item first. Each item takes the more frequent items
+    after it along as one array, and these travel to the item's partition, where the
+    pairs are formed and counted in place. So a shuffled row stands for many pairs,
+    no pair is shuffled, and the most frequent items have the shortest arrays. An item
+    in very many baskets is split: part c of it holds the partners of remainder c.
+    """
+    arrays = rows.groupBy("basket_id").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("items"))
+    spread = arrays.select("items", F.posexplode("items").alias("i", "a")).where(F.col("i") + 1 < F.size("items"))
+    tail = F.transform(
+        F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0))), lambda x: x["id"]
+    )
+    parts = F.ceil(F.col("a.n") / F.lit(params.hot_item_baskets))
+    tails = spread.select(F.col("a.id").alias("a"), parts.alias("k"), tail.alias("tail")).select(
+        "a", "k", "tail", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("c")
+    )
+    mine = F.when(F.col("k") == 1, F.col("tail")).otherwise(
+        F.filter("tail", lambda b: F.pmod(b, F.col("k")) == F.col("c"))
+    )
+    return (
+        tails.select("a", "c", mine.alias("tail"))
+        .repartition("a", "c")
+        .select("a", "c", F.explode("tail").alias("b"))
+        .groupBy("a", "c", "b")
+        .agg(F.count(F.lit(1)).alias("n_ab"))
+        .select("a", "b", "n_ab")
+    )
 
 
 def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
     """Pairs of frequent items with enough common baskets: ``(a, b, n_a, n_b, n_ab)``, a < b.
 
-    Rare items go before any pair is formed. Baskets of usual size are one array
-    per row, and pairs are counted map-side while they are generated. Oversized
-    baskets take ``_heavy_pair_counts``, which gives the same counts without one
-    task ever holding such a basket.
+    Rare items go before any pair is formed. Oversized baskets take ``_add_heavy``,
+    which gives the same counts without one task ever holding such a basket.
     """
-    frequent = inc.rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= params.min_item_freq
-    )
-    kept = inc.rows.join(frequent, "item")
+    numbered = _number_items(inc, params)
+    kept = inc.rows.join(numbered, "item").select("basket_id", "id", "n")
     if inc.largest <= params.light_basket_items:
-        light, heavy = kept, None
+        counted = _light_counts(kept, params)
     else:
-        kept = stage(kept, "frequent")
+        kept = stage(kept, "kept")
         sizes = kept.groupBy("basket_id").count()
         big = stage(
-            sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "heavy"
+            sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "big"
         )
-        light, heavy = kept.join(big, "basket_id", "left_anti"), kept.join(big, "basket_id", "left_semi")
-    arrays = light.groupBy("basket_id").agg(
-        F.sort_array(F.collect_list(F.struct("item", "n"))).alias("items")
+        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), params)
+        heavy = stage(kept.join(big, "basket_id", "left_semi").select("basket_id", "id"), "heavy")
+        if not heavy.isEmpty():
+            counted = _add_heavy(counted, heavy, params)
+    enough = counted.where(F.col("n_ab") >= params.min_support)
+    one = numbered.select(F.col("id").alias("a"), F.col("item").alias("item_a"), F.col("n").alias("n_a"))
+    two = numbered.select(F.col("id").alias("b"), F.col("item").alias("item_b"), F.col("n").alias("n_b"))
+    named = enough.join(one, "a").join(two, "b")
+    forward = F.col("item_a") < F.col("item_b")
+    first, second = F.struct("item_a", "n_a"), F.struct(F.col("item_b").alias("item_a"), F.col("n_b").alias("n_a"))
+    return named.select(
+        F.when(forward, first).otherwise(second).alias("x"), F.when(forward, second).otherwise(first).alias("y"), "n_ab"
+    ).select(
+        F.col("x.item_a").alias("a"), F.col("y.item_a").alias("b"), F.col("x.n_a").alias("n_a"), F.col("y.n_a").alias("n_b"),
+        "n_ab",
     )
-    counted = _count_pairs(_pairs_in_arrays(arrays.where(F.size("items") > 1)))
-    if heavy is not None:
-        counted = _add_heavy(counted, stage(heavy, "heavy"), params)
-    return counted.where(F.col("n_ab") >= params.min_support)
 
 
 def _add_heavy(light_counts: DataFrame, heavy: DataFrame, params: Params) -> DataFrame:
-    """Add what oversized baskets contribute, exactly.
+    """Add what oversized baskets ``heavy(basket_id, id)`` contribute, exactly.
 
     Let h be the number of oversized baskets an item is in. A pair's count from
     them is at most min(h_a, h_b). So:
@@ -142,64 +169,56 @@ def _add_heavy(light_counts: DataFrame, heavy: DataFrame, params: Params) -> Dat
       ``min_support`` probes for a pair.
     """
     support = params.min_support
-    h = stage(heavy.groupBy("item").agg(F.count(F.lit(1)).alias("h")), "h")
-    light_counts = stage(light_counts, "light")
+    h = stage(heavy.groupBy("id").agg(F.count(F.lit(1)).alias("h")), "h")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    light_counts = stage(light_counts.select(low, high, "n_ab"), "light")
 
-    often = heavy.join(h.where(F.col("h") >= support).select("item"), "item", "left_semi")
-    chunk = params.light_basket_items // 4 or 1
+    often = heavy.join(h.where(F.col("h") >= support).select("id"), "id", "left_semi")
+    chunk = max(1, params.light_basket_items // 4)
     sizes = often.groupBy("basket_id").agg(F.count(F.lit(1)).alias("size"))
     chunks = (
         often.join(sizes, "basket_id")
         .withColumn("of", F.ceil(F.col("size") / chunk))
-        .withColumn("c", F.pmod(F.xxhash64("item"), F.col("of")))
+        .withColumn("c", F.pmod(F.xxhash64("id"), F.col("of")))
     )
     # A row meets the chunks from its own on as the left side, and those up to it as
     # the right side; (left chunk, right chunk) of one basket is one join key.
     left = chunks.select(
-        "basket_id", "item", "n", F.col("c").alias("cl"),
-        F.explode(F.sequence(F.col("c"), F.col("of") - 1)).alias("cr"),
+        "basket_id", "id", F.col("c").alias("cl"), F.explode(F.sequence(F.col("c"), F.col("of") - 1)).alias("cr")
     )
     right = chunks.select(
-        "basket_id", F.col("item").alias("item2"), F.col("n").alias("n2"), F.col("c").alias("cr"),
+        "basket_id", F.col("id").alias("id2"), F.col("c").alias("cr"),
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("c"))).alias("cl"),
     )
     met = left.join(right, ["basket_id", "cl", "cr"]).where(
-        F.when(F.col("cl") == F.col("cr"), F.col("item") < F.col("item2")).otherwise(
-            F.col("item") != F.col("item2")
-        )
+        (F.col("cl") < F.col("cr")) | (F.col("id") < F.col("id2"))
     )
-    one, two = F.struct("item", "n"), F.struct(F.col("item2").alias("item"), F.col("n2").alias("n"))
-    direct = _count_pairs(
-        met.select(
-            F.when(F.col("item") < F.col("item2"), one).otherwise(two).alias("a"),
-            F.when(F.col("item") < F.col("item2"), two).otherwise(one).alias("b"),
-        )
+    direct = (
+        met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+        .agg(F.count(F.lit(1)).alias("n_ab"))
     )
 
-    ha = h.select(F.col("item").alias("a"), F.col("h").alias("ha"))
-    hb = h.select(F.col("item").alias("b"), F.col("h").alias("hb"))
+    ha = h.select(F.col("id").alias("a"), F.col("h").alias("ha"))
+    hb = h.select(F.col("id").alias("b"), F.col("h").alias("hb"))
+    rarer = F.col("ha") <= F.col("hb")
     sparse = (
         light_counts.join(ha, "a")
         .join(hb, "b")
-        .where(
-            (F.least("ha", "hb") < support) & (F.col("n_ab") + F.least("ha", "hb") >= support)
-        )
+        .where((F.least("ha", "hb") < support) & (F.col("n_ab") + F.least("ha", "hb") >= support))
         .select(
-            "a", "b", "n_a", "n_b",
-            F.when(F.col("ha") <= F.col("hb"), F.col("a")).otherwise(F.col("b")).alias("probe"),
-            F.when(F.col("ha") <= F.col("hb"), F.col("b")).otherwise(F.col("a")).alias("other"),
+            "a", "b",
+            F.when(rarer, F.col("a")).otherwise(F.col("b")).alias("probe"),
+            F.when(rarer, F.col("b")).otherwise(F.col("a")).alias("other"),
         )
     )
-    probed = sparse.join(
-        heavy.select("basket_id", F.col("item").alias("probe")), "probe"
-    ).join(
-        heavy.select("basket_id", F.col("item").alias("other")), ["basket_id", "other"], "left_semi"
+    probed = sparse.join(heavy.select("basket_id", F.col("id").alias("probe")), "probe").join(
+        heavy.select("basket_id", F.col("id").alias("other")), ["basket_id", "other"], "left_semi"
     )
-    looked_up = probed.groupBy("a", "b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("n_ab"))
+    looked_up = probed.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
     return (
         light_counts.unionByName(direct)
         .unionByName(looked_up)
-        .groupBy("a", "b", "n_a", "n_b")
+        .groupBy("a", "b")
         .agg(F.sum("n_ab").alias("n_ab"))
     )
 

@@ -52,7 +52,9 @@ class Params:
     min_support: int = 20
     min_score: float = 0.01
     # A basket with more frequent items than this is counted by the heavy path.
-    light_basket_items: int = 1024
+    light_basket_items: int = 4096
+    # An item in more baskets than this is counted in several parts.
+    hot_item_baskets: int = 1_000_000
 
     # basket admission and budget
     min_items: int = 3

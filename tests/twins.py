@@ -19,6 +19,7 @@ TABLES = (
 
 def connect(sf_dir: str):
     con = duckdb.connect()
+    con.execute("SET memory_limit = '8GB'")
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
