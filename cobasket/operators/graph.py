@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cobasket.functions.text import key_terms, normalise_name
 from cobasket.params import DEFAULTS, Params
-from cobasket.staging import stage
+from cobasket.staging import stage, stage_counting
 
 # ---------------------------------------------------------------------------
 # Raw graph import
@@ -83,15 +83,18 @@ def incidence(basket_items: DataFrame, label: str = "incidence") -> Incidence:
     return Incidence(rows, int(n), int(largest))
 
 
-def _number_items(inc: Incidence, params: Params) -> DataFrame:
-    """Frequent items ``(id, item, n)``; the ids are unique, in no particular order."""
+def _number_items(inc: Incidence, params: Params) -> tuple[DataFrame, int]:
+    """Frequent items ``(id, item, n)`` and the largest n; ids are unique, in no order."""
     frequent = inc.rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= params.min_item_freq
     )
-    return stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
+    numbered, seen = stage_counting(
+        frequent.withColumn("id", F.monotonically_increasing_id()), "frequent", top=F.max("n")
+    )
+    return numbered, seen["top"] or 0
 
 
-def _light_counts(rows: DataFrame, params: Params) -> DataFrame:
+def _light_counts(rows: DataFrame, top: int, params: Params) -> DataFrame:
     """``rows(basket_id, id, n)`` of baskets of usual size -> ``(a, b, n_ab)``.
 
     A basket is one array, rarest item first. Each item takes the more frequent items
@@ -100,23 +103,26 @@ def _light_counts(rows: DataFrame, params: Params) -> DataFrame:
     no pair is shuffled, and the most frequent items have the shortest arrays. An item
     in very many baskets is split: part c of it holds the partners of remainder c.
     """
-    arrays = rows.groupBy("basket_id").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("items"))
-    spread = arrays.select("items", F.posexplode("items").alias("i", "a")).where(F.col("i") + 1 < F.size("items"))
-    tail = F.transform(
-        F.slice("items", F.col("i") + 2, F.greatest(F.size("items") - F.col("i") - 1, F.lit(0))), lambda x: x["id"]
-    )
-    parts = F.ceil(F.col("a.n") / F.lit(params.hot_item_baskets))
-    tails = spread.select(F.col("a.id").alias("a"), parts.alias("k"), tail.alias("tail")).select(
-        "a", "k", "tail", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("c")
-    )
-    mine = F.when(F.col("k") == 1, F.col("tail")).otherwise(
-        F.filter("tail", lambda b: F.pmod(b, F.col("k")) == F.col("c"))
-    )
+    arrays = rows.groupBy("basket_id").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("x"))
+    ids = arrays.select(F.col("x.id").alias("ids"), F.col("x.n").alias("ns")).where(F.size("ids") > 1)
+    tails = ids.select("ids", "ns", F.posexplode("ids").alias("i", "a")).where(F.col("i") + 1 < F.size("ids")).select(
+        "a", F.col("ns")[F.col("i")].alias("n"), F.slice("ids", F.col("i") + 2, F.size("ids") - F.col("i") - 1).alias("tail")
+    )
+    place = ["a"]
+    if top > params.hot_item_baskets:
+        place = ["a", "c"]
+        split = tails.withColumn("k", F.ceil(F.col("n") / params.hot_item_baskets))
+        tails = split.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn(
+            "tail",
+            F.when(F.col("k") == 1, F.col("tail")).otherwise(
+                F.filter("tail", lambda b: F.pmod(b, F.col("k")) == F.col("c"))
+            ),
+        )
     return (
-        tails.select("a", "c", mine.alias("tail"))
-        .repartition("a", "c")
-        .select("a", "c", F.explode("tail").alias("b"))
-        .groupBy("a", "c", "b")
+        tails.select(*place, "tail")
+        .repartition(*place)
+        .select(*place, F.explode("tail").alias("b"))
+        .groupBy(*place, "b")
         .agg(F.count(F.lit(1)).alias("n_ab"))
         .select("a", "b", "n_ab")
     )
@@ -128,17 +134,17 @@ def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
     Rare items go before any pair is formed. Oversized baskets take ``_add_heavy``,
     which gives the same counts without one task ever holding such a basket.
     """
-    numbered = _number_items(inc, params)
+    numbered, top = _number_items(inc, params)
     kept = inc.rows.join(numbered, "item").select("basket_id", "id", "n")
     if inc.largest <= params.light_basket_items:
-        counted = _light_counts(kept, params)
+        counted = _light_counts(kept, top, params)
     else:
         kept = stage(kept, "kept")
         sizes = kept.groupBy("basket_id").count()
         big = stage(
             sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "big"
         )
-        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), params)
+        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), top, params)
         heavy = stage(kept.join(big, "basket_id", "left_semi").select("basket_id", "id"), "heavy")
         if not heavy.isEmpty():
             counted = _add_heavy(counted, heavy, params)
