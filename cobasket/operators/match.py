@@ -178,7 +178,7 @@ def score_matches(
     fits = pairing_fit(lacking, basket_items, edges, params)
     leftovers = stage(lacking.join(fits, ["basket_id", "item"]), "leftovers")
     avg_fit = leftovers.groupBy("sel_id", "basket_id").agg(
-        (F.sum(F.round("fit", 9)) / F.count(F.lit(1))).alias("avg_fit")
+        F.avg("fit").alias("avg_fit")
     )
     p = params
     m, n, total = F.col("matched"), F.col("n"), F.col("total")
