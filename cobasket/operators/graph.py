@@ -83,18 +83,18 @@ def incidence(basket_items: DataFrame, label: str = "incidence") -> Incidence:
     return Incidence(rows, int(n), int(largest))
 
 
-def _number_items(inc: Incidence, params: Params) -> tuple[DataFrame, int]:
-    """Frequent items ``(id, item, n)`` and the largest n; ids are unique, in no order."""
+def _number_items(inc: Incidence, params: Params) -> tuple[DataFrame, int, int]:
+    """Frequent items ``(id, item, n)``, the largest n and their sum; ids are unique, in no order."""
     frequent = inc.rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= params.min_item_freq
     )
     numbered, seen = stage_counting(
-        frequent.withColumn("id", F.monotonically_increasing_id()), "frequent", top=F.max("n")
+        frequent.withColumn("id", F.monotonically_increasing_id()), "frequent", top=F.max("n"), rows=F.sum("n")
     )
-    return numbered, seen["top"] or 0
+    return numbered, seen["top"] or 0, seen["rows"] or 0
 
 
-def _light_counts(rows: DataFrame, top: int, params: Params) -> DataFrame:
+def _light_counts(rows: DataFrame, top: int, size: int, params: Params) -> DataFrame:
     """``rows(basket_id, id, n)`` of baskets of usual size -> ``(a, b, n_ab)``.
 
     A basket is one array, rarest item first. Each item takes the more frequent items
@@ -118,9 +118,13 @@ def _light_counts(rows: DataFrame, top: int, params: Params) -> DataFrame:
                 F.filter("tail", lambda b: F.pmod(b, F.col("k")) == F.col("c"))
             ),
         )
+    # Small count tables stay in the processor's cache, so the pairs get more tasks than
+    # the bytes of their arrays would ask for.
+    tasks = min(size // params.count_rows_per_task, params.max_count_tasks)
+    many = tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (
         tails.select(*place, "tail")
-        .repartition(*place)
+        .repartition(*([tasks] if many else []), *place)
         .select(*place, F.explode("tail").alias("b"))
         .groupBy(*place, "b")
         .agg(F.count(F.lit(1)).alias("n_ab"))
@@ -134,17 +138,17 @@ def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
     Rare items go before any pair is formed. Oversized baskets take ``_add_heavy``,
     which gives the same counts without one task ever holding such a basket.
     """
-    numbered, top = _number_items(inc, params)
+    numbered, top, size = _number_items(inc, params)
     kept = inc.rows.join(numbered, "item").select("basket_id", "id", "n")
     if inc.largest <= params.light_basket_items:
-        counted = _light_counts(kept, top, params)
+        counted = _light_counts(kept, top, size, params)
     else:
         kept = stage(kept, "kept")
         sizes = kept.groupBy("basket_id").count()
         big = stage(
             sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "big"
         )
-        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), top, params)
+        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), top, size, params)
         heavy = stage(kept.join(big, "basket_id", "left_semi").select("basket_id", "id"), "heavy")
         if not heavy.isEmpty():
             counted = _add_heavy(counted, heavy, params)

@@ -25,12 +25,17 @@ def _row(bad: DataFrame, name, check: str, table: str) -> DataFrame:
     The sample is cut before it is gathered, so a table full of violations does not
     travel to one task.
     """
-    named = bad.select(F.col(name).cast("string").alias("n") if isinstance(name, str) else name.cast("string").alias("n"))
-    total = named.agg(F.count(F.lit(1)).alias("violations"))
+    column = F.col(name) if isinstance(name, str) else name
+    named = bad.select(column.cast("string").alias("n"))
+    total = named.agg(F.count(F.lit(1)).alias("violations")).select(
+        "violations", F.lit(None).cast("array<string>").alias("sample")
+    )
     few = named.distinct().orderBy("n").limit(SAMPLE).agg(F.array_sort(F.collect_list("n")).alias("sample"))
-    # two one-row tables
-    return total.join(few, how="cross").select(
-        F.lit(check).alias("check"), F.lit(table).alias("table"), "violations", "sample"
+    few = few.select(F.lit(None).cast("long").alias("violations"), "sample")
+    return (
+        total.unionByName(few)
+        .agg(F.max("violations").alias("violations"), F.max("sample").alias("sample"))
+        .select(F.lit(check).alias("check"), F.lit(table).alias("table"), "violations", "sample")
     )
 
 

@@ -55,6 +55,8 @@ class Params:
     light_basket_items: int = 4096
     # An item in more baskets than this is counted in several parts.
     hot_item_baskets: int = 1_000_000
+    count_rows_per_task: int = 25_000
+    max_count_tasks: int = 20_000
 
     # basket admission and budget
     min_items: int = 3

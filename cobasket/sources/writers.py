@@ -6,7 +6,7 @@ read on their own, and no list of the whole graph passes through one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobasket.operators.baskets import encode
@@ -18,28 +18,33 @@ def write_graph(edges: DataFrame, path: str, mode: str = "errorifexists") -> Non
     edges.repartitionByRange("item").sortWithinPartitions("item", F.desc("score"), "partner").write.mode(mode).parquet(path)
 
 
-def adjacency(items: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(idx, item, partners)``: partner ids with scores, best first.
+def adjacency(items: DataFrame, edges: DataFrame, part_size: int = 10_000) -> DataFrame:
+    """``(idx, item, part, partners)``: partner ids with scores, best first.
 
-    ``items(item)`` with edges, numbered by name unless it has an ``item_id``.
+    ``items(item)`` with edges, numbered by name unless it has an ``item_id``. The list
+    of an item with very many partners continues in further parts.
     """
     ids = items if "item_id" in items.columns else dense_ids(items.select("item"), ["item"])
     partner_ids = ids.select(F.col("item").alias("partner"), F.col("item_id").alias("pid"))
-    lists = edges.join(partner_ids, "partner").groupBy("item").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("pid").alias("p")))).alias("l")
+    best_first = Window.partitionBy("item").orderBy(F.desc("score"), "pid")
+    lists = (
+        edges.join(partner_ids, "partner")
+        .withColumn("place", F.row_number().over(best_first) - 1)
+        .groupBy("item", F.floor(F.col("place") / part_size).cast("int").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "pid", "score"))).alias("l"))
     )
     return ids.join(lists, "item").select(
-        F.col("item_id").alias("idx"), "item",
-        F.transform("l", lambda x: F.array(x["p"], -x["s"])).alias("partners"),
+        F.col("item_id").alias("idx"), "item", "part", F.transform("l", lambda x: F.array(x["pid"], x["score"])).alias("partners")
     )
 
 
 def write_affinity_export(items: DataFrame, edges: DataFrame, path: str, source: str, mode: str = "errorifexists") -> None:
     """``items``, ``lists`` and ``meta`` folders of compact JSON."""
     lists = adjacency(items, edges)
-    lists.select("idx", "item").write.mode(mode).json(f"{path}/items")
-    lists.select("idx", "partners").write.mode(mode).json(f"{path}/lists")
-    lists.agg(
+    heads = lists.where(F.col("part") == 0)
+    heads.select("idx", "item").write.mode(mode).json(f"{path}/items")
+    lists.select("idx", "part", "partners").write.mode(mode).json(f"{path}/lists")
+    heads.agg(
         F.lit(2).alias("v"), F.lit(source).alias("source"), F.count(F.lit(1)).alias("ingredients")
     ).write.mode(mode).json(f"{path}/meta")
 
@@ -56,14 +61,15 @@ def encoded_rows(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def manifest(kept: DataFrame, source: str) -> DataFrame:
     """One row of provenance: source, counts in all and per language, vocabulary size."""
-    counts = kept.agg(
-        F.count(F.lit(1)).alias("recipes"),
+    heads = kept.select("lang", F.lit(None).cast("string").alias("item"))
+    words = kept.select(F.explode("items").alias("item")).distinct().select(F.lit(None).cast("string").alias("lang"), "item")
+    return heads.unionByName(words).agg(
+        F.lit(source).alias("source"),
+        F.count_if(F.col("item").isNull()).alias("recipes"),
         F.count_if(F.col("lang") == "en").alias("en"),
         F.count_if(F.col("lang") == "fr").alias("fr"),
+        F.count("item").alias("vocabulary"),
     )
-    vocabulary = kept.select(F.explode("items").alias("i")).agg(F.count_distinct("i").alias("vocabulary"))
-    # two one-row tables
-    return counts.join(vocabulary, how="cross").select(F.lit(source).alias("source"), "*")
 
 
 def sample(kept: DataFrame, n: int = 40) -> DataFrame:

@@ -34,6 +34,7 @@ def test_graph_export_round_trip(spark, tmp_path):
     edges = spark.createDataFrame([("a", "b", 3), ("a", "c", 9), ("b", "a", 3), ("c", "a", 9)], "item string, partner string, score int")
     items = dense_ids(edges.select("item").distinct(), ["item"])
     lists = {r["item"]: (r.idx, r.partners) for r in writers.adjacency(items, edges).collect()}
+    assert [r.part for r in writers.adjacency(items, edges, 1).where("item = 'a'").collect()] in ([0, 1], [1, 0])
     assert lists == {"a": (0, [[2, 9], [1, 3]]), "b": (1, [[0, 3]]), "c": (2, [[0, 9]])}
     writers.write_graph(edges, str(tmp_path / "g"))
     assert spark.read.parquet(str(tmp_path / "g")).count() == 4
