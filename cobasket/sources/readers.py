@@ -58,16 +58,19 @@ def read_basket_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = None
     for n, path in enumerate(paths):
         part = spark.read.schema(BASKET_SCHEMA).json(path).withColumns({
-            # partition number and row within it, so lines of one file keep their order
-            "src_ord": F.monotonically_increasing_id(), "_file": F.lit(n),
+            # file, place of the split in it, row within the split
+            "src_ord": F.struct(
+                F.lit(n).alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                F.monotonically_increasing_id().alias("row"),
+            ),
         })
         parts = part if parts is None else parts.unionByName(part)
     phrases = F.when(F.size("ingredients") > 0, F.col("ingredients")).otherwise(
         F.coalesce("ner", F.array().cast("array<string>"))
     )
     return parts.select(
-        F.struct("_file", "src_ord").alias("src_ord"),
-        F.concat_ws(":", F.col("_file").cast("string"), F.col("src_ord").cast("string")).alias("basket_id"),
+        "src_ord",
+        F.concat_ws(":", F.col("src_ord.file").cast("string"), F.col("src_ord.row").cast("string")).alias("basket_id"),
         "id", F.trim(F.coalesce("title", F.lit(""))).alias("title"),
         F.coalesce("lang", F.lit("en")).alias("lang"),
         F.transform(phrases, lambda p: p.cast("string")).alias("phrases"),

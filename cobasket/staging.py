@@ -2,7 +2,8 @@
 
 A table that several branches of a job read, or that an iterative job rewrites
 each round, is written once as Parquet under the shared checkpoint folder and
-read back. Losing an executor then costs a re-read, not a recomputation, and
+read back. The tables of an application share a folder, which may go when it ends.
+Losing an executor then costs a re-read, not a recomputation, and
 the optimiser sees the real size of the table, so joins against it are
 broadcast only when it is small.
 """
@@ -36,7 +37,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to a new staged table and return a scan of it."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{label}-{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    path = f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{app}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
