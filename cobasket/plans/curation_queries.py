@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from cobasket.functions.text import KEY_TERM_SKIP
 from cobasket.operators import curate as c
 from cobasket.operators import decisions as dec
 from cobasket.operators import groups, quality
@@ -253,12 +254,33 @@ def decision_union(spark, sf_dir):
 
 @query("dup_groups")
 def dup_groups(spark, sf_dir):
-    """Frequent document words and part names grouped by their key terms."""
+    """Part names grouped by their key terms."""
     names = i.part_items(spark, sf_dir)
     sized = names.join(g.degree(order_edges(spark, sf_dir)), "item", "left")
     return groups.duplicate_groups(sized.select("item", F.coalesce("degree", F.lit(0)).alias("degree")))
 
 
+_SKIP = ", ".join(f"'{w}'" for w in KEY_TERM_SKIP)
+
+
+# A single word has one key term, so its groups do not compete and SQL can state them.
+@query("dup_groups_words", f"""
+WITH {i.DOC_WORDS_SQL},
+w AS (SELECT item, count(*) AS degree, regexp_replace(item, '[^a-z]', '', 'g') AS x FROM dw GROUP BY 1),
+t AS (SELECT item, degree, CASE WHEN ends_with(x, 'ies') AND length(x) > 4 THEN x[:-4] || 'y'
+        WHEN regexp_matches(x, '[^aeiou]ves$') AND length(x) > 4 THEN x[:-4] || 'fe'
+        WHEN regexp_matches(x, '[aeiou]ves$') AND length(x) > 4 THEN x[:-2]
+        WHEN ends_with(x, 'oes') AND length(x) > 4 THEN x[:-3]
+        WHEN regexp_matches(x, '[^s]s$') AND length(x) > 3 THEN x[:-2] ELSE x END AS term
+      FROM w WHERE length(x) >= 3 AND x NOT IN ({_SKIP})),
+g AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY degree DESC, item) AS place, count(*) OVER (PARTITION BY term) AS size
+      FROM t WHERE length(term) >= 3 AND term NOT IN ({_SKIP}))
+SELECT term, item, place FROM g WHERE size >= 2 AND place <= 8""")
+def dup_groups_words(spark, sf_dir):
+    words = i.document_words(spark, sf_dir).distinct().groupBy("item").agg(F.count(F.lit(1)).alias("degree"))
+    return groups.duplicate_groups(words).select("term", "item", "place")
+
+
 def _flat(checks):
     return checks.withColumn("sample", F.array_join("sample", "|"))
 

@@ -8,7 +8,7 @@ from twins import compare, connect
 
 from cobasket.plans import catalogue
 
-SF_DIR = os.environ.get("TWINS_SF_DIR", "/root/testdata/sf0.001")
+SF_DIR = os.environ.get("TWINS_SF_DIR", "/root/testdata/sf0.01")
 SHORT = (
     "npmi_edges_docs", "recommend_diverse", "lanes", "loo_outliers", "curate_edges", "phrase_cascade",
     "taxonomy_full", "match_gate", "eval_pool", "media_rank", "slug_coverage",
