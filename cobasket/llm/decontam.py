@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cobasket.llm.common import SEED
+from cobasket.llm.common import SEED, fresh_name
 from cobasket.staging import stage
 
 WINDOW = 13
@@ -289,7 +289,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     Rows that share an id with a contaminated one go with it when their texts are equal;
     others stay.
     """
-    key = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), F.col(text_col))
-    keyed = docs.select(key.alias("_key"), text_col)
-    bad = contamination(keyed, items, "_key", text_col, **rule).filter("contaminated").select("_key").distinct()
-    return docs.withColumn("_key", key).join(bad, "_key", "left_anti").drop("_key")
+    value, key = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), F.col(text_col)), fresh_name(docs, "row_key")
+    keyed = docs.select(value.alias("doc"), F.col(text_col).alias("text"))
+    bad = contamination(keyed, items, "doc", "text", **rule).filter("contaminated").select(F.col("doc").alias(key)).distinct()
+    return docs.withColumn(key, value).join(bad, key, "left_anti").drop(key)

@@ -31,7 +31,7 @@ from cobasket.staging import stage
 BLOCK_WORDS = 16
 SHARD_WORDS = 50_000_000
 #: Documents in a bucket of a tape, about: the unit that one task sorts.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 
 

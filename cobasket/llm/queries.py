@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobasket.llm import decontam, langid, mixing, quality, tokens, topk, warc
+from cobasket.llm import decontam, langid, mixing, pii, quality, simhash, tokens, topk, warc
 from cobasket.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,13 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what the rules find, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = pii.report(docs, pii.train(docs))
+    return found.select("doc_id", *[f"n_{kind}" for kind in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of weights 1, 2, 3 takes of every document."""
     return mixing.mix(table(spark, sf_dir, "documents"))
@@ -33,6 +40,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_pieces(table(spark, sf_dir, "documents"), tokens.read_pieces(TOKENIZER))
 
 
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -58,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_warc_archive, op3_source_mix, op4_token_counts, op7_decontaminate, op8_top_vectors, op9_quality, op10_language,
+        op1_warc_archive, op2_personal_data, op3_source_mix, op4_token_counts, op5_simhash_groups, op7_decontaminate, op8_top_vectors, op9_quality, op10_language,
     )
 }
 
