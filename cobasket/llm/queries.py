@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobasket.llm import decontam, langid, mixing, pii, quality, simhash, tokens, topk, warc
+from cobasket.llm import decontam, langid, mixing, pii, quality, simhash, suffix, tokens, topk, warc
 from cobasket.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,12 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document loses to passages of 50 bytes that start in earlier ones."""
+    found = suffix.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -70,7 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op1_warc_archive, op2_personal_data, op3_source_mix, op4_token_counts, op5_simhash_groups, op7_decontaminate, op8_top_vectors, op9_quality, op10_language,
+        op1_warc_archive, op2_personal_data, op3_source_mix, op4_token_counts, op5_simhash_groups, op6_repeated_passages, op7_decontaminate, op8_top_vectors, op9_quality, op10_language,
     )
 }
 
