@@ -115,7 +115,11 @@ def top_k(
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     found = rows.select("uid", "id", "v", block(row_blocks).alias("rb"), every(query_blocks).alias("qb"))
-    asked = rows.filter("asks").select("uid", "id", "v", block(query_blocks).alias("qb"), every(row_blocks).alias("rb"))
+    # Names of their own: columns that both sides of a cogroup share may be pruned from one.
+    asked = rows.filter("asks").select(
+        F.col("uid").alias("asker"), F.col("id").alias("asker_id"), F.col("v").alias("weights"),
+        block(query_blocks).alias("query_block"), every(row_blocks).alias("row_block"),
+    )
     schema = pa.schema([
         ("quid", pa.int64()), ("query_id", pa.int64()), ("uid", pa.int64()), ("id", pa.int64()), ("score", pa.int64()),
     ])
@@ -126,8 +130,8 @@ def top_k(
         if left.num_rows and right.num_rows:
             ids = left["id"].fill_null(last).to_numpy()
             lists = SortedLists(_matrix(left["v"], width), ids, left["uid"].to_numpy())
-            asks = _matrix(right["v"], width)
-            for quid, qid, query in zip(right["uid"].to_pylist(), right["id"].to_pylist(), asks, strict=True):
+            asks = _matrix(right["weights"], width)
+            for quid, qid, query in zip(right["asker"].to_pylist(), right["asker_id"].to_pylist(), asks, strict=True):
                 at, score = lists.search(query, quid, k)
                 for column, values in zip(out, ([quid] * len(at), [qid] * len(at), lists.uids[at], lists.ids[at], score), strict=True):
                     column.extend(values)
@@ -135,7 +139,7 @@ def top_k(
         columns[3] = pc.if_else(pc.equal(columns[3], last), None, columns[3])
         return pa.Table.from_arrays(columns, schema=schema)
 
-    pairs = found.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb"))
+    pairs = found.groupBy("rb", "qb").cogroup(asked.groupBy("row_block", "query_block"))
     best = pairs.applyInArrow(search, "quid long, query_id long, uid long, id long, score long")
     order = Window.partitionBy("quid").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "uid")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
