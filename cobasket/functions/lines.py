@@ -31,6 +31,7 @@ PREPARATIONS = (
     "surgelée", "en dés", "en tranches", "en morceaux", "en rondelles",
     "facultatif", "facultative", "selon goût",
 )
+# Fixed values as well: what counts as a leading quantity and as a spoon measure.
 QUANTITY_PATTERN = r"(?U)^\s*[\d.,/½¼¾⅓⅔\s-]+"
 SPOON_PATTERN = r"(?iU)^.*?\b(?:à|a)\s*(?:soupe|caf[eé]|s\.|c\.)\.?\s*(?:de\s+|d')?"
 
@@ -66,10 +67,16 @@ def cell_to_lines(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "array<string>"), F.split(c, r"[\n;|]+"))
 
 
+def _json_escapes(c: Column) -> Column:
+    """Escapes that only list literals know, in the form that JSON knows."""
+    return F.regexp_replace(c, r"(?<!\\)((?:\\\\)*)\\x([0-9A-Fa-f]{2})", r"$1\\u00$2")
+
+
 def cell_to_list(c: Column) -> Column:
-    """A cell with a JSON or single-quoted list; anything else is empty."""
+    """A cell with a JSON list or a list literal in single quotes; anything else is empty."""
     return F.coalesce(
         F.from_json(c, "array<string>", {"allowSingleQuotes": "true"}),
+        F.from_json(_json_escapes(c), "array<string>", {"allowSingleQuotes": "true"}),
         F.array().cast("array<string>"),
     )
 

@@ -24,7 +24,7 @@ def admit(baskets: DataFrame, occurrences: DataFrame, params: Params = DEFAULTS)
     ``items`` is in first-place order. Sizes are checked before any list is built,
     so a list never holds more than ``max_items``.
     """
-    head = baskets.where((F.trim("title") != "") & F.col("lang").isin(*params.langs))
+    head = baskets.where((F.trim("title") != "") & (F.lit(True) if params.langs is None else F.col("lang").isin(*params.langs)))
     per_item = (
         occurrences.groupBy("basket_id", "item")
         .agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("times"))
@@ -73,13 +73,12 @@ def budget(kept: DataFrame, target: int, params: Params = DEFAULTS) -> DataFrame
         .distinct()
         .withColumn("coverage_pick", F.lit(True))
     )
-    return (
+    placed = (
         rows.join(covering, "basket_id", "left")
         .withColumn("coverage_pick", F.coalesce("coverage_pick", F.lit(False)))
-        .orderBy(F.desc("coverage_pick"), *order)
-        .limit(target)
-        .drop("size")
     )
+    # Numbered by range partition, so that no task sorts all that is chosen.
+    return dense_ids(placed, [F.desc("coverage_pick"), *order]).where(F.col("item_id") < target).drop("size", "item_id")
 
 
 def encode(kept: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -34,6 +34,17 @@ def overlay(local: DataFrame, remote: DataFrame, keys: list[str]) -> DataFrame:
     return last_writer(both, keys, [F.col("_side")]).select(*local.columns)
 
 
+def merge_state(local: DataFrame, remote: DataFrame, united: tuple[str, ...], overlaid: tuple[str, ...]) -> DataFrame:
+    """Two states as rows ``(field, key, value)``.
+
+    Fields in ``united`` hold the keys of both sides, those in ``overlaid`` the local value
+    where both have one. Any other field is not managed here and stays as it is remotely.
+    """
+    managed = [*united, *overlaid]
+    both = local.where(F.col("field").isin(managed)).withColumn("_side", F.lit(1)).unionByName(remote.withColumn("_side", F.lit(0)))
+    return last_writer(both.select("field", "key", "value", "_side"), ["field", "key"], [F.col("_side"), F.col("value")]).drop("_side")
+
+
 def _closing_edges(loop: DataFrame, size: int) -> DataFrame:
     """The last-made edge of every cycle: ``loop(src, dst, ord)`` holds cycle edges only."""
     ahead, hops = loop.select("src", "dst", F.col("ord").alias("latest")), 1
@@ -104,6 +115,7 @@ def apply_asset_changes(changes: DataFrame, manifest: DataFrame, overrides: Data
         F.lit(None).cast("boolean").alias("scan"), F.lit(True).alias("skip"),
     )
     new_overrides = overrides.join(changes.select("item"), "item", "left_anti").unionByName(protected)
+    # The credit of an upload.
     uploaded = adds.select(
         "item", F.lit("owner upload").alias("file"), F.lit("provided by owner").alias("license"),
         F.lit("").alias("artist"), F.lit("").alias("description_url"),

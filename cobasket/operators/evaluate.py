@@ -30,9 +30,9 @@ def variant_rankings(
     """``probes(probe)`` -> ``(probe, variant, candidate, rank)``.
 
     The features of a candidate are computed once; the variants are five scores of
-    the same row. Equal scores are ordered by name, last name first.
+    the same row. Equal scores are ordered by name, last name first. Rankings are whole
+    unless the caller gives a ``depth``.
     """
-    depth = params.pool_extra_to if depth is None else depth
     selections = probes.select(F.col("probe").alias("sel_id"), F.col("probe").alias("item"))
     feats = candidate_features(
         selections, edges, taxonomy, replace(params, use_rarity=True), quartiles_exclusive(edges)
@@ -55,14 +55,15 @@ def variant_rankings(
     overall = Window.partitionBy("probe", "variant").orderBy(
         F.desc(F.round("eff", 9)), F.desc(F.round("score", 9)), F.desc("candidate")
     )
-    return (
+    wanted = F.lit(True) if depth is None else F.col("_k") <= depth
+    ranked = (
         rows.withColumn("_k", F.row_number().over(in_category))
-        .where(F.col("_k") <= depth)
+        .where(wanted)
         .withColumn("eff", F.col("score") * F.pow("decay", F.col("_k") - 1))
         .withColumn("rank", F.row_number().over(overall))
-        .where(F.col("rank") <= depth)
         .select("probe", "variant", "candidate", "rank")
     )
+    return ranked if depth is None else ranked.where(F.col("rank") <= depth)
 
 
 def build_pool(rankings: DataFrame, params: Params = DEFAULTS, seed: str = "50") -> DataFrame:
@@ -165,14 +166,22 @@ def metrics(recommended: DataFrame, judgments: DataFrame, top: int = 9, recall_d
     )
 
 
-def split_averages(per_probe: DataFrame, probes: DataFrame, staples: DataFrame | None = None) -> DataFrame:
-    """Macro averages per split; staple probes stand apart as the split ``staple``."""
+def split_averages(
+    per_probe: DataFrame, probes: DataFrame, staples: DataFrame | None = None,
+    judgments: DataFrame | None = None, params: Params = DEFAULTS,
+) -> DataFrame:
+    """Macro averages per split; staple probes stand apart as the split ``staple``.
+
+    With ``judgments`` there are no averages at all unless there are enough of them.
+    """
     rows = per_probe.join(probes.select("probe", "split").distinct(), "probe")
     if staples is not None:
         flagged = staples.select("probe", F.lit(True).alias("_staple"))
         rows = rows.join(flagged, "probe", "left").withColumn(
             "split", F.when(F.col("_staple"), "staple").otherwise(F.col("split"))
         )
+    if judgments is not None:
+        rows = rows.where(F.lit(enough_judgments(judgments, params).first()["enough"]))
     return rows.groupBy("split").agg(
         F.count(F.lit(1)).alias("probes"),
         *[F.avg(m).alias(m) for m in ("precision", "discovery", "recall", "ndcg")],

@@ -83,53 +83,27 @@ def incidence(basket_items: DataFrame, label: str = "incidence") -> Incidence:
     return Incidence(rows, int(n), int(largest))
 
 
-def _number_items(inc: Incidence, params: Params) -> tuple[DataFrame, int, int]:
-    """Frequent items ``(id, item, n)``, the largest n and their sum; ids are unique, in no order."""
+def _number_items(inc: Incidence, params: Params) -> DataFrame:
+    """Frequent items ``(id, item, n)``; ids are unique, in no order."""
     frequent = inc.rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= params.min_item_freq
     )
-    numbered, seen = stage_counting(
-        frequent.withColumn("id", F.monotonically_increasing_id()), "frequent", top=F.max("n"), rows=F.sum("n")
-    )
-    return numbered, seen["top"] or 0, seen["rows"] or 0
+    return stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
 
 
-def _light_counts(rows: DataFrame, top: int, size: int, params: Params) -> DataFrame:
+def _light_counts(rows: DataFrame) -> DataFrame:
     """``rows(basket_id, id, n)`` of baskets of usual size -> ``(a, b, n_ab)``.
 
-    A basket is one array, rarest item first. Each item takes the more frequent items
-    after it along as one array, and these travel to the item's partition, where the
-    pairs are formed and counted in place. So a shuffled row stands for many pairs,
-    no pair is shuffled, and the most frequent items have the shortest arrays. An item
-    in very many baskets is split: part c of it holds the partners of remainder c.
+    A basket is one array, in one order for all baskets. The task that holds it forms its
+    pairs and counts them with those of its other baskets, so what travels is one row for
+    each pair and task. A pair that is in very many baskets is counted wherever they
+    are, and its counts are added up afterwards; no item and no pair has a task of its own.
     """
     arrays = rows.groupBy("basket_id").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("x"))
-    ids = arrays.select(F.col("x.id").alias("ids"), F.col("x.n").alias("ns")).where(F.size("ids") > 1)
-    tails = ids.select("ids", "ns", F.posexplode("ids").alias("i", "a")).where(F.col("i") + 1 < F.size("ids")).select(
-        "a", F.col("ns")[F.col("i")].alias("n"), F.slice("ids", F.col("i") + 2, F.size("ids") - F.col("i") - 1).alias("tail")
-    )
-    place = ["a"]
-    if top > params.hot_item_baskets:
-        place = ["a", "c"]
-        split = tails.withColumn("k", F.ceil(F.col("n") / params.hot_item_baskets))
-        tails = split.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumn(
-            "tail",
-            F.when(F.col("k") == 1, F.col("tail")).otherwise(
-                F.filter("tail", lambda b: F.pmod(b, F.col("k")) == F.col("c"))
-            ),
-        )
-    # Small count tables stay in the processor's cache, so the pairs get more tasks than
-    # the bytes of their arrays would ask for.
-    tasks = min(size // params.count_rows_per_task, params.max_count_tasks)
-    many = tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        tails.select(*place, "tail")
-        .repartition(*([tasks] if many else []), *place)
-        .select(*place, F.explode("tail").alias("b"))
-        .groupBy(*place, "b")
-        .agg(F.count(F.lit(1)).alias("n_ab"))
-        .select("a", "b", "n_ab")
-    )
+    ids = arrays.select(F.col("x.id").alias("ids")).where(F.size("ids") > 1)
+    heads = ids.select("ids", F.posexplode("ids").alias("i", "a"))
+    tails = heads.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
+    return tails.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
 
 
 def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
@@ -138,17 +112,17 @@ def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
     Rare items go before any pair is formed. Oversized baskets take ``_add_heavy``,
     which gives the same counts without one task ever holding such a basket.
     """
-    numbered, top, size = _number_items(inc, params)
+    numbered = _number_items(inc, params)
     kept = inc.rows.join(numbered, "item").select("basket_id", "id", "n")
     if inc.largest <= params.light_basket_items:
-        counted = _light_counts(kept, top, size, params)
+        counted = _light_counts(kept)
     else:
         kept = stage(kept, "kept")
         sizes = kept.groupBy("basket_id").count()
         big = stage(
             sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "big"
         )
-        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), top, size, params)
+        counted = _light_counts(kept.join(big, "basket_id", "left_anti"))
         heavy = stage(kept.join(big, "basket_id", "left_semi").select("basket_id", "id"), "heavy")
         if not heavy.isEmpty():
             counted = _add_heavy(counted, heavy, params)
@@ -258,7 +232,11 @@ def affinity_edges(basket_items: DataFrame, params: Params = DEFAULTS) -> DataFr
 
 
 def support_sizing(inc: Incidence, params: Params = DEFAULTS, bounds=(1, 2, 5, 10, 20, 50, 100)) -> DataFrame:
-    """How many co-occurring pairs reach each support level."""
+    """How many co-occurring pairs reach each support level.
+
+    Counting every pair is the point, so the work is the sum of squared basket sizes,
+    oversized baskets included: bound the baskets first where they have no bound.
+    """
     from dataclasses import replace
 
     counts = pair_counts(inc, replace(params, min_support=1))
@@ -365,7 +343,7 @@ def dense_ids(items: DataFrame, order_by: list[str], start: int = 0) -> DataFram
     return (
         ranged.withColumn("_rn", F.row_number().over(inside))
         .join(F.broadcast(offsets), "_part")  # one row per shuffle partition
-        .withColumn("item_id", (F.col("_off") + F.col("_rn") - 1 + start).cast("int"))
+        .withColumn("item_id", (F.col("_off") + F.col("_rn") - 1 + start).cast("long"))
         .drop("_part", "_rn", "_off")
     )
 
@@ -510,7 +488,10 @@ def agreement(first: DataFrame, second: DataFrame, key: str, value: str) -> Data
 
 
 def golden_probes(probes: DataFrame, ranked: DataFrame, edges: DataFrame, min_score=25, max_rank=20) -> DataFrame:
-    """``probes(item, partner)`` -> with score, rank and whether both bounds hold."""
+    """``probes(item, partner)`` -> with score, rank and whether both bounds hold.
+
+    ``ranked`` need not go beyond ``max_rank``; deeper partners have no rank then.
+    """
     e = edges.select("item", "partner", "score")
     r = ranked.select("item", "partner", "rank")
     return (

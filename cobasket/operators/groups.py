@@ -17,14 +17,15 @@ def duplicate_groups(items: DataFrame, max_members: int = 8) -> DataFrame:
     an item belongs to one group. The claims are sequential, but two terms interact
     only through a common unclaimed item. So in each round every term whose best
     items have no earlier term left is settled at the same time, which gives the
-    sequential result in as many rounds as the longest chain of dependent terms.
+    sequential result in as many rounds as the longest chain of dependent terms: at most
+    one for each term, and in practice few, since every claim takes terms out of play.
     """
     spread = items.select("item", "degree", F.explode(key_terms(F.col("item"))).alias("term"))
     sizes = spread.groupBy("term").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= 2)
     # One order for all terms: larger first, then by name.
     turn = F.struct((-F.col("size")).alias("neg"), F.col("term").alias("name"))
     active = stage(spread.join(sizes, "term").select("term", "item", "degree", turn.alias("turn")), "active")
-    found = None
+    found, rounds = None, 0
     best = Window.partitionBy("term").orderBy(F.desc("degree"), "item")
     while True:
         first = active.groupBy("item").agg(F.min("turn").alias("first"))
@@ -40,6 +41,9 @@ def duplicate_groups(items: DataFrame, max_members: int = 8) -> DataFrame:
         if taken.isEmpty():
             break
         found = taken if found is None else found.unionByName(taken)
+        rounds += 1
+        if rounds % 8 == 0:
+            found = stage(found, "found")
         left = active.join(taken.select("term").distinct(), "term", "left_anti").join(
             taken.select("item").distinct(), "item", "left_anti"
         )

@@ -101,15 +101,19 @@ def lookup_table(canonical: DataFrame, variants: DataFrame) -> DataFrame:
     return exact.unionByName(normed)
 
 
-def _probes(key: Column, rank_prefix: list[Column]) -> Column:
-    """Probes of one candidate text: exact, then normalised singular candidates."""
+def _probes(key: str, normed: str, rank_prefix: list[Column]) -> Column:
+    """Probes of one candidate text: exact, then normalised singular candidates.
+
+    The columns are names: both texts are computed once, in a projection before this one.
+    """
+    key = F.col(key)
     rank = lambda k: F.array(*rank_prefix, k)
     exact = F.array(F.struct(F.lit("e").alias("kind"), key.alias("key"), rank(F.lit(0)).alias("rank")))
-    normed = F.transform(
-        text.stems(text.norm(key)),
+    forms = F.transform(
+        text.stems(F.col(normed)),
         lambda s, i: F.struct(F.lit("n").alias("kind"), s.alias("key"), rank(i + 1).alias("rank")),
     )
-    return F.concat(exact, normed)
+    return F.concat(exact, forms)
 
 
 def _first_hits(probed: DataFrame, table: DataFrame) -> DataFrame:
@@ -126,7 +130,8 @@ def _first_hits(probed: DataFrame, table: DataFrame) -> DataFrame:
 def map_exact(phrases: DataFrame, table: DataFrame) -> DataFrame:
     """C1 and C2: ``(phrase, item, stage)``, item null for survivors."""
     p = text.phrase_key(F.col("phrase"))
-    probed = phrases.select("phrase", F.explode(_probes(p, [])).alias("probe"))
+    keyed = phrases.select("phrase", p.alias("p")).select("phrase", "p", text.norm(F.col("p")).alias("normed"))
+    probed = keyed.select("phrase", F.explode(_probes("p", "normed", [])).alias("probe"))
     hits = _first_hits(probed, table).select(
         "phrase", "item", F.when(F.col("rank")[0] == 0, "C1").otherwise("C2").alias("stage")
     )
@@ -153,7 +158,8 @@ def map_subphrase(phrases: DataFrame, table: DataFrame, qualifiers=QUALIFIERS) -
     windows = starts.select("phrase", "core", "s", F.explode(ends).alias("e")).select(
         "phrase", "s", "e", F.array_join(F.slice("core", F.col("s") + 1, F.col("e") - F.col("s")), " ").alias("cand")
     )
-    probed = windows.select("phrase", F.explode(_probes(F.col("cand"), [F.col("s"), -F.col("e")])).alias("probe"))
+    windows = windows.withColumn("normed", text.norm(F.col("cand")))
+    probed = windows.select("phrase", F.explode(_probes("cand", "normed", [F.col("s"), -F.col("e")])).alias("probe"))
     hits = _first_hits(probed, table).select("phrase", "item", F.lit("C3").alias("stage"))
     return phrases.join(hits, "phrase", "left")
 

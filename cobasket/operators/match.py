@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobasket.operators.coherence import inner_edges
+from cobasket.operators.graph import undirected_max
 from cobasket.params import DEFAULTS, Params
 from cobasket.staging import stage
 
@@ -79,10 +80,10 @@ def match_counts(selections: DataFrame, basket_items: DataFrame, params: Params
 
 
 def pick_pool(counted: DataFrame, sel_lang: DataFrame, baskets: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Language preference and the scoring cap: adds ``tier`` and ``fill``.
+    """Language preference: adds ``tier``, and ``fill``, the place by match count in tier 2.
 
-    Tier 1 is the selection's own language, or everything when it has none there;
-    its best baskets by match count are scored. Tier 2 only tops up what is missing.
+    Tier 1 is the selection's own language, or everything when it has none there; all its
+    baskets are scored. Tier 2 only tops up what is missing.
     """
     tagged = counted.join(baskets.select("basket_id", "lang"), "basket_id").join(
         sel_lang.select("sel_id", F.col("lang").alias("want")), "sel_id"
@@ -90,25 +91,28 @@ def pick_pool(counted: DataFrame, sel_lang: DataFrame, baskets: DataFrame, param
     share = tagged.groupBy("sel_id").agg(
         F.count_if("same").alias("n_same"), F.count(F.lit(1)).alias("n_all")
     )
-    order = Window.partitionBy("sel_id", "tier").orderBy(F.desc("matched"), "basket_id")
+    order = Window.partitionBy("sel_id").orderBy(F.desc("matched"), "basket_id")
     has_same = F.col("n_same") > 0
     scored = F.least(F.when(has_same, F.col("n_same")).otherwise(F.col("n_all")), F.lit(params.match_limit))
-    return (
-        tagged.join(share, "sel_id")
-        .withColumn("tier", F.when(~has_same | F.col("same"), 1).otherwise(2))
-        .withColumn("fill", F.row_number().over(order))
-        .where(F.col("fill") <= params.match_score_cap)
-        .where((F.col("tier") == 1) | (F.col("fill") <= params.match_limit - scored))
-        .select("sel_id", "basket_id", "n", "matched", "lang", "tier", "fill")
+    placed = tagged.join(share, "sel_id").withColumn("tier", F.when(~has_same | F.col("same"), 1).otherwise(2))
+    placed = stage(placed.withColumn("open", params.match_limit - scored), "placed-tiers")
+    columns = ["sel_id", "basket_id", "n", "matched", "lang", "tier"]
+    own = placed.where("tier = 1").select(*columns, F.lit(None).cast("int").alias("fill"))
+    others = placed.where("tier = 2 AND open > 0").withColumn("fill", F.row_number().over(order)).where(
+        F.col("fill") <= params.match_limit
     )
+    return own.unionByName(others.where(F.col("fill") <= F.col("open")).select(*columns, "fill"))
 
 
-def pairing_fit(pairs: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def pairing_fit(
+    pairs: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS, symmetric: bool = False
+) -> DataFrame:
     """How well an item would go with a basket: mean of its strongest few affinities.
 
     ``pairs(basket_id, item)`` -> ``(basket_id, item, fit)``. Absent edges count as
     0, the item itself is left out, and a basket with no other item gives 0.
     """
+    edges = edges if symmetric else undirected_max(edges)
     pairs = pairs.select("basket_id", "item").distinct()
     postings = basket_items.select("basket_id", "item")
     touched = postings.join(pairs.select("basket_id").distinct(), "basket_id", "left_semi")
@@ -138,13 +142,15 @@ def pairing_fit(pairs: DataFrame, basket_items: DataFrame, edges: DataFrame, par
 
 
 def score_matches(
-    pool: DataFrame, selections: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS
+    pool: DataFrame, selections: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS,
+    symmetric: bool = False,
 ) -> DataFrame:
     """Adds ``extras``, ``pairing``, ``avg_fit`` and ``score`` to the pool.
 
     Returns ``(scored, used, leftovers)``; the last two are the selected items a
     basket holds, and those it lacks with their fit.
     """
+    edges = edges if symmetric else stage(undirected_max(edges), "both-ways")
     pool = stage(pool, "pool")
     picked = selections.select("sel_id", "item").distinct()
     place = F.col("pos") if "pos" in basket_items.columns else F.lit(0)
@@ -175,7 +181,7 @@ def score_matches(
         .groupBy("sel_id", "basket_id")
         .agg(F.sum("score").alias("pair100"))
     )
-    fits = pairing_fit(lacking, basket_items, edges, params)
+    fits = pairing_fit(lacking, basket_items, edges, params, symmetric=True)
     leftovers = stage(lacking.join(fits, ["basket_id", "item"]), "leftovers")
     avg_fit = leftovers.groupBy("sel_id", "basket_id").agg(
         F.avg("fit").alias("avg_fit")
@@ -227,15 +233,16 @@ def basket_matches(
     basket_items: DataFrame,
     edges: DataFrame,
     params: Params = DEFAULTS,
+    symmetric: bool = False,
 ) -> DataFrame:
     """The ranked answer: ``(sel_id, rank, basket_id, title, url, lang, used, suggested, missing, score)``.
 
     ``selections(sel_id, item, lang)``, ``baskets(basket_id, title, url, lang)``.
     """
-    edges = stage(edges, "edges")
+    edges = stage(edges if symmetric else undirected_max(edges), "edges")
     langs = selections.groupBy("sel_id").agg(F.min("lang").alias("lang"))
     pool = pick_pool(match_counts(selections, basket_items, params), langs, baskets, params)
-    scored, used, leftovers = score_matches(pool, selections, basket_items, edges, params)
+    scored, used, leftovers = score_matches(pool, selections, basket_items, edges, params, symmetric=True)
     best = stage(rank_matches(scored, params), "best")
     keys = ["sel_id", "basket_id"]
     # At most match_limit baskets per selection, each with the selection's own items.

@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 from cobasket.staging import stage, stage_counting
 
 
+def one_target(links: DataFrame, src: str = "src", tgt: str = "tgt") -> DataFrame:
+    """One row per source, the same on every run: the last by ``ord`` where there is one, else the first target by name."""
+    pick = F.max_by(tgt, F.struct("ord", tgt)) if "ord" in links.columns else F.min(tgt)
+    return links.groupBy(src).agg(pick.alias(tgt))
+
+
 def _double(links: DataFrame) -> DataFrame:
     nxt = links.select(F.col("src").alias("_via"), F.col("dst").alias("_to"))
     return (
@@ -26,13 +32,13 @@ def _double(links: DataFrame) -> DataFrame:
 
 
 def follow_links(links: DataFrame) -> DataFrame:
-    """``links(src, dst)``, one row per src -> ``(src, dst, cyclic)``.
+    """``links(src, dst)`` -> ``(src, dst, cyclic)``; of several links of a source ``one_target`` keeps one.
 
     ``dst`` is the end of the chain. Where the chain runs into a cycle, ``cyclic``
     is true and ``dst`` is the first cycle node on the way (a node of the cycle
     points to itself).
     """
-    links = links.select("src", "dst").where(F.col("src").isNotNull() & F.col("dst").isNotNull())
+    links = one_target(links.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), "src", "dst")
     current, pending = links, None
     # While chains of depth > 2^k are left, some chain has a node that ends exactly
     # in this round; a round that ends nothing new leaves only cycles.
@@ -65,7 +71,7 @@ def follow_links(links: DataFrame) -> DataFrame:
 def chain_end_before_repeat(links: DataFrame) -> DataFrame:
     """Like ``follow_links``, but a chain in a cycle stops one step before it repeats."""
     ends = follow_links(links)
-    previous = links.select(F.col("src").alias("_prev"), F.col("dst").alias("_entry"))
+    previous = one_target(links, "src", "dst").select(F.col("src").alias("_prev"), F.col("dst").alias("_entry"))
     on_cycle = ends.where(F.col("cyclic") & (F.col("src") == F.col("dst"))).select(
         F.col("src").alias("_prev")
     )
@@ -93,7 +99,7 @@ def resolve_merges(merged: DataFrame, deleted: DataFrame, items: DataFrame) -> D
     ``tgt`` is null for a source with nothing left to merge into: itself deleted,
     ending on a deleted or unknown name, or caught in a cycle.
     """
-    merged = merged.select("src", "tgt").dropDuplicates(["src"])
+    merged = one_target(merged)
     gone = deleted.select(F.col("item").alias("src")).distinct()
     live_links = merged.join(gone, "src", "left_anti").select("src", F.col("tgt").alias("dst"))
     ends = follow_links(live_links)
@@ -111,7 +117,7 @@ def resolve_names(merged: DataFrame, deleted: DataFrame, names: DataFrame) -> Da
 
     Unlike ``resolve_merges`` a deleted name half-way does not stop the chain.
     """
-    links = merged.dropDuplicates(["src"]).select("src", F.col("tgt").alias("dst"))
+    links = one_target(merged).select("src", F.col("tgt").alias("dst"))
     ends = chain_end_before_repeat(links).select(F.col("src").alias("name"), "dst")
     gone = deleted.select(F.col("item").alias("final"), F.lit(True).alias("_gone")).distinct()
     return (

@@ -53,16 +53,13 @@ class Params:
     min_score: float = 0.01
     # A basket with more frequent items than this is counted by the heavy path.
     light_basket_items: int = 4096
-    # An item in more baskets than this is counted in several parts.
-    hot_item_baskets: int = 1_000_000
-    count_rows_per_task: int = 25_000
-    max_count_tasks: int = 20_000
 
     # basket admission and budget
     min_items: int = 3
     max_items: int = 20
     min_map_ratio: float = 0.6
-    langs: tuple[str, ...] = ("en", "fr")
+    # Languages that are admitted; None admits all.
+    langs: tuple[str, ...] | None = ("en", "fr")
     coverage_quota: int = 6
     mapping_gate: float = 0.9
     new_item_min_freq: int = 30
@@ -97,7 +94,6 @@ class Params:
     extras_k: float = 6.0
     w_fit: float = 0.5
     fit_topk: int = 3
-    match_score_cap: int = 200
     match_min: int = 2
     match_fraction: float = 0.6
     match_tolerance: int = 1

@@ -7,6 +7,7 @@ from cobasket.plans import (  # noqa: F401
     eval_queries,
     graph_queries,
     rank_queries,
+    source_queries,
 )
 from cobasket.plans.registry import QUERIES, TWINS
 

@@ -36,9 +36,8 @@ SELECT word, norm,
 FROM n""")
 def word_forms(spark, sf_dir):
     words = i.document_words(spark, sf_dir).select(F.col("item").alias("word")).distinct()
-    norm = text.norm(F.col("word"))
-    return words.select(
-        "word", norm.alias("norm"), F.array_join(text.stems(norm), "|").alias("stems"),
+    return words.withColumn("norm", text.norm(F.col("word"))).select(
+        "word", "norm", F.array_join(text.stems(F.col("norm")), "|").alias("stems"),
         text.singular(F.col("word")).alias("singular"),
     )
 
@@ -241,7 +240,7 @@ def coverage_budget(spark, sf_dir):
 
 @query("vocab_encode", f"""
 WITH {ADMIT_SQL}, fa AS (SELECT item, min((basket_id, pos, item)) AS f FROM pi GROUP BY 1)
-SELECT item, (row_number() OVER (ORDER BY f) - 1)::INT AS local_id FROM fa""")
+SELECT item, (row_number() OVER (ORDER BY f) - 1)::BIGINT AS local_id FROM fa""")
 def vocab_encode(spark, sf_dir):
     return b.encode(corpus(spark, sf_dir))[0]
 

@@ -140,7 +140,7 @@ def curation_totals(spark, sf_dir):
 @query("curated_ids", f"""
 WITH RECURSIVE {CHAINS_SQL},
 o AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS old FROM nm)
-SELECT item, (row_number() OVER (ORDER BY old) - 1)::INT AS item_id FROM o
+SELECT item, (row_number() OVER (ORDER BY old) - 1)::BIGINT AS item_id FROM o
 WHERE item IN (SELECT item FROM mv) AND item NOT IN (SELECT src FROM res)""")
 def curated_ids(spark, sf_dir):
     names, merged, deleted, bad = decisions(spark, sf_dir)
@@ -249,18 +249,59 @@ def decision_union(spark, sf_dir):
     return dec.union_names(deleted, merged.withColumnRenamed("src", "item"))
 
 
-# -- duplicate grouping and quality -------------------------------------------------
+STATE_SQL = """
+rows_ AS (SELECT event_type AS field, user_id::VARCHAR AS key, event_id, CASE WHEN user_id < 75 THEN 'local' ELSE 'remote' END AS side FROM events),
+loc AS (SELECT field, key, max(event_id)::VARCHAR AS value FROM rows_ WHERE side = 'local' OR event_id < 5000 GROUP BY 1, 2),
+rem AS (SELECT field, key, min(event_id)::VARCHAR AS value FROM rows_ WHERE side = 'remote' OR event_id < 5000 GROUP BY 1, 2)"""
 
 
-@query("dup_groups")
-def dup_groups(spark, sf_dir):
-    """Part names grouped by their key terms."""
-    names = i.part_items(spark, sf_dir)
-    sized = names.join(g.degree(order_edges(spark, sf_dir)), "item", "left")
-    return groups.duplicate_groups(sized.select("item", F.coalesce("degree", F.lit(0)).alias("degree")))
+# One kind of event is united, one overlaid; the others are fields that nobody manages here.
+@query("decision_state", f"""
+WITH {STATE_SQL},
+man AS (SELECT * FROM loc WHERE field IN ('click', 'view'))
+SELECT * FROM man UNION ALL SELECT * FROM rem WHERE (field, key) NOT IN (SELECT (field, key) FROM man)""")
+def decision_state(spark, sf_dir):
+    rows = i.table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("field"), F.col("user_id").cast("string").alias("key"), "event_id",
+        (F.col("user_id") < 75).alias("local"),
+    )
+    early = F.col("event_id") < 5000
+    local = rows.where(F.col("local") | early).groupBy("field", "key").agg(F.max("event_id").cast("string").alias("value"))
+    remote = rows.where(~F.col("local") | early).groupBy("field", "key").agg(F.min("event_id").cast("string").alias("value"))
+    return dec.merge_state(local, remote, ("click",), ("view",))
+
 
+# -- duplicate grouping and quality -------------------------------------------------
 
 _SKIP = ", ".join(f"'{w}'" for w in KEY_TERM_SKIP)
+_TERM = """CASE WHEN ends_with(x, 'ies') AND length(x) > 4 THEN x[:-4] || 'y'
+        WHEN regexp_matches(x, '[^aeiou]ves$') AND length(x) > 4 THEN x[:-4] || 'fe'
+        WHEN regexp_matches(x, '[aeiou]ves$') AND length(x) > 4 THEN x[:-2]
+        WHEN ends_with(x, 'oes') AND length(x) > 4 THEN x[:-3]
+        WHEN regexp_matches(x, '[^s]s$') AND length(x) > 3 THEN x[:-2] ELSE x END"""
+
+
+# Names of up to four terms compete for each other's groups; the terms are taken in turn.
+@query("dup_groups", f"""
+WITH RECURSIVE nm AS (SELECT p_name || ' ' || p_type || ' kits' AS item, count(*) AS degree FROM part GROUP BY 1),
+w AS (SELECT item, degree, regexp_replace(u, '[^a-z]', '', 'g') AS x
+      FROM (SELECT item, degree, unnest(regexp_split_to_array(lower(item), '[\\s\\-/]+')) AS u FROM nm)),
+t AS (SELECT DISTINCT item, degree, term FROM (SELECT item, degree, {_TERM} AS term FROM w WHERE length(x) >= 3 AND x NOT IN ({_SKIP}))
+      WHERE length(term) >= 3 AND term NOT IN ({_SKIP})),
+sz AS (SELECT term, count(*) AS size, list(item ORDER BY degree DESC, item) AS members FROM t GROUP BY term HAVING count(*) >= 2),
+od AS (SELECT term, members, row_number() OVER (ORDER BY size DESC, term) AS k FROM sz),
+rec AS (SELECT 0::BIGINT AS k, NULL::VARCHAR AS term, []::VARCHAR[] AS picked, []::VARCHAR[] AS claimed
+        UNION ALL
+        SELECT nk, term, CASE WHEN len(f) >= 2 THEN f[1:8] ELSE []::VARCHAR[] END,
+               list_concat(claimed, CASE WHEN len(f) >= 2 THEN f[1:8] ELSE []::VARCHAR[] END)
+        FROM (SELECT od.k AS nk, od.term, rec.claimed, list_filter(od.members, lambda m: NOT list_contains(rec.claimed, m)) AS f
+              FROM rec JOIN od ON od.k = rec.k + 1))
+SELECT term, unnest(picked) AS item, generate_subscripts(picked, 1)::INT AS place FROM rec""")
+def dup_groups(spark, sf_dir):
+    """Part names with their type, grouped by their key terms."""
+    name = F.concat_ws(" ", "p_name", "p_type", F.lit("kits")).alias("item")
+    sized = i.parts(spark, sf_dir).groupBy(name).agg(F.count(F.lit(1)).alias("degree"))
+    return groups.duplicate_groups(sized).select("term", "item", "place")
 
 
 # A single word has one key term, so its groups do not compete and SQL can state them.
@@ -336,9 +377,10 @@ w2 AS (SELECT src, tgt, 1 AS h FROM ln UNION ALL SELECT w2.src, l.tgt, h + 1 FRO
 un AS (SELECT count(*) AS n FROM (SELECT item FROM deleted UNION ALL SELECT src FROM allm) WHERE item NOT IN (SELECT item FROM nm)),
 v AS (SELECT 'malformed bad pair' AS "check", array_to_string(names, ',') AS n FROM bp WHERE len(names) <> 2
       UNION ALL SELECT 'self merge', src FROM allm WHERE src = tgt
+      UNION ALL SELECT 'duplicate merge source', src FROM allm GROUP BY src HAVING count(DISTINCT tgt) > 1
       UNION ALL SELECT 'merge cycle', src FROM w2 WHERE h = 100
       UNION ALL SELECT 'unknown names over tolerance', n::VARCHAR FROM un WHERE n > 2),
-ch AS (SELECT unnest(['malformed bad pair', 'self merge', 'merge cycle', 'unknown names over tolerance']) AS "check")
+ch AS (SELECT unnest(['malformed bad pair', 'self merge', 'duplicate merge source', 'merge cycle', 'unknown names over tolerance']) AS "check")
 {CHECK_SELECT.format(table='curation')}""")
 def quality_curation(spark, sf_dir):
     names, merged, deleted, bad = decisions(spark, sf_dir)

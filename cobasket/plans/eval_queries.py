@@ -59,7 +59,7 @@ def rankings(spark, sf_dir):
     return stage(ev.variant_rankings(probes, order_edges(spark, sf_dir), taxonomy(spark, sf_dir)), "rankings")
 
 
-@query("formula_variants", f"{VARIANTS_SQL} SELECT * FROM rk WHERE rank <= 120")
+@query("formula_variants", f"{VARIANTS_SQL} SELECT * FROM rk")
 def formula_variants(spark, sf_dir):
     return rankings(spark, sf_dir)
 
@@ -147,14 +147,15 @@ def eval_metrics(spark, sf_dir):
 sp AS (SELECT probe, CASE WHEN ends_with(probe, 'widget') THEN 'staple'
               WHEN sum(('0x' || c)::INT) % 5 < 2 THEN 'holdout' ELSE 'dev' END AS split
        FROM (SELECT sel_id AS probe, unnest(string_split(sha1(sel_id), '')) AS c FROM sel) GROUP BY 1)
-SELECT split, count(*) AS probes, {', '.join(f'round(avg({c}), 9) AS {c}' for c in _M)} FROM me JOIN sp USING (probe) GROUP BY 1""")
+SELECT split, count(*) AS probes, {', '.join(f'round(avg({c}), 9) AS {c}' for c in _M)} 
+FROM me JOIN sp USING (probe) WHERE (SELECT count(*) FROM jd) >= 200 GROUP BY 1""")
 def eval_averages(spark, sf_dir):
     from cobasket.functions.text import eval_split as split_of
 
     names = i.part_items(spark, sf_dir).withColumnRenamed("item", "probe")
     probes = names.withColumn("split", split_of(F.col("probe")))
     staples = names.where(F.col("probe").endswith("widget"))
-    return ev.split_averages(per_probe(spark, sf_dir), probes, staples).withColumns({c: F.round(c, 9) for c in _M})
+    return ev.split_averages(per_probe(spark, sf_dir), probes, staples, grades(order_edges(spark, sf_dir))).withColumns({c: F.round(c, 9) for c in _M})
 
 
 @query("resolved_judgments", f"""
@@ -192,23 +193,24 @@ rk AS (SELECT item, partner, score, split_part(partner, ' ', 2) AS category,
               row_number() OVER (PARTITION BY item ORDER BY score DESC, partner) AS rank FROM e)"""
 
 
-def ranked_edges(edges):
+def ranked_edges(edges, deepest):
+    """The best partners of every item, to the deepest place that is asked for."""
     from pyspark.sql import Window
 
     order = Window.partitionBy("item").orderBy(F.desc("score"), "partner")
     return edges.select(
         "item", "partner", F.substring_index("partner", " ", -1).alias("category"), F.row_number().over(order).alias("rank")
-    )
+    ).where(F.col("rank") <= deepest)
 
 
 @query("golden_probes", f"""{PROBE_SQL},
 pb AS (SELECT item, 'red ' || w AS partner FROM nn)
-SELECT pb.item, pb.partner, score, rank, coalesce(score >= 2 AND rank <= 9, false) AS passed
+SELECT pb.item, pb.partner, score, CASE WHEN rank <= 9 THEN rank END AS rank, coalesce(score >= 2 AND rank <= 9, false) AS passed
 FROM pb LEFT JOIN rk USING (item, partner)""")
 def golden_probes(spark, sf_dir):
     edges = order_edges(spark, sf_dir)
     probes = i.part_items(spark, sf_dir).select("item", F.concat(F.lit("red "), F.substring_index("item", " ", -1)).alias("partner"))
-    return g.golden_probes(probes, ranked_edges(edges), edges, min_score=2, max_rank=9)
+    return g.golden_probes(probes, ranked_edges(edges, 9), edges, min_score=2, max_rank=9)
 
 
 @query("regression_probes", f"""{PROBE_SQL},
@@ -221,4 +223,4 @@ def regression_probes(spark, sf_dir):
     noun = F.substring_index("item", " ", -1)
     pair = lambda word: names.select("item", F.concat(F.lit(word + " "), noun).alias("partner"))
     limits = names.select("item", noun.alias("category"), F.lit(1).alias("at_most"))
-    return g.regression_probes(pair("red"), pair("hot"), limits, stage(ranked_edges(order_edges(spark, sf_dir)), "ranked"))
+    return g.regression_probes(pair("red"), pair("hot"), limits, stage(ranked_edges(order_edges(spark, sf_dir), 9), "ranked"))

@@ -120,7 +120,7 @@ def graph_import_skipped(spark, sf_dir):
 
 @query("dense_item_ids", f"""
 WITH {i.ORDER_EDGES_SQL}, a AS (SELECT DISTINCT item FROM e)
-SELECT item, (row_number() OVER (ORDER BY item) - 1)::INT AS item_id FROM a""")
+SELECT item, (row_number() OVER (ORDER BY item) - 1)::BIGINT AS item_id FROM a""")
 def dense_item_ids(spark, sf_dir):
     edges = g.affinity_edges(i.order_lines(spark, sf_dir))
     return g.dense_ids(edges.select("item").distinct(), ["item"])
@@ -170,6 +170,42 @@ def max_merge(spark, sf_dir):
     return g.max_merge(*two_corpora(spark, sf_dir))
 
 
+# Incoming edges through decisions: "old" names are merged into "hot" ones, one name is
+# deleted, one is neither live nor approved.
+INCOMING_SQL = f"""
+WITH {TWO_CORPORA_SQL},
+hop AS (SELECT DISTINCT p_name AS src, CASE WHEN p_name = 'red rod' THEN NULL
+          WHEN starts_with(p_name, 'old ') THEN 'hot ' || split_part(p_name, ' ', 2) ELSE p_name END AS tgt FROM part),
+mapped AS (SELECT a.tgt AS item, b.tgt AS partner, score FROM new_e JOIN hop a ON a.src = item JOIN hop b ON b.src = partner
+           WHERE a.tgt IS NOT NULL AND b.tgt IS NOT NULL)"""
+
+
+def incoming(spark, sf_dir):
+    old, new = two_corpora(spark, sf_dir)
+    names = i.part_items(spark, sf_dir)
+    merged = names.where(F.col("item").startswith("old ")).select(
+        F.col("item").alias("src"), F.concat(F.lit("hot "), F.substring_index("item", " ", -1)).alias("tgt")
+    )
+    deleted = names.where(F.col("item") == "red rod").select(F.col("item").alias("src"), F.lit(None).cast("string").alias("tgt"))
+    live = names.where(F.col("item") != "blue widget")
+    return old, *g.resolve_incoming(new, merged.unionByName(deleted), live)
+
+
+@query("enriched_edges", f"""{INCOMING_SQL},
+fine AS (SELECT * FROM mapped WHERE item <> 'blue widget' AND partner <> 'blue widget' AND item <> partner),
+alle AS (SELECT * FROM old_e UNION ALL SELECT * FROM fine UNION ALL SELECT partner, item, score FROM fine)
+SELECT item, partner, max(score) AS score FROM alle GROUP BY 1, 2""")
+def enriched_edges(spark, sf_dir):
+    old, edges, _ = incoming(spark, sf_dir)
+    return g.max_merge(old, edges)
+
+
+@query("dropped_names", f"""{INCOMING_SQL}
+SELECT 'blue widget' AS item, count(*) AS edges FROM mapped WHERE item = 'blue widget' OR partner = 'blue widget' HAVING count(*) > 0""")
+def dropped_names(spark, sf_dir):
+    return incoming(spark, sf_dir)[2]
+
+
 @query("provenance", f"WITH {TWO_CORPORA_SQL} SELECT * FROM prov")
 def provenance(spark, sf_dir):
     old, new = two_corpora(spark, sf_dir)
@@ -198,8 +234,8 @@ def most_raised(spark, sf_dir):
 
 @query("append_items", """
 WITH x AS (SELECT p_name AS item, bool_and(p_type = 'PROMO') AS fresh FROM part GROUP BY 1),
-o AS (SELECT item, (row_number() OVER (ORDER BY item) - 1)::INT AS item_id FROM x WHERE left(item, 3) <> 'new'),
-n AS (SELECT item, (row_number() OVER (ORDER BY item) - 1 + (SELECT count(*) FROM o))::INT AS item_id
+o AS (SELECT item, (row_number() OVER (ORDER BY item) - 1)::BIGINT AS item_id FROM x WHERE left(item, 3) <> 'new'),
+n AS (SELECT item, (row_number() OVER (ORDER BY item) - 1 + (SELECT count(*) FROM o))::BIGINT AS item_id
       FROM x WHERE left(item, 3) = 'new')
 SELECT * FROM o UNION ALL SELECT * FROM n""")
 def append_items(spark, sf_dir):

@@ -31,16 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``table``, dealt out to all cores when it is one small file.
+def spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """``table``, dealt out by the unique ``key``, for heavy work on each row.
 
-    A small file is a single row group, which one task reads; heavy work on each row
-    would then run on one core. A table of many files is left as it is.
+    A row group is read by one task; after this its rows are spread over all tasks, and
+    adaptive execution sees to their number.
     """
-    rows = table(spark, sf_dir, name)
-    if len(rows.inputFiles()) < 2:
-        return rows.repartition(spark.sparkContext.defaultParallelism)
-    return rows
+    return table(spark, sf_dir, name).repartition(F.col(key))
 
 
 # -- orders and parts -------------------------------------------------------
@@ -116,7 +113,7 @@ def words(c: Column) -> Column:
 
 def document_words(spark, sf_dir) -> DataFrame:
     """``(basket_id, item)`` over the whole texts, one row per occurrence."""
-    docs = spread(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
     return docs.select(F.col("doc_id").alias("basket_id"), F.explode(words(F.col("text"))).alias("item"))
 
 

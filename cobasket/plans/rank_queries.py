@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cobasket.functions import display as d
@@ -169,7 +170,7 @@ loo AS (SELECT sel_id, item, n, coalesce(t, 0) / 100.0::DOUBLE / (n - 1) AS loo
 
 
 def order_loo(spark, sf_dir):
-    return coherence.loo_scores(i.order_selections(spark, sf_dir), order_edges(spark, sf_dir))
+    return coherence.loo_scores(i.order_selections(spark, sf_dir), order_edges(spark, sf_dir), symmetric=True)
 
 
 @query("loo_scores", f"{LOO_SQL} SELECT sel_id, item, n, round(loo, 9) AS loo FROM loo")
@@ -177,12 +178,38 @@ def loo_scores(spark, sf_dir):
     return _digits(order_loo(spark, sf_dir), "loo")
 
 
-@query("loo_outliers", f"""{LOO_SQL},
+# The larger direction is kept for even scores, the other way round for odd ones.
+@query("loo_one_way", f"{LOO_SQL} SELECT sel_id, item, n, round(loo, 9) AS loo FROM loo")
+def loo_one_way(spark, sf_dir):
+    """The same scores from a table that holds a pair in one direction, or less in the other."""
+    edges = order_edges(spark, sf_dir)
+    ahead = (F.col("item") < F.col("partner")) == (F.col("score") % 2 == 0)
+    partial = edges.where(ahead).unionByName(edges.where(~ahead & (F.col("score") % 3 == 0)).withColumn("score", F.col("score") - 1))
+    return _digits(coherence.loo_scores(i.order_selections(spark, sf_dir), partial), "loo")
+
+
+# A name with its five best partners and a stranger; affinities here are small, so is the floor.
+GUESTS = replace(DEFAULTS, outlier_min_mean=0.001)
+
+
+@query("loo_outliers", f"""
+WITH {i.ORDER_EDGES_SQL},
+five AS (SELECT item AS sel_id, partner AS item FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, partner) AS r FROM e) WHERE r <= 5),
+sel AS (SELECT * FROM five UNION SELECT sel_id, sel_id FROM five UNION SELECT sel_id, 'stranger' FROM five),
+sz AS (SELECT sel_id, count(*) AS n FROM sel GROUP BY 1),
+inn AS (SELECT s.sel_id, s.item, sum(e.score) AS t FROM sel s JOIN e ON e.item = s.item
+        JOIN sel o ON o.sel_id = s.sel_id AND o.item = e.partner GROUP BY 1, 2),
+loo AS (SELECT sel_id, item, coalesce(t, 0) / 100.0::DOUBLE / (n - 1) AS loo FROM sel JOIN sz USING (sel_id) LEFT JOIN inn USING (sel_id, item)),
 h AS (SELECT sel_id, avg(loo) AS m, stddev_pop(loo) AS s FROM loo GROUP BY 1)
 SELECT sel_id, item, round(loo, 9) AS loo, round(m, 9) AS harmony FROM loo JOIN h USING (sel_id)
-WHERE m >= 0.05 AND loo < m - s AND loo < m * 0.5""")
+WHERE m >= 0.001::DOUBLE AND loo < m - s AND loo < m * 0.5""")
 def loo_outliers(spark, sf_dir):
-    flagged = coherence.outliers(order_loo(spark, sf_dir)).where("outlier")
+    edges = order_edges(spark, sf_dir)
+    best = Window.partitionBy("item").orderBy(F.desc("score"), "partner")
+    five = edges.withColumn("_r", F.row_number().over(best)).where("_r <= 5")
+    members = F.explode(F.array("partner", "item", F.lit("stranger"))).alias("member")
+    guests = five.select(F.col("item").alias("sel_id"), members).select("sel_id", F.col("member").alias("item")).distinct()
+    flagged = coherence.outliers(coherence.loo_scores(guests, edges, symmetric=True), GUESTS).where("outlier")
     return _digits(flagged.select("sel_id", "item", "loo", "harmony"), "loo", "harmony")
 
 
@@ -216,8 +243,8 @@ sh AS (SELECT sel_id, count(*) FILTER (WHERE same) AS n_same, count(*) AS n_all
 ti AS (SELECT *, CASE WHEN n_same = 0 OR same THEN 1 ELSE 2 END AS tier,
               least(CASE WHEN n_same > 0 THEN n_same ELSE n_all END, 8) AS scored FROM tg JOIN sh USING (sel_id)),
 fl AS (SELECT *, row_number() OVER (PARTITION BY sel_id, tier ORDER BY matched DESC, basket_id) AS fill FROM ti),
-pool AS (SELECT sel_id, basket_id, n, matched, lang, tier, fill FROM fl
-         WHERE fill <= 200 AND (tier = 1 OR fill <= 8 - scored))"""
+pool AS (SELECT sel_id, basket_id, n, matched, lang, tier, CASE WHEN tier = 2 THEN fill END AS fill FROM fl
+         WHERE tier = 1 OR fill <= 8 - scored)"""
 
 
 def text_selections(spark, sf_dir):

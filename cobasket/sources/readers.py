@@ -53,6 +53,14 @@ def read_affinity_document(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return items.select("item", "item_id"), named.select("context", "item", "partner", "score"), doc.select("v", "meta")
 
 
+def _source_order():
+    """File, place of the split in it, row in the split: the order of the lines whatever the packing of splits."""
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+
+
 def read_basket_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Basket records, one per line; ``src_ord`` follows the order of files and lines."""
     parts = None
@@ -79,29 +87,32 @@ def read_basket_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_records(
-    spark: SparkSession, path: str, title_key: str = "title", items_key: str = "ingredients", url_key: str = "url"
+    spark: SparkSession, path: str, title_key: str = "title", items_key: str = "ingredients", url_key: str = "url",
+    multi_line: bool = True,
 ) -> DataFrame:
     """A dump with user-named columns: ``.jsonl``, ``.json`` or CSV, by suffix.
 
-    The items may be a list, a JSON list in a cell or delimited text.
+    The items may be a list, a JSON list in a cell or delimited text. A ``.json`` file is
+    an array of records, or an object with one in ``recipes``. CSV files without line ends in
+    cells can be split over tasks: give ``multi_line=False``.
     """
+    ordered = _source_order().alias("src_ord")
     if path.endswith(".jsonl"):
         text = F.get_json_object
-        raw = spark.read.text(path).where(F.trim("value") != "").select(F.col("value").alias("j"))
-        raw = raw.select(*[text("j", f"$['{k}']").alias(n) for k, n in ((title_key, "title"), (items_key, "cell"), (url_key, "url"))])
+        raw = spark.read.text(path).where(F.trim("value") != "").select(ordered, F.col("value").alias("j"))
+        raw = raw.select("src_ord", *[text("j", f"$['{k}']").alias(n) for k, n in ((title_key, "title"), (items_key, "cell"), (url_key, "url"))])
     elif path.endswith(".json"):
-        whole = spark.read.text(path, wholetext=True)
-        rows = F.coalesce(
-            F.from_json("value", "array<string>"),
-            F.from_json(F.get_json_object("value", "$.recipes"), "array<string>"),
-        )
-        raw = whole.select(F.explode(rows).alias("j"))
-        raw = raw.select(*[F.get_json_object("j", f"$['{k}']").alias(n) for k, n in ((title_key, "title"), (items_key, "cell"), (url_key, "url"))])
+        keys = {title_key: "title", items_key: "cell", url_key: "url"}
+        record = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+        whole = spark.read.schema(record.add("recipes", T.ArrayType(T.StructType(list(record.fields))))).json(path, multiLine=True)
+        one = F.array(F.struct(*[F.col(f"`{k}`") for k in keys]))
+        raw = whole.select(ordered, F.explode(F.coalesce("recipes", one)).alias("j"))
+        raw = raw.select("src_ord", *[F.col("j").getField(k).alias(n) for k, n in keys.items()])
     else:
-        csv = spark.read.csv(path, header=True, multiLine=True, escape='"')
-        raw = csv.select(F.col(title_key).alias("title"), F.col(items_key).alias("cell"), F.col(url_key).alias("url"))
+        csv = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+        raw = csv.select(ordered, F.col(title_key).alias("title"), F.col(items_key).alias("cell"), F.col(url_key).alias("url"))
     return raw.select(
-        F.monotonically_increasing_id().alias("src_ord"),
+        "src_ord",
         F.trim(F.coalesce("title", F.lit(""))).alias("title"),
         F.coalesce(cell_to_lines(F.col("cell")), F.array().cast("array<string>")).alias("lines"),
         F.trim(F.coalesce("url", F.lit(""))).alias("url"),
@@ -116,11 +127,11 @@ def lines_to_phrases(records: DataFrame, lang: str = "fr", source: str = "french
     )
 
 
-def read_wide_csv(spark: SparkSession, path: str, source: str = "wide") -> DataFrame:
+def read_wide_csv(spark: SparkSession, path: str, source: str = "wide", multi_line: bool = True) -> DataFrame:
     """``title, link, NER`` with a list in the cell; the other columns are not parsed."""
-    csv = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    csv = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return csv.select(
-        F.monotonically_increasing_id().alias("src_ord"),
+        _source_order().alias("src_ord"),
         F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.lit("en").alias("lang"),
         cell_to_list(F.col("NER")).alias("phrases"), normalise_url(F.col("link")).alias("url"),
         F.lit(source).alias("source"),
@@ -128,13 +139,14 @@ def read_wide_csv(spark: SparkSession, path: str, source: str = "wide") -> DataF
 
 
 def read_long_csv(
-    spark: SparkSession, path: str, url_key: str = "url", title_key: str = "recette", item_key: str = "ingredients"
+    spark: SparkSession, path: str, url_key: str = "url", title_key: str = "recette", item_key: str = "ingredients",
+    multi_line: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """One row per line item; rows of a url form a record. Returns heads and lines."""
-    csv = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    csv = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return split_lines(
         csv.select(
-            F.monotonically_increasing_id().alias("ord"), F.trim(F.coalesce(url_key, F.lit(""))).alias("url"),
+            _source_order().alias("ord"), F.trim(F.coalesce(url_key, F.lit(""))).alias("url"),
             F.trim(F.coalesce(title_key, F.lit(""))).alias("title"), F.coalesce(item_key, F.lit("")).alias("line"),
         )
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cobasket.operators.baskets import encode
 from cobasket.operators.graph import dense_ids
+from cobasket.staging import stage
 
 
 def write_graph(edges: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -26,10 +27,17 @@ def adjacency(items: DataFrame, edges: DataFrame, part_size: int = 10_000) -> Da
     """
     ids = items if "item_id" in items.columns else dense_ids(items.select("item"), ["item"])
     partner_ids = ids.select(F.col("item").alias("partner"), F.col("item_id").alias("pid"))
-    best_first = Window.partitionBy("item").orderBy(F.desc("score"), "pid")
+    # A place is what comes before the cell of the same score and id range, and the place
+    # in the cell; a hub is never sorted as a whole.
+    cell = ["item", "score", "slot"]
+    spread = edges.join(partner_ids, "partner").withColumn("slot", F.floor(F.col("pid") / part_size))
+    spread = stage(spread.select("pid", *cell), "spread")
+    before = Window.partitionBy("item").orderBy(F.desc("score"), "slot").rowsBetween(Window.unboundedPreceding, -1)
+    starts = spread.groupBy(*cell).count().select(*cell, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*cell).orderBy("pid")
     lists = (
-        edges.join(partner_ids, "partner")
-        .withColumn("place", F.row_number().over(best_first) - 1)
+        spread.join(starts, cell)
+        .withColumn("place", F.col("start") + F.row_number().over(inside) - 1)
         .groupBy("item", F.floor(F.col("place") / part_size).cast("int").alias("part"))
         .agg(F.array_sort(F.collect_list(F.struct("place", "pid", "score"))).alias("l"))
     )

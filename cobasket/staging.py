@@ -20,11 +20,11 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a fresh one only in local mode."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    configured = spark.sparkContext.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")
     if configured:
+        if configured.startswith("file:") and not local:
+            raise RuntimeError(f"spark.checkpoint.dir is {configured}, which executors on other machines do not share")
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
@@ -34,11 +34,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in this application's folder."""
+    app = spark.sparkContext.applicationId
+    return f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{app}/{label}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application has staged; results read from them must be stored before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to a new staged table and return a scan of it."""
     spark = df.sparkSession
-    app = spark.sparkContext.applicationId
-    path = f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{app}/{label}-{uuid.uuid4().hex}"
+    path = folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -53,7 +53,7 @@ def test_npmi_matches_definition(spark):
 @pytest.mark.parametrize("giant", [1, 6])
 def test_oversized_baskets_and_hot_items_count_the_same(spark, giant):
     """A few giant baskets (below the support) and many (above it), items split in parts."""
-    p = Params(min_item_freq=5, min_support=3, light_basket_items=8, hot_item_baskets=7)
+    p = Params(min_item_freq=5, min_support=3, light_basket_items=8)
     baskets = random_baskets(2 + giant, giant=giant)
     assert got_pairs(g.npmi_pairs(as_df(spark, baskets), p)) == brute_pairs(baskets, p)
 
@@ -144,3 +144,12 @@ def test_incoming_edges_respect_curation(spark):
 
 def test_params_are_one_place():
     assert replace(Params(), min_support=1).min_item_freq == 30
+
+
+def test_pairs_are_counted_before_they_travel(spark):
+    rows = spark.createDataFrame([(b, x, 1) for b in range(40) for x in (1, 2)], "basket_id int, id long, n long")
+    counted = g._light_counts(rows)
+    assert [tuple(r) for r in counted.collect()] == [(1, 2, 40)]
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    last = plan[:plan.index("partial_count")]
+    assert last.rindex("Exchange hashpartitioning(a") > 0 and "Generate" not in last

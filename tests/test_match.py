@@ -4,7 +4,7 @@ import random
 from cobasket.operators import match as mt
 from cobasket.params import Params
 
-P = Params(match_score_cap=5, match_limit=3)
+P = Params(match_limit=3)
 
 
 def world(seed):
@@ -47,7 +47,7 @@ def expected(baskets, lang, chosen, scores):
     same = [k for k in pool if baskets[k][0] == lang]
     first, rest = (same, [k for k in pool if k not in same]) if same else (list(pool), [])
     by_hits = lambda ks: sorted(ks, key=lambda k: (-hits[k], k))
-    ranked = sorted(by_hits(first)[: P.match_score_cap], key=lambda k: (-round(score(k), 9), len(baskets[k][1]) - hits[k], k))
+    ranked = sorted(first, key=lambda k: (-round(score(k), 9), len(baskets[k][1]) - hits[k], k))
     out = ranked[: P.match_limit]
     out += by_hits(rest)[: P.match_limit - len(out)]
     return [(k, round(score(k), 9)) for k in out]
@@ -81,3 +81,13 @@ def test_fit_of_an_item_with_nothing_else(spark):
     pairs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c")], "basket_id int, item string")
     got = {r.item: r.fit for r in mt.pairing_fit(pairs, basket, edges).collect()}
     assert got == {"a": 0.0, "b": 0.4, "c": 0.0}
+
+
+def test_the_best_basket_may_come_late(spark):
+    rows = [(b, pos, x) for b in range(250) for pos, x in enumerate(["a", "b", "c", *[f"x{b}_{k}" for k in range(1 if b == 249 else 9)]])]
+    basket_items = spark.createDataFrame(rows, "basket_id int, pos int, item string")
+    heads = spark.createDataFrame([(b, "t", "u", "en") for b in range(250)], "basket_id int, title string, url string, lang string")
+    chosen = spark.createDataFrame([(1, x, "en") for x in "abc"], "sel_id int, item string, lang string")
+    edges = spark.createDataFrame([("a", "b", 40)], "item string, partner string, score int")
+    got = mt.basket_matches(chosen, heads, basket_items, edges).orderBy("rank").collect()
+    assert got[0].basket_id == 249 and len(got) == 8

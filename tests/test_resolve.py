@@ -110,3 +110,11 @@ def test_compaction_equals_one_by_one(spark):
         want, bad = sequential_merges(proposed, existing, deleted)
         assert {x.src: x.tgt for x in kept.collect()} == want
         assert sorted((x.src, x.tgt) for x in refused.collect()) == bad
+
+
+def test_contradicting_merges_have_one_answer(spark):
+    merged = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "a"), ("d", "a"), ("d", "a")], "src string, tgt string")
+    ends = {(x.src, x.dst, x.cyclic) for x in r.follow_links(merged.withColumnRenamed("tgt", "dst")).collect()}
+    assert ends == {("a", "a", True), ("b", "b", True), ("d", "a", True)}
+    ordered = spark.createDataFrame([("a", "b", 1), ("a", "c", 2)], "src string, tgt string, ord int")
+    assert [tuple(x) for x in r.one_target(ordered).collect()] == [("a", "c")]

@@ -93,3 +93,15 @@ def test_localise_cascade(spark):
     }
     names = spark.createDataFrame([(n,) for n in table], "name string")
     assert {r.name: r.localised for r in localise.localise(names, words).collect()} == table
+
+
+def test_folding_all_characters(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x10000), *range(0x10000, 0x30000, 7))]
+    rows = spark.createDataFrame([(c,) for c in chars], "c string").repartition(8)
+    got = {r.c: r.f for r in rows.select("c", text.fold_accents(F.col("c")).alias("f")).collect()}
+    want = {c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)) for c in chars}
+    assert [c for c in chars if got[c] != want[c]] == []
+    mixed = spark.createDataFrame([("\u1f04\u03bb\u03c6\u03b1 \u0439\u0451 \ud55c\uae00 \u2122 \ufb01n",)], "c string")
+    assert mixed.select(text.fold_accents(F.col("c"))).first()[0] == "\u03b1\u03bb\u03c6\u03b1 \u0438\u0435 \u1112\u1161\u11ab\u1100\u1173\u11af TM fin"
