@@ -49,8 +49,14 @@ mr AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY round(score, 9) D
 def media(spark, sf_dir):
     from pyspark.sql import Window
 
-    pages = i.table(spark, sf_dir, "pages")
-    site = F.regexp_extract("url", r"([a-z]+)\.example", 1)
+    # A page's place in its site: what earlier ranges of ids hold, and its place in its own
+    # range, so that a large site is never sorted as a whole.
+    site, span = F.regexp_extract("url", r"([a-z]+)\.example", 1), F.floor(F.col("page_id") / 1000)
+    pages = i.table(spark, sf_dir, "pages").withColumns({"site": site, "span": span})
+    earlier = Window.partitionBy("site").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    starts = pages.groupBy("site", "span").count().select("site", "span", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
+    pages = pages.join(starts, ["site", "span"])
+    place = F.row_number().over(Window.partitionBy("site", "span").orderBy("page_id"))
     size = F.length("html")
     name = F.concat(
         F.regexp_extract("html", "<title>([^<]*)", 1),
@@ -59,10 +65,10 @@ def media(spark, sf_dir):
     )
     kind = F.length("url") % 4
     return pages.select(
-        "page_id", site.alias("item"), F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("title"), name.alias("file"),
+        "page_id", F.col("site").alias("item"), F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("title"), name.alias("file"),
         F.when(kind == 0, "CC BY-SA 4.0").when(kind == 1, "CC BY-NC 2.0").when(kind == 2, "Public domain").otherwise("").alias("license"),
         (size % 2000).alias("width"), F.when(F.col("url").startswith("https"), "bitmap").otherwise("").alias("mediatype"),
-        (F.row_number().over(Window.partitionBy(site).orderBy("page_id")) - 1).alias("ord"),
+        (F.col("start") + place - 1).cast("int").alias("ord"),
     )
 
 
