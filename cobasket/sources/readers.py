@@ -179,19 +179,23 @@ def parsed_lines(lines: DataFrame, **lists) -> DataFrame:
 
 
 def read_encoded_baskets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The exported basket document: ``baskets``, ``refs(basket_id, pos, local_id)``, ``vocabulary``."""
+    """The exported basket document: ``baskets``, ``refs(basket_id, pos, local_id)``, ``vocabulary``.
+
+    Baskets carry the version ``v`` of the document and their number of fields ``arity``,
+    for ``quality.check_baskets``: a short row has nulls where fields are missing.
+    """
     doc = _document(spark, path, "v INT, ing ARRAY<STRING>, r ARRAY<STRING>")
     vocabulary = doc.select(F.posexplode("ing").alias("local_id", "item"))
-    rows = doc.select(F.posexplode("r").alias("basket_id", "row")).select(
-        "basket_id", F.from_json("row", "array<string>").alias("f")
+    rows = doc.select("v", F.posexplode("r").alias("basket_id", "row")).select(
+        "v", "basket_id", F.from_json("row", "array<string>").alias("f")
     )
     baskets = rows.select(
-        F.col("basket_id").cast("long").alias("basket_id"), F.col("f")[0].alias("title"),
-        F.col("f")[2].alias("url"), F.col("f")[3].alias("lang"),
+        F.col("basket_id").cast("long").alias("basket_id"), F.get("f", F.lit(0)).alias("title"),
+        F.get("f", F.lit(2)).alias("url"), F.get("f", F.lit(3)).alias("lang"), F.size("f").alias("arity"), "v",
     )
     refs = rows.select(
         F.col("basket_id").cast("long").alias("basket_id"),
-        F.posexplode(F.from_json(F.col("f")[1], "array<int>")).alias("pos", "local_id"),
+        F.posexplode(F.from_json(F.get("f", F.lit(1)), "array<int>")).alias("pos", "local_id"),
     )
     return baskets, refs, vocabulary
 

@@ -107,3 +107,15 @@ def test_decision_files(spark, tmp_path):
     assert tuple(pool.first()) == ("p", "dev", 0, "c")
     assert readers.read_manifest(spark, put(tmp_path / "m.json", {"slugs": ["s"]})).first().slug == "s"
     assert tuple(readers.read_string_map(spark, put(tmp_path / "s.json", {"a": "b"})).select(F.col("src"), "tgt").first()) == ("a", "b")
+
+
+def test_encoded_baskets_of_wrong_shape_are_reported(spark, tmp_path):
+    from cobasket.operators import quality
+
+    path = put(tmp_path / "s.json", {"v": 1, "ing": ["a"], "r": [["T", [0], "u", "fr"], ["E", [0], "u"], ["F", [0], "u", "en", 5]]})
+    baskets, refs, vocab = readers.read_encoded_baskets(spark, path)
+    live = spark.createDataFrame([("a",)], "item string")
+    found = {r.check: r.violations for r in quality.check_baskets(baskets, refs, vocab, live, version=2).collect()}
+    assert found["wrong arity"] == 2 and found["wrong document version"] == 3 and found["unknown language"] == 1
+    found = {r.check: r.violations for r in quality.check_baskets(baskets, refs, vocab, live, langs=None, version=1).collect()}
+    assert found["wrong document version"] == 0 and found["no items"] == 0
