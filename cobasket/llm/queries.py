@@ -91,6 +91,20 @@ SELECT page_id, payload_bytes,
        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> first THEN first END AS refers_to
 FROM (SELECT page_id, payload_bytes, h, first, unhex(h)::BIT::VARCHAR AS bits FROM d JOIN f USING (h))""",
+    "op6_repeated_passages": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+l AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, unnest(range(1, n - 48)) AS p, unnest(list_transform(range(1, n - 48), lambda i: b[i:i + 49])) AS s FROM l WHERE n >= 50),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s),
+hit AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN f USING (s) WHERE first < doc_id),
+run AS (SELECT doc_id, p, sum((before IS NULL OR p > before + 50)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM hit),
+span AS (SELECT doc_id, min(p) AS start, max(p) + 50 AS stop FROM run GROUP BY doc_id, g),
+piece AS (SELECT doc_id, start, stop, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY start), 1) AS upto FROM span),
+kept AS (SELECT doc_id, sum(stop - start)::BIGINT AS n_removed, count(*) AS n_spans, max(stop) AS tail,
+                string_agg(CASE WHEN start > upto THEN hex(b[upto:start - 1]) ELSE '' END, '' ORDER BY start) AS k FROM piece JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(k, '') || CASE WHEN coalesce(tail, 1) <= n THEN hex(b[coalesce(tail, 1):n]) ELSE '' END)) AS kept_sha256
+FROM l LEFT JOIN kept USING (doc_id)""",
     "op7_decontaminate": r"""
 WITH dw AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM documents),
 iw AS (SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM benchmark),
