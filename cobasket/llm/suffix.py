@@ -14,7 +14,7 @@ segments of its anchor. That deals the corpus out into families of segments:
    keys of their own (place of the anchor, first and last bytes), so it spreads out.
 3. Segments of equal content are one entry. Families that still have several are shards of
    suffixes: each shard has a Burrows-Wheeler transform, and the transforms are merged
-   by refining their interleaving, one symbol a round, without sorting suffixes
+   by refining their interleaving, two symbols a round, without sorting suffixes
    again. Rounds also tell how long neighbours agree, so after ``LENGTH`` rounds the
    intervals of suffixes with a common prefix of that length stand; the least document
    of an interval is the first in which its string starts.
@@ -50,7 +50,9 @@ LENGTH = 50
 PIECE = 24
 CHUNK_BYTES = 8 << 20
 SHARDS = 8
-#: An anchor in so many chunks and batches sends its windows one by one.
+#: Bytes of families that are merged at once, about; a larger family is merged alone.
+MERGE_BYTES = 1 << 18
+#: An anchor that occurs so often sends its windows one by one.
 WIDE_ANCHOR = 512
 _SLICE = 1 << 17
 _END = 255  # no byte of UTF-8
@@ -136,8 +138,9 @@ def _bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
-def _split(group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Group numbers that occur, with the places at which they do, in order."""
+def _split(group: np.ndarray, groups: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Group numbers below ``groups`` that occur, with the places at which they do, in order."""
+    group = group.astype(np.uint16 if groups <= 1 << 16 else np.int64)
     order = np.argsort(group, kind="stable")
     cut = np.flatnonzero(np.diff(group[order])) + 1
     for at in np.split(order, cut):
@@ -155,33 +158,28 @@ def common_anchors(docs: DataFrame, groups: int) -> DataFrame:
         for batch in batches:
             chunk = batch.column(0).to_numpy()
             doc, _, _, anchor = segments(_bytes(batch.column(1)))
-            # Of each document an anchor counts once; of each chunk, once or more.
-            order = np.lexsort((doc, chunk[doc], anchor))
-            anchor, doc = anchor[order], doc[order]
-            same = np.concatenate(([False], (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1])))
-            anchor, own = anchor[~same], chunk[doc[~same]]
-            new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (own[1:] != own[:-1])))) if len(anchor) else np.empty(0, int)
-            many = np.diff(np.append(new, len(anchor))) > 1
-            anchor, own = anchor[new], own[new]
+            order = np.argsort(anchor)
+            anchor, own = anchor[order], chunk[doc[order]].astype(np.int32)
             rows = []
-            for group, at in _split((anchor % np.uint64(groups)).astype(np.int64)):
-                gaps = np.diff(anchor[at], prepend=np.uint64(0))
-                rows.append((group, pack(gaps, own[at].astype(np.int32), many[at])))
+            for group, at in _split(anchor % np.uint64(groups), groups):
+                rows.append((group, pack(np.diff(anchor[at], prepend=np.uint64(0)), own[at])))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["group", "data"])
 
     def compare(table: pa.Table) -> pa.Table:
-        parts = [unpack(d, "<u8", "<i4", "?") for d in table["data"].to_pylist()]
-        anchor = np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _, _ in parts])
-        chunk = np.concatenate([c for _, c, _ in parts])
-        many = np.concatenate([m for _, _, m in parts])
-        order = np.lexsort((chunk, anchor))
-        anchor, chunk, many = anchor[order], chunk[order], many[order]
+        parts = [unpack(d, "<u8", "<i4") for d in table["data"].to_pylist()]
+        anchor = np.concatenate([np.cumsum(g, dtype=np.uint64) for g, _ in parts])
+        chunk = np.concatenate([c for _, c in parts])
+        order = np.argsort(anchor)
+        anchor, chunk = anchor[order], chunk[order]
         start = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
         size = np.diff(np.append(start, len(anchor)))
-        common = np.repeat((size > 1) | np.logical_or.reduceat(many, start), size)
-        wide = np.repeat(size >= WIDE_ANCHOR, size)
-        anchor, chunk, wide = anchor[common], chunk[common], wide[common]
-        rows = [(c, pack(anchor[at], wide[at])) for c, at in _split(chunk)]
+        size = np.repeat(size, size)
+        common = size > 1
+        anchor, chunk, wide = anchor[common], chunk[common], size[common] >= WIDE_ANCHOR
+        rows = []
+        for c, at in _split(chunk, groups):
+            at = at[np.append(True, anchor[at[1:]] != anchor[at[:-1]])]
+            rows.append((c, pack(anchor[at], wide[at])))
         return pa.Table.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["chunk", "data"])
 
     gathered = docs.select("chunk", "text").mapInArrow(gather, "group int, data binary")
@@ -221,12 +219,13 @@ class _Chunk:
         content = np.fromiter(
             (digest(texts[d][s:s + c + LENGTH - 1]) for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)), np.uint64, len(doc),
         )
-        order = np.lexsort((ids[doc], content, anchor))
+        order = np.lexsort((content, anchor))
         self.doc, self.start, self.count, self.key, self.content = (x[order] for x in (doc, start, count, anchor, content))
         self.id = ids[self.doc]
         new = np.concatenate(([True], (self.key[1:] != self.key[:-1]) | (self.content[1:] != self.content[:-1]))) if len(order) else np.empty(0, bool)
         self.first = np.flatnonzero(new)
         self.entry = np.cumsum(new) - 1
+        self.least = np.minimum.reduceat(self.id, self.first) if len(order) else self.id
 
 
 def _sort_rotations(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -248,13 +247,14 @@ def _sort_rotations(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     for _ in range(8):
         key = (key << np.uint64(8)) | text[at].astype(np.uint64)
         at = step[at]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
+    sorted_key = key[order]
     rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+    rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
     covered, longest = 8, int(sizes.max(initial=1))
     while covered < longest and rank[order[-1]] < n - 1:
         key = rank * np.int64(n + 1) + rank[ahead(covered)]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         sorted_key = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
@@ -263,32 +263,43 @@ def _sort_rotations(text: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def transform(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The Burrows-Wheeler transform of a shard's strings, and the text position of each of its rows."""
+    """The Burrows-Wheeler transform of a shard's strings, and the text position of each of its rows.
+
+    A row has the two symbols before it, as one number: the farther one counts more.
+    """
     order = _sort_rotations(text, bounds)
     before = np.arange(len(text)) - 1
     before[bounds[:-1]] = bounds[1:] - 1
-    return text[before[order]], order
+    near = before[order]
+    return (text[before[near]].astype(np.uint16) << 8) | text[near], order
 
 
 def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Merge transforms: the shard of every merged row, and where a row differs from the one before within ``depth`` symbols.
 
-    The interleaving that is right for ``r`` symbols becomes right for ``r + 1`` when its
-    rows are moved, in order, to the buckets of the symbols before them. Rows that
+    The interleaving that is right for ``r`` symbols becomes right for ``r + 2`` when its
+    rows are moved, in order, to the buckets of the two symbols before them. Rows that
     lie in one block agree so far; strings end in a mark that agrees with nothing.
+    ``depth`` is even.
     """
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
+    sizes = [len(s) for s in shards]
     symbols = np.concatenate(shards)
-    block = np.zeros(len(source), np.int32)
-    for _ in range(depth):
-        rows = np.argsort(source, kind="stable")
-        before = np.empty_like(symbols)
-        before[rows] = symbols
+    ended = ((symbols & 255) == _END) | (symbols >> 8 == _END)
+    # Where a row of a shard's own transform goes in one round.
+    target, offset = np.empty(len(symbols), np.int32), 0
+    for s in shards:
+        target[offset + np.argsort(s, kind="stable")] = np.arange(offset, offset + len(s), dtype=np.int32)
+        offset += len(s)
+    rows, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    for _ in range(depth // 2):
+        before = symbols[rows]
         move = np.argsort(before, kind="stable")
-        source, block, before = source[move], block[move], before[move]
-        fresh = (before[1:] != before[:-1]) | (block[1:] != block[:-1]) | (before[1:] == _END)
-        block = np.concatenate(([0], np.cumsum(fresh, dtype=np.int32))).astype(np.int32)
-    return source, np.concatenate(([True], block[1:] != block[:-1]))
+        moved, block, before = rows[move], block[move], before[move]
+        fresh = (before[1:] != before[:-1]) | (block[1:] != block[:-1]) | ended[moved[1:]]
+        rows = target[moved]
+        block = np.concatenate((block[:1] * 0, np.cumsum(fresh, dtype=np.int32)))
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    return source[rows], np.concatenate(([True], block[1:] != block[:-1]))
 
 
 def first_documents(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
@@ -319,10 +330,14 @@ def first_documents(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray
 
 
 def _settle(table: pa.Table) -> pa.Table:
-    """The first document of every window of the segments of one group of families, by chunk."""
+    """The first document of every window of the segments of one group of families, by chunk.
+
+    A chunk gets its answers in the order in which it sent the segments.
+    """
     chunks, parts, contents = [], [], []
     for chunk, data, content in zip(table["chunk"].to_pylist(), table["data"].to_pylist(), table["content"].to_pylist(), strict=True):
-        part = unpack(data, "<u8", "<u8", "<i8", "<i4")
+        gaps, *rest = unpack(data, "<u8", "<u8", "<i8", "<i4")
+        part = [np.cumsum(gaps, dtype=np.uint64), *rest]
         parts.append(part)
         chunks.append(np.full(len(part[0]), chunk))
         contents.append(zstandard.ZstdDecompressor().decompress(content))
@@ -341,11 +356,16 @@ def _settle(table: pa.Table) -> pa.Table:
     found: list[np.ndarray | None] = [None] * len(first)
     chosen = np.flatnonzero(several)
     if len(chosen):
-        strings = [text[begin[first[i]]:begin[first[i]] + size[first[i]]] for i in chosen]
-        for i, values in zip(chosen.tolist(), first_documents(strings, least[chosen]), strict=True):
-            found[i] = values
+        # Whole families at a time, a few of them, so that a merge stays in the processor's cache.
+        ends = np.cumsum(size[first[chosen]], dtype=np.int64)
+        last = np.flatnonzero(np.append(family[chosen][1:] != family[chosen][:-1], True)) + 1
+        cuts = last[np.flatnonzero(np.append(ends[last - 1][1:] // MERGE_BYTES != ends[last - 1][:-1] // MERGE_BYTES, True))]
+        for part in np.split(chosen, cuts[:-1]):
+            strings = [text[begin[first[i]]:begin[first[i]] + size[first[i]]] for i in part]
+            for i, values in zip(part.tolist(), first_documents(strings, least[part]), strict=True):
+                found[i] = values
     rows = []
-    for number, at in _split(chunk):
+    for number, at in _split(chunk, int(chunk.max()) + 1):
         # Runs of equal values: how many runs an entry has, their lengths and values.
         lengths, values, runs = [], [], np.empty(len(at), np.int32)
         for j, i in enumerate(at.tolist()):
@@ -359,8 +379,9 @@ def _settle(table: pa.Table) -> pa.Table:
                 runs[j] = len(cut)
                 lengths.extend(np.diff(np.append(cut, len(own))).tolist())
                 values.extend(own[cut].tolist())
-        rows.append((number, pack(key[at], digest[at], runs), pack(np.array(lengths, "<i4"), np.array(values, "<i8"))))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "data", "runs"])
+        rows.append((number, table["group"][0].as_py(), pack(runs), pack(np.array(lengths, "<i4"), np.array(values, "<i8"))))
+    kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "part", "data", "runs"])
 
 
 def _send(groups: int, texts: pa.Table, packed: pa.Table) -> pa.Table:
@@ -371,10 +392,10 @@ def _send(groups: int, texts: pa.Table, packed: pa.Table) -> pa.Table:
         own = _Chunk(body, texts["id"].fill_null(_LAST).to_numpy(), packed["data"].to_pylist())
         chunk, at = texts["chunk"][0].as_py(), own.first
         size = (own.count[at] + LENGTH - 1).astype("<i4")
-        for group, here in _split((own.key[at] % np.uint64(groups)).astype(np.int64)):
-            some = at[here]
+        for group, here in _split(own.key[at] % np.uint64(groups), groups):
+            some, least = at[here], own.least[here]
             content = b"".join(body[d][s:s + n] for d, s, n in zip(own.doc[some].tolist(), own.start[some].tolist(), size[here].tolist(), strict=True))
-            rows.append((group, chunk, pack(own.key[some], own.content[some], own.id[some], size[here]), zstandard.ZstdCompressor(level=1).compress(content)))
+            rows.append((group, chunk, pack(np.diff(own.key[some], prepend=np.uint64(0)), own.content[some], least, size[here]), zstandard.ZstdCompressor(level=1).compress(content)))
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["group", "chunk", "data", "content"])
 
@@ -382,21 +403,26 @@ def _send(groups: int, texts: pa.Table, packed: pa.Table) -> pa.Table:
 _REMOVED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
-def _remove(with_text: bool, texts: pa.Table, packed: pa.Table) -> pa.Table:
-    """Every document of a chunk without its repeated bytes."""
+def _remove(options: tuple[bool, int], texts: pa.Table, packed: pa.Table) -> pa.Table:
+    """Every document of a chunk without its repeated bytes; ``options`` are whether to return them, and the groups."""
+    with_text, groups = options
     body = _bytes(texts["text"]) if texts.num_rows else []
     ids = texts["id"].fill_null(_LAST).to_numpy() if body else np.empty(0, np.int64)
     gone: list[list[tuple[int, int]]] = [[] for _ in body]
     if body and packed.num_rows:
         own = _Chunk(body, ids, [d for d in packed["anchors"].to_pylist() if d is not None])
-        found = [unpack(d, "<u8", "<u8", "<i4") for d in packed["data"].to_pylist() if d is not None]
-        values = [unpack(d, "<i4", "<i8") for d in packed["runs"].to_pylist() if d is not None]
-        if found:
-            key, digest, runs = (np.concatenate(x) for x in zip(*found, strict=True))
-            length, least = (np.concatenate(x) for x in zip(*values, strict=True))
+        sent = dict(_split(own.key[own.first] % np.uint64(groups), groups))
+        answers = [
+            (sent[part], unpack(data, "<i4")[0], unpack(runs, "<i4", "<i8"))
+            for part, data, runs in zip(packed["part"].to_pylist(), packed["data"].to_pylist(), packed["runs"].to_pylist(), strict=True) if data is not None
+        ]
+        if answers:
+            place, runs = (np.concatenate(x) for x in zip(*((p, r) for p, r, _ in answers), strict=True))
+            length, least = (np.concatenate(x) for x in zip(*(v for _, _, v in answers), strict=True))
             begin = np.cumsum(runs) - runs
-            order = np.lexsort((digest, key))
-            # Entries of a chunk are distinct, so both sides list the same keys in the same order.
+            # Segments were sent group by group, in the order of their keys.
+            order = np.empty(len(place), np.int64)
+            order[place] = np.arange(len(place))
             entry = order[own.entry]
             for doc, start, number, i in zip(own.doc.tolist(), own.start.tolist(), own.id.tolist(), entry.tolist(), strict=True):
                 at = start
@@ -444,11 +470,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text")
     anchors = stage(common_anchors(rows, chunks), "anchors")
     sent = rows.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_bound(_send, chunks), "group int, chunk int, data binary, content binary")
-    settled = sent.groupBy("group").applyInArrow(_settle, "chunk int, data binary, runs binary")
-    answers = settled.select("chunk", "data", "runs", F.lit(None).cast("binary").alias("anchors")).unionByName(
-        anchors.select("chunk", F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("runs"), F.col("data").alias("anchors")),
+    settled = sent.groupBy("group").applyInArrow(_settle, "chunk int, part int, data binary, runs binary")
+    answers = settled.select("chunk", "part", "data", "runs", F.lit(None).cast("binary").alias("anchors")).unionByName(
+        anchors.select("chunk", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("data"), F.lit(None).cast("binary").alias("runs"), F.col("data").alias("anchors")),
     )
     done = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _bound(_remove, with_text), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
+        _bound(_remove, (with_text, chunks)), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary",
     )
     return done.withColumnRenamed("id", id_col)
