@@ -23,7 +23,7 @@ segments of its anchor. That deals the corpus out into families of segments:
 Between the steps, anchors and segments travel as packed arrays, one row for each chunk of
 documents and family group, so shuffles move few rows. Chunks and groups follow the
 size of the input. Hashes only decide what is compared, but for one case: segments of
-one anchor count as equal when anchor and content hash, 128 bits together, agree.
+one anchor count as equal when anchor and content hash, 112 bits together, agree.
 
 A null text is empty. Texts shorter than ``LENGTH`` lose nothing. A null id counts as
 larger than all others, and rows with equal ids (or without) never remove from each
@@ -48,7 +48,9 @@ from cobasket.staging import stage
 
 LENGTH = 50
 PIECE = 24
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Anchors are told apart by this many bits less while the common ones are looked for.
+SHORT = np.uint64(16)
 SHARDS = 8
 #: Bytes of families that are merged at once, about; a larger family is merged alone.
 MERGE_BYTES = 1 << 18
@@ -161,8 +163,8 @@ def common_anchors(docs: DataFrame, groups: int) -> DataFrame:
             order = np.argsort(anchor)
             anchor, own = anchor[order], chunk[doc[order]].astype(np.int32)
             rows = []
-            for group, at in _split(anchor % np.uint64(groups), groups):
-                rows.append((group, pack(np.diff(anchor[at], prepend=np.uint64(0)), own[at])))
+            for group, at in _split((anchor >> SHORT) % np.uint64(groups), groups):
+                rows.append((group, pack(np.diff(anchor[at] >> SHORT, prepend=np.uint64(0)), own[at])))
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["group", "data"])
 
     def compare(table: pa.Table) -> pa.Table:
@@ -179,7 +181,7 @@ def common_anchors(docs: DataFrame, groups: int) -> DataFrame:
         rows = []
         for c, at in _split(chunk, groups):
             at = at[np.append(True, anchor[at[1:]] != anchor[at[:-1]])]
-            rows.append((c, pack(anchor[at], wide[at])))
+            rows.append((c, pack(np.diff(anchor[at], prepend=np.uint64(0)), wide[at])))
         return pa.Table.from_arrays([pa.array([c for c, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["chunk", "data"])
 
     gathered = docs.select("chunk", "text").mapInArrow(gather, "group int, data binary")
@@ -193,13 +195,13 @@ class _Chunk:
         import xxhash
 
         known = [unpack(d, "<u8", "?") for d in packed]
-        anchors = np.concatenate([a for a, _ in known]) if known else np.empty(0, np.uint64)
+        anchors = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in known]) if known else np.empty(0, np.uint64)
         wide = np.concatenate([w for _, w in known]) if known else np.empty(0, bool)
         order = np.argsort(anchors)
         anchors, wide = anchors[order], wide[order]
         doc, start, count, anchor = segments(texts)
-        place = np.minimum(np.searchsorted(anchors, anchor), max(0, len(anchors) - 1))
-        common = anchors[place] == anchor if len(anchors) else np.zeros(len(anchor), bool)
+        place = np.minimum(np.searchsorted(anchors, anchor >> SHORT), max(0, len(anchors) - 1))
+        common = anchors[place] == anchor >> SHORT if len(anchors) else np.zeros(len(anchor), bool)
         doc, start, count, anchor, place = (x[common] for x in (doc, start, count, anchor, place))
         spread = wide[place] if len(anchors) else np.empty(0, bool)
         if spread.any():
@@ -216,9 +218,10 @@ class _Chunk:
             )
             anchor[split] = mixed
         digest = xxhash.xxh64_intdigest
+        # 48 bits of content beside 64 of the anchor.
         content = np.fromiter(
             (digest(texts[d][s:s + c + LENGTH - 1]) for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)), np.uint64, len(doc),
-        )
+        ) >> SHORT
         order = np.lexsort((content, anchor))
         self.doc, self.start, self.count, self.key, self.content = (x[order] for x in (doc, start, count, anchor, content))
         self.id = ids[self.doc]
@@ -395,7 +398,7 @@ def _send(groups: int, texts: pa.Table, packed: pa.Table) -> pa.Table:
         for group, here in _split(own.key[at] % np.uint64(groups), groups):
             some, least = at[here], own.least[here]
             content = b"".join(body[d][s:s + n] for d, s, n in zip(own.doc[some].tolist(), own.start[some].tolist(), size[here].tolist(), strict=True))
-            rows.append((group, chunk, pack(np.diff(own.key[some], prepend=np.uint64(0)), own.content[some], least, size[here]), zstandard.ZstdCompressor(level=1).compress(content)))
+            rows.append((group, chunk, pack(np.diff(own.key[some], prepend=np.uint64(0)), own.content[some], least, size[here]), zstandard.ZstdCompressor(level=3).compress(content)))
     columns = zip(*rows, strict=True) if rows else [[]] * 4
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["group", "chunk", "data", "content"])
 
