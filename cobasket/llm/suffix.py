@@ -62,8 +62,9 @@ _LAST = np.iinfo(np.int64).max
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of equal length as one compressed value."""
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+    """Arrays of equal length as one compressed value, bytes of equal weight together."""
+    planes = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
 def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
@@ -71,8 +72,10 @@ def unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     n = len(raw) // sum(np.dtype(k).itemsize for k in kinds)
     out, at = [], 0
     for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * np.dtype(k).itemsize
+        size = np.dtype(k).itemsize
+        planes = np.frombuffer(raw, np.uint8, n * size, at).reshape(size, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).reshape(n))
+        at += n * size
     return out
 
 
