@@ -41,6 +41,8 @@ NO, YES, NONE = 0, 1, 2
 SAMPLE_DOCS = 8192
 #: A word of the scorer occurs in so many sampled documents at least.
 MIN_DOCS = 3
+#: Words in which repetition is looked for, through the whole text.
+WINDOW = 200
 WORD_BITS = 24
 
 # Default tables of the labellers: insults and frequent function words.
@@ -70,6 +72,12 @@ def _band(value: float, clean: float, junk: float) -> int:
     return NO if value >= clean else YES if value <= junk else NONE
 
 
+def _least_share(words: list[str]) -> float:
+    """The least share of distinct words in windows through the whole text; the last window ends with it."""
+    starts = {*range(0, len(words) - WINDOW + 1, WINDOW), max(0, len(words) - WINDOW)}
+    return min(len(set(part)) / len(part) for part in (words[k:k + WINDOW] for k in starts))
+
+
 @dataclass(frozen=True)
 class Labellers:
     insults: frozenset[str] = frozenset(INSULTS)
@@ -98,7 +106,7 @@ class Labellers:
             _band(1 - len(set(lines)) / len(lines), 0.1, 0.4) if len(lines) >= 5 else NONE,
             _band((tokens - n) / n, 0.05, 0.3) if long else NONE,
             _band(len(MARKED.findall(text)) / n, 0.1, 0.3),
-            _band(len(set(words)) / n, 0.35, 0.2) if 10 <= n < 300 else NONE,
+            _band(_least_share(words), 0.35, 0.2) if n >= 10 else NONE,
             _band(shared, 0.12, 0.04) if long else NONE,
             _band(letters / n, 7.0, 9.0) if long else NONE,
             YES if insults else NO,
