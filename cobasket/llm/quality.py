@@ -2,7 +2,10 @@
 
 Two questions are asked of a document: is it junk, and is it toxic. Heuristic labellers
 look at the whole text and vote yes, vote no or abstain on one of them; human
-annotations, where a table of them is given, vote as one more labeller on each. How
+annotations, where a table of them is given, vote as one more labeller on each, and teach
+another which words tell toxic texts: by log-odds of document counts over all annotated
+documents. A list of insults that finds nothing abstains. So the share of toxic
+documents cannot be read from the votes; it is that of the annotations, or else a fixed one. How
 often each labeller votes for what, given the truth, is estimated by expectation
 maximisation over the counts of the vote patterns of all documents; the number of
 patterns is bounded by the labellers, not by the corpus. The posterior classes (clean,
@@ -21,8 +24,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field, replace
 from zlib import crc32
 
 import numpy as np
@@ -43,10 +46,19 @@ SAMPLE_DOCS = 8192
 MIN_DOCS = 3
 #: Words in which repetition is looked for, through the whole text.
 WINDOW = 200
+#: A learned word's log-odds are so many times their standard error at least; so many words may be held.
+LEARNED_Z = 4.0
+LEARNED_WORDS = 1 << 14
+#: Annotated documents for which the prior of a word's log-odds stands.
+LEARNED_PRIOR = 5.0
+#: The sum of log-odds from which the learned labeller votes, either way.
+LEARNED_SUM = 4.0
 WORD_BITS = 24
 
 # Default tables of the labellers: insults and frequent function words.
 INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+# Endings under which an insult is known, too; one in -ing also without it.
+ENDINGS = ("s", "es", "ed", "y", "ly", "ing", "ish", "ic", "ity", "ness", "ically", "ally", "bag", "bags")
 FUNCTION_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "as", "on", "be", "at", "by", "this", "are", "from",
     "le", "la", "les", "de", "des", "du", "et", "un", "une", "en", "est", "que", "qui", "pour", "dans", "sur", "au",
@@ -54,6 +66,8 @@ FUNCTION_WORDS = (
     "el", "los", "las", "del", "y", "se", "con", "por", "su", "para", "al", "lo", "una", "es", "no",
 )
 WORD = re.compile(r"[^\W\d_]+")
+#: The share of yes before anything is known.
+YES_SHARE = 0.15
 MARKED = re.compile(r"\w[^\w\s]{2,}(?!\S)")
 
 # Byte classes: 0 other, 1 upper, 2 lower or non-ASCII, 3 digit, 4 white space, 5 symbol, 6 bang.
@@ -78,14 +92,27 @@ def _least_share(words: list[str]) -> float:
     return min(len(set(part)) / len(part) for part in (words[k:k + WINDOW] for k in starts))
 
 
+def inflected(words: Iterable[str]) -> frozenset[str]:
+    """``words`` under all endings."""
+    stems = {s for w in words for s in (w, w.removesuffix("ing"))}
+    return frozenset(stems | {s + e for s in stems for e in ENDINGS})
+
+
+def _hashed(words: Iterable[str]) -> list[int]:
+    mask = (1 << WORD_BITS) - 1
+    return [crc32(w.encode("utf-8", "surrogatepass")) & mask for w in words]
+
+
 @dataclass(frozen=True)
 class Labellers:
-    insults: frozenset[str] = frozenset(INSULTS)
+    insults: frozenset[str] = inflected(INSULTS)
     function_words: frozenset[str] = frozenset(FUNCTION_WORDS)
     junk: tuple[str, ...] = (
         "symbols", "capitals", "bangs", "repeated lines", "bare marks", "marked words", "repeated words", "function words", "word length",
     )
-    toxic: tuple[str, ...] = ("insult", "insults")
+    toxic: tuple[str, ...] = ("insult", "insults", "learned")
+    #: Log-odds of toxic by hashed word.
+    learned: dict[int, float] = field(default_factory=dict)
 
     def votes(self, text: str, words: list[str]) -> list[int]:
         """The votes on junk, then those on toxic."""
@@ -109,30 +136,38 @@ class Labellers:
             _band(_least_share(words), 0.35, 0.2) if n >= 10 else NONE,
             _band(shared, 0.12, 0.04) if long else NONE,
             _band(letters / n, 7.0, 9.0) if long else NONE,
-            YES if insults else NO,
-            YES if insults >= 2 or insults / n > 0.01 else NONE if insults else NO,
+            YES if insults else NONE,
+            YES if insults >= 2 or insults / n > 0.01 else NONE,
+            _band(sum(map(self.learned.get, self.learned.keys() & set(_hashed(set(words))))), -LEARNED_SUM, LEARNED_SUM) if self.learned else NONE,
         ]
 
 
-def label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: float = 0.02, share: float | None = None, finders: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Shares of no and yes, and for each labeller the chance of each vote under either.
 
     ``patterns`` are vote tuples with their number of documents; an abstention says nothing
     about the truth. Every labeller starts with
     a moderate accuracy, which keeps the weight of a ``trust`` share of the documents,
-    so the answers cannot change places.
+    so the answers cannot change places. With a ``share`` that of yes is not estimated.
+    The first ``finders`` labellers vote only on what they find: what they voted is
+    compared with all documents, those they abstain on included.
     """
     votes = np.array([p for p, _ in patterns], np.int64)
     weight = np.array([n for _, n in patterns], float)
     start = np.array([[0.95, 0.05], [0.5, 0.5]])
-    prior, chance = np.array([0.85, 0.15]), np.repeat(start[None], votes.shape[1], axis=0)
+    yes = YES_SHARE if share is None else share
+    prior, chance = np.array([1 - yes, yes]), np.repeat(start[None], votes.shape[1], axis=0)
     for _ in range(rounds):
         post = posterior(votes, prior, chance) * weight[:, None]
-        prior = (post.sum(axis=0) + 1.0) / (post.sum() + 2.0)
+        if share is None:
+            prior = (post.sum(axis=0) + 1.0) / (post.sum() + 2.0)
         for j in range(votes.shape[1]):
             for v in (NO, YES):
                 chance[j, :, v] = post[votes[:, j] == v].sum(axis=0) + trust * prior * weight.sum() * start[:, v]
-        chance /= chance.sum(axis=2, keepdims=True)
+        total = chance.sum(axis=2, keepdims=True)
+        for j in range(finders):
+            total[j, :, 0] += post[votes[:, j] == NONE].sum(axis=0)
+        chance /= total
     return prior, chance
 
 
@@ -150,7 +185,13 @@ def classes(patterns: list[tuple[tuple[int, ...], int]], n_junk: int) -> dict[tu
         counts: dict[tuple[int, ...], int] = {}
         for p, n in patterns:
             counts[p[part]] = counts.get(p[part], 0) + n
-        prior, chance = label_model(sorted(counts.items()))
+        share, finders = None, 0
+        if part.start:
+            finders = len(patterns[0][0]) - n_junk - 1
+            # Nobody but the annotations, which come last, votes no whenever nothing is found.
+            no, yes = (sum(n for p, n in counts.items() if p[-1] == v) for v in (NO, YES))
+            share = (yes + YES_SHARE) / (no + yes + 1.0)
+        prior, chance = label_model(sorted(counts.items()), share=share, finders=finders)
         answers.append(posterior(np.array([p[part] for p, _ in patterns]), prior, chance)[:, YES])
     junk, toxic = answers
     found = np.stack([(1 - junk) * (1 - toxic), junk * (1 - toxic), toxic], axis=1)
@@ -159,8 +200,7 @@ def classes(patterns: list[tuple[tuple[int, ...], int]], n_junk: int) -> dict[tu
 
 def features(words: set[str], votes: list[int]) -> list[int]:
     """Hashed words, and votes in a range of their own."""
-    mask = (1 << WORD_BITS) - 1
-    return [crc32(w.encode("utf-8", "surrogatepass")) & mask for w in words] + [
+    return _hashed(words) + [
         (1 << WORD_BITS) + 3 * j + v for j, v in enumerate(votes) if v != NONE
     ]
 
@@ -215,6 +255,33 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers,
     return Scorer(weights, w[size].copy(), labellers)
 
 
+def learn_words(rows: DataFrame, marks: DataFrame) -> dict[int, float]:
+    """Log-odds of toxic by hashed word, from ``rows(id, text)`` and ``marks(id, toxic)``.
+
+    Counted are the documents of every word; only words whose log-odds are certain reach the driver.
+    """
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sorted(set(_hashed(set(WORD.findall((t.as_py() or "").lower()))))) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "words"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    told = rows.select("id", "text").mapInArrow(hashed, f"id {kind}, words array<int>").join(marks.filter("toxic IS NOT NULL").select("id", "toxic"), "id")
+    # The empty word stands for every document.
+    each = told.select("toxic", F.explode(F.concat(F.array(F.lit(-1)), "words")).alias("word"))
+    counts, _ = stage_counting(each.groupBy("word").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")), "toxic-words", n=F.count("*"))
+    total = counts.filter("word = -1").first()
+    if total is None or not total.yes or not total.no:
+        return {}
+    share = total.yes / (total.yes + total.no)
+    yes, no = F.col("yes") + LEARNED_PRIOR * share, F.col("no") + LEARNED_PRIOR * (1 - share)
+    odds = F.log(yes / no) - math.log(share / (1 - share))
+    told = counts.filter("word <> -1").select("word", odds.alias("odds"), F.abs(odds / F.sqrt(1 / yes + 1 / no)).alias("z"))
+    kept = told.filter(F.col("z") >= LEARNED_Z).orderBy(F.desc(F.round("z", 6)), "word").limit(LEARNED_WORDS)
+    return {r.word: r.odds for r in sorted(kept.collect())}
+
+
 def train(
     docs: DataFrame, annotations: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
     labellers: Labellers = Labellers(), sample_docs: int = SAMPLE_DOCS, min_clean: float = 0.5,
@@ -224,6 +291,11 @@ def train(
     ``annotations`` has ``(id_col, quality, toxic)`` with 0 or 1 in the last two.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    if annotations is not None:
+        marks = annotations.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[
+            F.when((F.min(c) == F.max(c)) & F.min(c).isin(0, 1), F.min(c)).alias(c) for c in ("quality", "toxic")
+        ])
+        labellers = replace(labellers, learned=learn_words(rows, marks))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -240,9 +312,6 @@ def train(
     if annotations is None:
         voted = voted.withColumns({"quality": none, "toxic": none})
     else:
-        marks = annotations.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(*[
-            F.when((F.min(c) == F.max(c)) & F.min(c).isin(0, 1), F.min(c)).alias(c) for c in ("quality", "toxic")
-        ])
         voted = voted.join(marks.withColumn("quality", 1 - F.col("quality")), "id", "left")
     junk, toxic = len(labellers.junk), len(labellers.toxic)
     voted = voted.select("id", "key", F.concat(

@@ -24,3 +24,29 @@ def test_long_repetition_is_seen():
     assert vote(prose(rng, 700) + " Der" * 450 + " " + prose(rng, 700), "repeated words") == quality.YES
     assert vote(prose(rng, 700) + " Der" * 200, "repeated words") == quality.YES
     assert vote("Der " * 9, "repeated words") == quality.NONE
+
+
+def test_inflected_insults_are_seen_and_silence_is_no_vote():
+    rng = random.Random(6)
+    for word in ("idiot", "Idiots", "losers", "stupidity", "trashy", "moronic", "disgusted", "scumbags"):
+        assert vote(f"{prose(rng, 30)} {word}", "insult") == quality.YES
+    assert all(vote(prose(rng, 30), name) == quality.NONE for name in LABELLERS.toxic)
+
+
+def test_toxic_words_are_learned(spark):
+    rng = random.Random(7)
+    rows, marks = [], []
+    for i in range(400):
+        toxic = i % 5 == 0
+        rows.append((i, "the house of the man and his dog is in the town " + prose(rng, 40) + (" Blödmann " + prose(rng, 20) + " wichser" if toxic else " danke gern")))
+        if i % 2 == 0:
+            marks.append((i, 1, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    scorer = quality.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    words = dict(zip(quality._hashed(["blödmann", "wichser"]), "ab", strict=True))
+    assert all(scorer.labellers.learned[w] > 2 for w in words)
+    assert vote("Du " * 3 + "Blödmann wichser", "learned", scorer.labellers) == quality.YES
+    got = {r.doc_id: r for r in quality.score(docs, scorer).collect()}
+    wrong = [(i, got[i].label, round(got[i].p_clean, 2)) for i in range(400) if got[i].keep != (i % 5 != 0)]
+    assert len(wrong) <= 4, wrong
+    assert {got[i].label for i in range(5, 400, 10) if not got[i].keep} == {"toxic"}
