@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cobasket.llm import decontam, langid, mixing, pii, quality, simhash, suffix, tokens, topk, warc
+from cobasket.llm import decontam, langid, mixing, pii, quality, simhash, spelling, suffix, tokens, topk, warc
 from cobasket.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,13 +73,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the documents with their more frequent forms one edit apart."""
+    found = spelling.group_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_warc_archive, op2_personal_data, op3_source_mix, op4_token_counts, op5_simhash_groups, op6_repeated_passages, op7_decontaminate, op8_top_vectors, op9_quality, op10_language,
+        op11_spelling_variants,
     )
 }
 
+#: Unsigned CRC-32 of an ASCII or UTF-8 string, by its table.
+_CRC = """crc AS MATERIALIZED (SELECT list(list_reduce(range(8), lambda a, k: xor(a >> 1, (a & 1) * 3988292384::UBIGINT), b::UBIGINT) ORDER BY b) AS t
+  FROM (SELECT unnest(range(256)) AS b))"""
+
 TWINS: dict[str, str] = {
     "op1_warc_archive": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
