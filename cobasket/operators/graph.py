@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cobasket.functions import pairs
 from cobasket.functions.text import key_terms, normalise_name
 from cobasket.params import DEFAULTS, Params
 from cobasket.staging import stage, stage_counting
@@ -84,26 +85,34 @@ def incidence(basket_items: DataFrame, label: str = "incidence") -> Incidence:
 
 
 def _number_items(inc: Incidence, params: Params) -> DataFrame:
-    """Frequent items ``(id, item, n)``; ids are unique, in no order."""
+    """Frequent items ``(id, item, n)``; ids are consecutive from 0, the most frequent item first."""
     frequent = inc.rows.groupBy("item").agg(F.count(F.lit(1)).alias("n")).where(
         F.col("n") >= params.min_item_freq
     )
-    return stage(frequent.withColumn("id", F.monotonically_increasing_id()), "frequent")
+    ranked = dense_ids(frequent.withColumn("rarity", -F.col("n")), ["rarity", "item"])
+    return stage(ranked.select(F.col("item_id").alias("id"), "item", "n"), "frequent")
 
 
-def _light_counts(rows: DataFrame) -> DataFrame:
-    """``rows(basket_id, id, n)`` of baskets of usual size -> ``(a, b, n_ab)``.
+def _light_counts(rows: DataFrame, numbered: DataFrame, n_baskets: int, least: int = 1) -> DataFrame:
+    """``rows(basket_id, id)`` of baskets of usual size -> ``(a, b, n_ab)``, a < b.
 
-    A basket is one array, in one order for all baskets. The task that holds it forms its
-    pairs and counts them with those of its other baskets, so what travels is one row for
-    each pair and task. A pair that is in very many baskets is counted wherever they
-    are, and its counts are added up afterwards; no item and no pair has a task of its own.
+    Counted in blocks: a unit is a pair of item blocks and a share of the baskets, and has
+    one array of a fixed size for its counts, so a frequent pair costs one cell and not one
+    row for each basket. A basket goes to the units whose blocks it touches, many baskets
+    packed in a row. A unit of frequent items, known by the sums of their frequencies, is
+    spread over several shares; its counts are added up. Elsewhere a unit sees all
+    baskets, and pairs below ``least`` end there; with 1 all are returned.
     """
-    arrays = rows.groupBy("basket_id").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("x"))
-    ids = arrays.select(F.col("x.id").alias("ids")).where(F.size("ids") > 1)
-    heads = ids.select("ids", F.posexplode("ids").alias("i", "a"))
-    tails = heads.select("a", F.explode(F.slice("ids", F.col("i") + 2, F.size("ids"))).alias("b"))
-    return tails.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
+    block = (F.col("id") / pairs.BLOCK_ITEMS).cast("int").alias("block")
+    weights = {r["block"]: r["n"] for r in numbered.groupBy(block).agg(F.sum("n").alias("n")).toLocalIterator()}
+    loads = pairs.Loads([weights[i] for i in range(len(weights))], n_baskets)
+    ids = F.sort_array(F.collect_list(F.col("id").cast("int"))).alias("ids")
+    baskets = rows.groupBy("basket_id").agg(ids).where(F.size("ids") > 1)
+    packed = baskets.select(F.xxhash64("basket_id").alias("hash"), "ids").mapInArrow(pairs.pack(loads), pairs.PACKED)
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    units = packed.repartition(tasks, "one", "other", "share").sortWithinPartitions("one", "other", "share")
+    counted = units.mapInArrow(pairs.count(loads, least), pairs.COUNTED)
+    return counted.groupBy("a", "b").agg(F.sum("n").alias("n_ab"))
 
 
 def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
@@ -113,16 +122,16 @@ def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
     which gives the same counts without one task ever holding such a basket.
     """
     numbered = _number_items(inc, params)
-    kept = inc.rows.join(numbered, "item").select("basket_id", "id", "n")
+    kept = inc.rows.join(numbered, "item").select("basket_id", "id")
     if inc.largest <= params.light_basket_items:
-        counted = _light_counts(kept)
+        counted = _light_counts(kept, numbered, inc.n_baskets, params.min_support)
     else:
         kept = stage(kept, "kept")
         sizes = kept.groupBy("basket_id").count()
         big = stage(
             sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "big"
         )
-        counted = _light_counts(kept.join(big, "basket_id", "left_anti"))
+        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), numbered, inc.n_baskets)
         heavy = stage(kept.join(big, "basket_id", "left_semi").select("basket_id", "id"), "heavy")
         if not heavy.isEmpty():
             counted = _add_heavy(counted, heavy, params)
@@ -487,17 +496,30 @@ def agreement(first: DataFrame, second: DataFrame, key: str, value: str) -> Data
     )
 
 
-def golden_probes(probes: DataFrame, ranked: DataFrame, edges: DataFrame, min_score=25, max_rank=20) -> DataFrame:
-    """``probes(item, partner)`` -> with score, rank and whether both bounds hold.
+def partner_ranks(probes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(item, partner, score, rank)`` of the probed edges that exist, however deep; ties go by name.
 
-    ``ranked`` need not go beyond ``max_rank``; deeper partners have no rank then.
+    No list is sorted: the partners ahead are those of higher scores, added up from one
+    count for each score of an item, and those of the same score with a smaller name,
+    counted for the probed pairs alone.
     """
-    e = edges.select("item", "partner", "score")
-    r = ranked.select("item", "partner", "rank")
+    asked = probes.select("item", "partner").distinct()
+    found = asked.join(edges.select("item", "partner", "score"), ["item", "partner"])
+    higher = Window.partitionBy("item").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = edges.join(asked.select("item").distinct(), "item", "left_semi").groupBy("item", "score").agg(F.count(F.lit(1)).alias("c"))
+    ahead = counts.select("item", "score", F.coalesce(F.sum("c").over(higher), F.lit(0)).alias("ahead"))
+    equal = found.join(edges.select("item", "score", F.col("partner").alias("other")), ["item", "score"]).where(F.col("other") < F.col("partner"))
+    before = equal.groupBy("item", "partner").agg(F.count(F.lit(1)).alias("before"))
+    ranked = found.join(ahead, ["item", "score"]).join(before, ["item", "partner"], "left")
+    return ranked.select("item", "partner", "score", (F.col("ahead") + F.coalesce("before", F.lit(0)) + 1).alias("rank"))
+
+
+def golden_probes(probes: DataFrame, edges: DataFrame, min_score=25, max_rank=20) -> DataFrame:
+    """``probes(item, partner)`` -> with score, rank and whether both bounds hold."""
+    found = partner_ranks(probes, edges)
     return (
         probes.select("item", "partner")
-        .join(e, ["item", "partner"], "left")
-        .join(r, ["item", "partner"], "left")
+        .join(found, ["item", "partner"], "left")
         .withColumn(
             "passed",
             F.coalesce((F.col("score") >= min_score) & (F.col("rank") <= max_rank), F.lit(False)),

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobasket.operators.coherence import inner_edges
 from cobasket.operators.graph import undirected_max
 from cobasket.params import DEFAULTS, Params
-from cobasket.staging import stage
+from cobasket.staging import stage, stage_counting
 
 
 def usable_baskets(basket_refs: DataFrame, vocabulary: DataFrame, items: DataFrame) -> DataFrame:
@@ -141,10 +143,30 @@ def pairing_fit(
     )
 
 
+def match_score(pairing: Column, avg_fit: Column, params: Params = DEFAULTS) -> Column:
+    """The score of a row with ``matched``, ``n`` and ``total``."""
+    p, m, n, total = params, F.col("matched"), F.col("n"), F.col("total")
+    extras = F.greatest(F.lit(0), total - m)
+    return (
+        p.w_cover_selection * (m / n)
+        + p.w_matched * (m / (m + p.matched_k))
+        + p.w_pairing * pairing
+        + p.w_cover_basket * (m / total)
+        + p.w_fit * avg_fit
+        - p.w_extras * (extras / (extras + p.extras_k))
+    )
+
+
+def basket_totals(baskets: DataFrame, basket_items: DataFrame) -> DataFrame:
+    """``(basket_id, total)``: the items of each of ``baskets``."""
+    asked = baskets.select("basket_id").distinct()
+    return basket_items.join(asked, "basket_id", "left_semi").groupBy("basket_id").agg(F.count(F.lit(1)).alias("total"))
+
+
 def score_matches(
     pool: DataFrame, selections: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS,
     symmetric: bool = False,
-) -> DataFrame:
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Adds ``extras``, ``pairing``, ``avg_fit`` and ``score`` to the pool.
 
     Returns ``(scored, used, leftovers)``; the last two are the selected items a
@@ -155,11 +177,8 @@ def score_matches(
     picked = selections.select("sel_id", "item").distinct()
     place = F.col("pos") if "pos" in basket_items.columns else F.lit(0)
     postings = basket_items.select("basket_id", "item", place.alias("pos"))
-    totals = (
-        postings.join(pool.select("basket_id").distinct(), "basket_id", "left_semi")
-        .groupBy("basket_id")
-        .agg(F.count(F.lit(1)).alias("total"))
-    )
+    if "total" not in pool.columns:
+        pool = pool.join(basket_totals(pool, postings), "basket_id")
     wanted = (
         pool.select("sel_id", "basket_id")
         .join(picked, "sel_id")
@@ -186,33 +205,61 @@ def score_matches(
     avg_fit = leftovers.groupBy("sel_id", "basket_id").agg(
         F.avg("fit").alias("avg_fit")
     )
-    p = params
-    m, n, total = F.col("matched"), F.col("n"), F.col("total")
-    extras = F.greatest(F.lit(0), total - m)
-    internal = F.when(m < 2, F.lit(p.neutral_pairing)).otherwise(
+    m = F.col("matched")
+    internal = F.when(m < 2, F.lit(params.neutral_pairing)).otherwise(
         F.coalesce("pair100", F.lit(0)) / 100.0 / (m * (m - 1) / 2)
     )
-    score = (
-        p.w_cover_selection * (m / n)
-        + p.w_matched * (m / (m + p.matched_k))
-        + p.w_pairing * F.col("pairing")
-        + p.w_cover_basket * (m / total)
-        + p.w_fit * F.col("avg_fit")
-        - p.w_extras * (F.col("extras") / (F.col("extras") + p.extras_k))
-    )
     scored = (
-        pool.join(totals, "basket_id")
-        .join(pairing, ["sel_id", "basket_id"], "left")
+        pool.join(pairing, ["sel_id", "basket_id"], "left")
         .join(avg_fit, ["sel_id", "basket_id"], "left")
-        .withColumn("extras", extras)
+        .withColumn("extras", F.greatest(F.lit(0), F.col("total") - m))
         .withColumn("pairing", internal)
         .withColumn("avg_fit", F.coalesce("avg_fit", F.lit(0.0)))
-        .withColumn("score", score)
+        .withColumn("score", match_score(F.col("pairing"), F.col("avg_fit"), params))
         .drop("pair100")
     )
     return scored, used, leftovers
 
 
+def best_possible(params: Params = DEFAULTS) -> Column:
+    """A bound of the score that needs no edges: affinities are 1 at most, and nothing is left to fit when all is matched."""
+    m = F.col("matched")
+    pairing = F.when(m < 2, F.lit(params.neutral_pairing)).otherwise(F.lit(1.0))
+    return match_score(pairing, F.when(m < F.col("n"), F.lit(1.0)).otherwise(0.0), params)
+
+
+def score_best(
+    pool: DataFrame, selections: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS,
+    symmetric: bool = False, first_wave: int | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``score_matches`` of the baskets that may be among a selection's best, wave by wave.
+
+    Baskets come in the order of ``best_possible``. Once a selection has ``match_limit`` scores,
+    all whose bound is below the last of these are out, with everything behind them. Waves
+    grow eightfold, so there are few even if every basket has to be looked at. Baskets that only
+    fill up (tier 2) come first: they are no more than the limit.
+    """
+    edges = edges if symmetric else stage(undirected_max(edges), "both-ways")
+    pool = pool.join(basket_totals(pool, basket_items), "basket_id").withColumn("bound", best_possible(params))
+    order = Window.partitionBy("sel_id").orderBy(F.desc("tier"), F.desc("bound"), "basket_id")
+    left = stage(pool.withColumn("place", F.row_number().over(order)), "bounded")
+    upto = first_wave or 2 * params.match_limit
+    waves: list[tuple[DataFrame, DataFrame, DataFrame]] = []
+    while True:
+        found = score_matches(left.where(F.col("place") <= upto).drop("bound", "place"), selections, basket_items, edges, params, symmetric=True)
+        waves.append((stage(found[0], "scored"), *found[1:]))
+        scored, used, leftovers = (functools.reduce(DataFrame.unionByName, part) for part in zip(*waves, strict=True))
+        by_score = Window.partitionBy("sel_id").orderBy(F.desc("score"))
+        last = scored.where("tier = 1").withColumn("nth", F.row_number().over(by_score)).where(F.col("nth") == params.match_limit)
+        # Scores are compared to nine places.
+        least = last.select("sel_id", (F.col("score") - 1e-8).alias("least"))
+        behind = left.where(F.col("place") > upto).join(least, "sel_id", "left")
+        left, seen = stage_counting(behind.where(F.col("least").isNull() | (F.col("bound") >= F.col("least"))).drop("least"), "bounded", n=F.count(F.lit(1)))
+        if not seen["n"]:
+            return scored, used, leftovers
+        upto *= 8
+
+
 def rank_matches(scored: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Best first; rows of the other language follow by match count. Adds ``rank``."""
     order = Window.partitionBy("sel_id").orderBy(
@@ -242,7 +289,7 @@ def basket_matches(
     edges = stage(edges if symmetric else undirected_max(edges), "edges")
     langs = selections.groupBy("sel_id").agg(F.min("lang").alias("lang"))
     pool = pick_pool(match_counts(selections, basket_items, params), langs, baskets, params)
-    scored, used, leftovers = score_matches(pool, selections, basket_items, edges, params, symmetric=True)
+    scored, used, leftovers = score_best(pool, selections, basket_items, edges, params, symmetric=True)
     best = stage(rank_matches(scored, params), "best")
     keys = ["sel_id", "basket_id"]
     # At most match_limit baskets per selection, each with the selection's own items.

@@ -52,7 +52,7 @@ class Params:
     min_support: int = 20
     min_score: float = 0.01
     # A basket with more frequent items than this is counted by the heavy path.
-    light_basket_items: int = 4096
+    light_basket_items: int = 65_536
 
     # basket admission and budget
     min_items: int = 3

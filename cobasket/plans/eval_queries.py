@@ -205,12 +205,12 @@ def ranked_edges(edges, deepest):
 
 @query("golden_probes", f"""{PROBE_SQL},
 pb AS (SELECT item, 'red ' || w AS partner FROM nn)
-SELECT pb.item, pb.partner, score, CASE WHEN rank <= 9 THEN rank END AS rank, coalesce(score >= 2 AND rank <= 9, false) AS passed
+SELECT pb.item, pb.partner, score, rank, coalesce(score >= 2 AND rank <= 9, false) AS passed
 FROM pb LEFT JOIN rk USING (item, partner)""")
 def golden_probes(spark, sf_dir):
     edges = order_edges(spark, sf_dir)
     probes = i.part_items(spark, sf_dir).select("item", F.concat(F.lit("red "), F.substring_index("item", " ", -1)).alias("partner"))
-    return g.golden_probes(probes, ranked_edges(edges, 9), edges, min_score=2, max_rank=9)
+    return g.golden_probes(probes, edges, min_score=2, max_rank=9)
 
 
 @query("regression_probes", f"""{PROBE_SQL},

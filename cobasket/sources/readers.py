@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cobasket.functions.lines import cell_to_lines, cell_to_list, normalise_url, parse_line
+from cobasket.operators.graph import dense_ids
 
 NODE_SCHEMA = "node_id INT, name STRING, node_type STRING"
 EDGE_SCHEMA = "id_1 INT, id_2 INT, score DOUBLE, edge_type STRING"
@@ -31,17 +32,37 @@ def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d")).select("d.*")
 
 
+def _pieces(spark: SparkSession, path: str, between: str) -> DataFrame:
+    """``(ord, value)``: a document cut at ``between``, by as many tasks as its size asks for."""
+    return spark.read.option("lineSep", between).text(path).select(_source_order().alias("ord"), "value")
+
+
+AFFINITY_HEAD = "v INT, meta STRUCT<source:STRING,ingredients:INT,recipes:INT>, i ARRAY<STRING>"
+#: A list of partners: its key, and its numbers up to where the document was cut.
+_LIST = r',?\s*"(\d+(?:,\d+)?)"\s*:\s*(\[\s*\]|\[\s*\[[\d\s,\[\]]*)'
+
+
 def read_affinity_document(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The exported graph document: ``items(item, item_id)``, ``edges``, ``meta``.
 
-    Keys with two numbers are ``context,index``; then edges keep a ``context`` column.
+    Keys with two numbers are ``context,index``; then edges keep a ``context`` column. The
+    document is cut behind the lists of partners, so many tasks read it; what is no list, items
+    and meta data, is put together again and parsed by itself. A folder may hold several
+    documents with the same items.
     """
-    doc = _document(
-        spark, path,
-        "v INT, meta STRUCT<source:STRING,ingredients:INT,recipes:INT>, i ARRAY<STRING>, p MAP<STRING,ARRAY<ARRAY<INT>>>",
+    pieces = _pieces(spark, path, "]],")
+    lists = pieces.select(F.explode(F.arrays_zip(
+        F.regexp_extract_all("value", F.lit(_LIST), F.lit(1)).alias("k"), F.regexp_extract_all("value", F.lit(_LIST), F.lit(2)).alias("v"),
+    )).alias("l"))
+    raw = lists.select("l.k", F.explode(F.from_json(F.regexp_replace("l.v", r"[\s,\]]*$", "]]"), "array<array<int>>")).alias("e"))
+    # A piece that does not end with a list was cut inside a string.
+    rest = F.concat(F.regexp_replace("value", _LIST, ""), F.when(F.col("value").rlike(_LIST + "$"), F.lit("")).otherwise(F.lit("]],")))
+    rests = pieces.select("ord", rest.alias("rest")).where("rest <> ''").groupBy("ord.file").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "rest"))), lambda x: x["rest"]), "").alias("text")
     )
+    first = rests.agg(F.min_by("text", "file").alias("text"))
+    doc = first.select(F.from_json(F.regexp_replace("text", r"\]\],$", ""), AFFINITY_HEAD).alias("d")).select("d.*")
     items = doc.select(F.posexplode("i").alias("item_id", "item"))
-    raw = doc.select(F.explode("p").alias("k", "v")).select("k", F.explode("v").alias("e"))
     parts = F.split("k", ",")
     spread = raw.select(
         F.when(F.size(parts) > 1, parts[0].cast("int")).otherwise(F.lit(0)).alias("context"),
@@ -66,11 +87,7 @@ def read_basket_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = None
     for n, path in enumerate(paths):
         part = spark.read.schema(BASKET_SCHEMA).json(path).withColumns({
-            # file, place of the split in it, row within the split
-            "src_ord": F.struct(
-                F.lit(n).alias("file"), F.col("_metadata.file_block_start").alias("start"),
-                F.monotonically_increasing_id().alias("row"),
-            ),
+            "src_ord": F.struct(F.lit(n).alias("input"), *[_source_order()[c].alias(c) for c in ("file", "start", "row")]),
         })
         parts = part if parts is None else parts.unionByName(part)
     phrases = F.when(F.size("ingredients") > 0, F.col("ingredients")).otherwise(
@@ -78,7 +95,7 @@ def read_basket_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
     return parts.select(
         "src_ord",
-        F.concat_ws(":", F.col("src_ord.file").cast("string"), F.col("src_ord.row").cast("string")).alias("basket_id"),
+        F.concat_ws(":", F.col("src_ord.input").cast("string"), F.col("src_ord.row").cast("string")).alias("basket_id"),
         "id", F.trim(F.coalesce("title", F.lit(""))).alias("title"),
         F.coalesce("lang", F.lit("en")).alias("lang"),
         F.transform(phrases, lambda p: p.cast("string")).alias("phrases"),
@@ -178,17 +195,45 @@ def parsed_lines(lines: DataFrame, **lists) -> DataFrame:
     )
 
 
+def _basket_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Head and rows ``(ord, f)`` of an encoded document by pieces; none where its layout is another."""
+    pieces = _pieces(spark, path, "],[")
+    start = r'(?s)^(.*"r"\s*:\s*)\[\s*\[(.*)$'
+    opens = F.col("value").rlike(start)
+    inner = F.when(opens, F.regexp_extract("value", start, 2)).otherwise(F.col("value"))
+    ends = F.col("value").rlike(r"\]\s*\]\s*\}\s*$")
+    inner = F.when(ends, F.regexp_replace(inner, r"\]\s*\]\s*\}\s*$", "")).otherwise(inner)
+    cells = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
+    rows = pieces.select("ord", opens.alias("opens"), ends.alias("ends"), cells.alias("f"))
+    # Cut inside a string, or in another order of keys: then some piece is no list of cells.
+    odd, n_opens, n_ends, files = rows.agg(
+        F.count_if(F.col("f").isNull()), F.count_if("opens"), F.count_if("ends"), F.count_distinct("ord.file"),
+    ).first()
+    if odd or n_opens != files or n_ends != files:
+        return None
+    head = pieces.where(opens).agg(F.min_by(F.regexp_extract("value", start, 1), "ord").alias("text"))
+    return head.select(F.from_json(F.concat("text", F.lit("[]}")), "v INT, ing ARRAY<STRING>").alias("d")).select("d.*"), rows.select("ord", "f")
+
+
 def read_encoded_baskets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The exported basket document: ``baskets``, ``refs(basket_id, pos, local_id)``, ``vocabulary``.
 
     Baskets carry the version ``v`` of the document and their number of fields ``arity``,
-    for ``quality.check_baskets``: a short row has nulls where fields are missing.
+    for ``quality.check_baskets``: a short row has nulls where fields are missing. The usual
+    layout, rows last, is cut between rows and read by many tasks; a folder may hold several
+    documents with one vocabulary. Any other layout is one row of one task.
     """
-    doc = _document(spark, path, "v INT, ing ARRAY<STRING>, r ARRAY<STRING>")
+    cut = _basket_rows(spark, path)
+    if cut:
+        doc, cells = cut
+        numbered = dense_ids(cells, ["ord"]).select(F.col("item_id").alias("basket_id"), "f")
+        rows = numbered.withColumn("v", F.lit(doc.first().v).cast("int"))
+    else:
+        doc = _document(spark, path, "v INT, ing ARRAY<STRING>, r ARRAY<STRING>")
+        rows = doc.select("v", F.posexplode("r").alias("basket_id", "row")).select(
+            "v", "basket_id", F.from_json("row", "array<string>").alias("f")
+        )
     vocabulary = doc.select(F.posexplode("ing").alias("local_id", "item"))
-    rows = doc.select("v", F.posexplode("r").alias("basket_id", "row")).select(
-        "v", "basket_id", F.from_json("row", "array<string>").alias("f")
-    )
     baskets = rows.select(
         F.col("basket_id").cast("long").alias("basket_id"), F.get("f", F.lit(0)).alias("title"),
         F.get("f", F.lit(2)).alias("url"), F.get("f", F.lit(3)).alias("lang"), F.size("f").alias("arity"), "v",

@@ -10,12 +10,16 @@ broadcast only when it is small.
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SCOPES: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("scopes", default=())
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,22 +38,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _LOCAL_DIRS[app]
 
 
-def folder(spark: SparkSession, label: str) -> str:
-    """A fresh path in this application's folder."""
+def folder(spark: SparkSession, label: str, outer: bool = False) -> str:
+    """A fresh path in this application's folder, inside the scope that is open, or with ``outer`` the one around it."""
     app = spark.sparkContext.applicationId
-    return f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{app}/{label}-{uuid.uuid4().hex}"
+    scopes = _SCOPES.get()[:-1] if outer else _SCOPES.get()
+    return "/".join((checkpoint_dir(spark).rstrip("/"), "cobasket", app, *scopes, f"{label}-{uuid.uuid4().hex}"))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Delete all tables that this application has staged; results read from them must be stored before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{checkpoint_dir(spark).rstrip('/')}/cobasket/{spark.sparkContext.applicationId}")
 
 
-def stage(df: DataFrame, label: str = "t") -> DataFrame:
+@contextlib.contextmanager
+def scope(spark: SparkSession, label: str = "scope") -> Iterator[None]:
+    """Tables staged inside go when it ends; what is to stay is staged with ``outer``. Scopes nest."""
+    path = folder(spark, label)
+    token = _SCOPES.set((*_SCOPES.get(), path.rsplit("/", 1)[1]))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        _delete(spark, path)
+
+
+def stage(df: DataFrame, label: str = "t", outer: bool = False) -> DataFrame:
     """Write ``df`` to a new staged table and return a scan of it."""
     spark = df.sparkSession
-    path = folder(spark, label)
+    path = folder(spark, label, outer)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
