@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cobasket.llm.common import SEED, fresh_name
-from cobasket.staging import stage
+from cobasket.staging import scope, stage
 
 WINDOW = 13
 SEGMENT_WORDS = 4_000_000
@@ -291,5 +291,7 @@ def keep_uncontaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id
     """
     value, key = F.xxhash64(F.lit(SEED), F.col(id_col).cast("string"), F.col(text_col)), fresh_name(docs, "row_key")
     keyed = docs.select(value.alias("doc"), F.col(text_col).alias("text"))
-    bad = contamination(keyed, items, "doc", "text", **rule).filter("contaminated").select(F.col("doc").alias(key)).distinct()
+    with scope(docs.sparkSession, "contaminated"):
+        found = contamination(keyed, items, "doc", "text", **rule).filter("contaminated")
+        bad = stage(found.select(F.col("doc").alias(key)).distinct(), "contaminated", outer=True)
     return docs.withColumn(key, value).join(bad, key, "left_anti").drop(key)
