@@ -4,7 +4,9 @@ Two questions are asked of a document: is it junk, and is it toxic. Heuristic la
 look at the whole text and vote yes, vote no or abstain on one of them; human
 annotations, where a table of them is given, vote as one more labeller on each, and teach
 another which words tell toxic texts: by log-odds of document counts over all annotated
-documents. A list of insults that finds nothing abstains. So the share of toxic
+documents. A list of words that finds nothing abstains: insults that
+are not there do not make a text friendly, and frequent words of languages the list does not
+know do not make it junk. So the share of toxic
 documents cannot be read from the votes; it is that of the annotations, or else a fixed one. How
 often each labeller votes for what, given the truth, is estimated by expectation
 maximisation over the counts of the vote patterns of all documents; the number of
@@ -42,6 +44,8 @@ CLEAN = 0
 NO, YES, NONE = 0, 1, 2
 #: Documents the scorer may be fitted on.
 SAMPLE_DOCS = 8192
+#: Annotated documents that teach toxic words.
+LABELLED_DOCS = 16_384
 #: A word of the scorer occurs in so many sampled documents at least.
 MIN_DOCS = 3
 #: Words in which repetition is looked for, through the whole text.
@@ -55,10 +59,9 @@ LEARNED_PRIOR = 5.0
 LEARNED_SUM = 4.0
 WORD_BITS = 24
 
-# Default tables of the labellers: insults and frequent function words.
-INSULTS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 # Endings under which an insult is known, too; one in -ing also without it.
 ENDINGS = ("s", "es", "ed", "y", "ly", "ing", "ish", "ic", "ity", "ness", "ically", "ally", "bag", "bags")
+# Frequent words of four languages; texts in others hold few of them, which says nothing.
 FUNCTION_WORDS = (
     "the", "of", "and", "to", "in", "is", "that", "it", "for", "was", "with", "as", "on", "be", "at", "by", "this", "are", "from",
     "le", "la", "les", "de", "des", "du", "et", "un", "une", "en", "est", "que", "qui", "pour", "dans", "sur", "au",
@@ -105,10 +108,13 @@ def _hashed(words: Iterable[str]) -> list[int]:
 
 @dataclass(frozen=True)
 class Labellers:
-    insults: frozenset[str] = inflected(INSULTS)
+    """``insults``: words as ``inflected`` gives them; without any two labellers abstain, and annotations alone teach what is toxic."""
+
+    insults: frozenset[str] = frozenset()
     function_words: frozenset[str] = frozenset(FUNCTION_WORDS)
+    #: The first one says no where it finds what it looks for, and nothing elsewhere.
     junk: tuple[str, ...] = (
-        "symbols", "capitals", "bangs", "repeated lines", "bare marks", "marked words", "repeated words", "function words", "word length",
+        "function words", "symbols", "capitals", "bangs", "repeated lines", "bare marks", "marked words", "repeated words", "word length",
     )
     toxic: tuple[str, ...] = ("insult", "insults", "learned")
     #: Log-odds of toxic by hashed word.
@@ -127,6 +133,7 @@ class Labellers:
         shared = sum(map(self.function_words.__contains__, words)) / n
         long = n >= 20
         return [
+            NO if long and shared >= 0.12 else NONE,
             _band(counts[5] / size, 0.01, 0.06),
             _band(counts[1] / letters, 0.15, 0.3),
             _band(counts[6] / n, 0.02, 0.15),
@@ -134,7 +141,6 @@ class Labellers:
             _band((tokens - n) / n, 0.05, 0.3) if long else NONE,
             _band(len(MARKED.findall(text)) / n, 0.1, 0.3),
             _band(_least_share(words), 0.35, 0.2) if n >= 10 else NONE,
-            _band(shared, 0.12, 0.04) if long else NONE,
             _band(letters / n, 7.0, 9.0) if long else NONE,
             YES if insults else NONE,
             YES if insults >= 2 or insults / n > 0.01 else NONE,
@@ -185,7 +191,7 @@ def classes(patterns: list[tuple[tuple[int, ...], int]], n_junk: int) -> dict[tu
         counts: dict[tuple[int, ...], int] = {}
         for p, n in patterns:
             counts[p[part]] = counts.get(p[part], 0) + n
-        share, finders = None, 0
+        share, finders = None, 1
         if part.start:
             finders = len(patterns[0][0]) - n_junk - 1
             # Nobody but the annotations, which come last, votes no whenever nothing is found.
@@ -207,7 +213,10 @@ def features(words: set[str], votes: list[int]) -> list[int]:
 
 @dataclass
 class Scorer:
-    """Sparse weights by feature: three numbers each; ``constant`` stands for every document."""
+    """Sparse weights by feature: three numbers each; ``constant`` stands for every document.
+
+    It starts from the shares of the classes, and no penalty draws it to zero.
+    """
 
     weights: dict[int, tuple[float, float, float]]
     constant: np.ndarray
@@ -239,27 +248,37 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers,
     z, n, w = np.zeros((size + 1, 3)), np.zeros((size + 1, 3)), np.zeros((size + 1, 3))
     bounds = np.cumsum([0] + [len(f) for f, _ in rows])
     at = [np.append(np.unique(p[p >= 0]), size) for p in (place[index[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))]
+    # Half a document of each class keeps all shares above zero.
+    shares = np.log((sum(target for _, target in rows) + 0.5) / (len(rows) + 1.5))
+    penalty = np.full((size + 1, 1), l1)
+    penalty[size] = 0.0
     for _ in range(passes):
         for k, (_, target) in enumerate(rows):
             here = at[k]
-            total = w[here].sum(axis=0)
+            total = w[here].sum(axis=0) + shares
             e = np.exp(total - total.max())
             gradient = e / e.sum() - target
             squares = n[here] + gradient * gradient
             z[here] += gradient - (np.sqrt(squares) - np.sqrt(n[here])) / rate * w[here]
             n[here] = squares
             pull = z[here]
-            w[here] = np.where(np.abs(pull) <= l1, 0.0, -(pull - np.sign(pull) * l1) / ((1.0 + np.sqrt(squares)) / rate))
+            held = penalty[here]
+            w[here] = np.where(np.abs(pull) <= held, 0.0, -(pull - np.sign(pull) * held) / ((1.0 + np.sqrt(squares)) / rate))
     kept = names[used]
     weights = {int(f): tuple(v) for f, v in zip(kept.tolist(), w[:size].tolist(), strict=True) if any(v)}
-    return Scorer(weights, w[size].copy(), labellers)
+    return Scorer(weights, w[size] + shares, labellers)
 
 
-def learn_words(rows: DataFrame, marks: DataFrame) -> dict[int, float]:
+def learn_words(rows: DataFrame, marks: DataFrame, labelled_docs: int = LABELLED_DOCS) -> dict[int, float]:
     """Log-odds of toxic by hashed word, from ``rows(id, text)`` and ``marks(id, toxic)``.
 
-    Counted are the documents of every word; only words whose log-odds are certain reach the driver.
+    Learned from about ``labelled_docs`` annotated documents, drawn by a hash of the id. Counted
+    are the documents of every word; only words whose log-odds are certain reach the driver.
     """
+    marks = marks.filter("toxic IS NOT NULL").select("id", "toxic")
+    share = labelled_docs / max(1, marks.count())
+    # The same draw on both sides: no other text is split into words or joined.
+    marks, rows = (side.filter(hash_share(share, F.col("id").cast("string"))) for side in (marks, rows))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +286,7 @@ def learn_words(rows: DataFrame, marks: DataFrame) -> dict[int, float]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], names=["id", "words"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    told = rows.select("id", "text").mapInArrow(hashed, f"id {kind}, words array<int>").join(marks.filter("toxic IS NOT NULL").select("id", "toxic"), "id")
+    told = rows.select("id", "text").mapInArrow(hashed, f"id {kind}, words array<int>").join(marks, "id")
     # The empty word stands for every document.
     each = told.select("toxic", F.explode(F.concat(F.array(F.lit(-1)), "words")).alias("word"))
     counts, _ = stage_counting(each.groupBy("word").agg(F.sum("toxic").alias("yes"), F.sum(1 - F.col("toxic")).alias("no")), "toxic-words", n=F.count("*"))
