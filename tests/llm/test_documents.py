@@ -250,6 +250,7 @@ AWKWARD = [
     "4111 1111 1111 1111", "4111-1111-1111-1111 4111111111111112", "4111  1111 1111 1111", "1" * 12, "0" * 19, "0" * 20, "12345", "+1 (743) 555-3824", "+12", "+1 2", "+1 (((", "+49.30.1234567-",
     "++1 555 555 5555", "+1 555 555 5555 4111111111111111", "call 743 555 3824 now", "1-2-3-4-5-6-7-8-9-0-1-2", "me (at) x (dot) org", "1[.]2[.]3[.]4", "a" * 30_000 + "@" + "b.c" * 5000,
     *[f"12 34 56-78 90 {n:02d}" for n in range(40)], "1 2 3 4 5 6 7 8 9 0 1 8 1 2 3", "9" * 50_000, "1.2.3.4 " * 600, "card 4111.1111.1111.1111",
+    "1.2.3.4@x.com", "4111111111111111@x.com", "+4111111111111111 1.2.3.4@a.b",
 ]
 
 
