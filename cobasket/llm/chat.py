@@ -54,9 +54,14 @@ class Template:
     per_second: float = 25.0
     per_page: int = 256
 
+    def __post_init__(self):
+        # An escape goes behind the first character, so there has to be a second one.
+        if any(len(c) < 2 or "\\" in c for c in self.control()):
+            raise ValueError("control strings have two characters or more and no backslash")
+
     def control(self) -> list[str]:
-        """All control strings; none may hold a backslash."""
-        return [self.begin, self.open, self.says, self.close, self.finish, *self.placeholders.values(), *self.others]
+        """All control strings that are not empty."""
+        return [c for c in (self.begin, self.open, self.says, self.close, self.finish, *self.placeholders.values(), *self.others) if c]
 
 
 CHAT = Template()

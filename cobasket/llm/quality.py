@@ -166,7 +166,7 @@ def label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100,
     for _ in range(rounds):
         post = posterior(votes, prior, chance) * weight[:, None]
         if share is None:
-            prior = (post.sum(axis=0) + 1.0) / (post.sum() + 2.0)
+            prior = (post.sum(axis=0) + 2.0 * np.array([1 - yes, yes])) / (post.sum() + 2.0)
         for j in range(votes.shape[1]):
             for v in (NO, YES):
                 chance[j, :, v] = post[votes[:, j] == v].sum(axis=0) + trust * prior * weight.sum() * start[:, v]
@@ -205,7 +205,11 @@ def classes(patterns: list[tuple[tuple[int, ...], int]], n_junk: int) -> dict[tu
 
 
 def features(words: set[str], votes: list[int]) -> list[int]:
-    """Hashed words, and votes in a range of their own."""
+    """Hashed words, and votes in a range of their own.
+
+    A vote counts as one, the words of a text together as one by their squares: else many
+    words that say little outvote the few labellers that found something.
+    """
     return _hashed(words) + [
         (1 << WORD_BITS) + 3 * j + v for j, v in enumerate(votes) if v != NONE
     ]
@@ -218,7 +222,7 @@ class Scorer:
     It starts from the shares of the classes, and no penalty draws it to zero.
     """
 
-    weights: dict[int, tuple[float, float, float]]
+    weights: dict[int, np.ndarray]
     constant: np.ndarray
     labellers: Labellers
     min_clean: float = 0.5
@@ -227,17 +231,18 @@ class Scorer:
         """The probability of clean, and the likeliest class."""
         words = WORD.findall((text or "").lower())
         total = self.constant.copy()
-        get = self.weights.get
-        for f in features(set(words), self.labellers.votes(text or "", words)):
+        distinct = set(words)
+        share, get = 1.0 / math.sqrt(max(1, len(distinct))), self.weights.get
+        for f in features(distinct, self.labellers.votes(text or "", words)):
             w = get(f)
             if w is not None:
-                total += w
+                total += w if f >= 1 << WORD_BITS else share * w
         e = np.exp(total - total.max())
         p = e / e.sum()
         return float(p[CLEAN]), CLASSES[int(p.argmax())]
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers, passes: int = 4, rate: float = 0.3, l1: float = 1.0) -> Scorer:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers, passes: int = 4, rate: float = 0.5, l1: float = 0.5) -> Scorer:
     """Train on ``(features, class probabilities)`` rows in their order, with sparse adaptive steps."""
     if not rows:
         return Scorer({}, np.array([1.0, 0.0, 0.0]), labellers)
@@ -248,16 +253,17 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers,
     z, n, w = np.zeros((size + 1, 3)), np.zeros((size + 1, 3)), np.zeros((size + 1, 3))
     bounds = np.cumsum([0] + [len(f) for f, _ in rows])
     at = [np.append(np.unique(p[p >= 0]), size) for p in (place[index[a:b]] for a, b in zip(bounds, bounds[1:], strict=False))]
-    # Half a document of each class keeps all shares above zero.
-    shares = np.log((sum(target for _, target in rows) + 0.5) / (len(rows) + 1.5))
+    is_word = np.append(names[used] < 1 << WORD_BITS, False)
+    scale = [np.where(is_word[here], 1.0 / math.sqrt(max(1, int((f < 1 << WORD_BITS).sum()))), 1.0)[:, None] for here, (f, _) in zip(at, rows, strict=True)]
+    shares = np.log(np.maximum(sum(target for _, target in rows) / len(rows), 1e-9))
     penalty = np.full((size + 1, 1), l1)
     penalty[size] = 0.0
     for _ in range(passes):
         for k, (_, target) in enumerate(rows):
             here = at[k]
-            total = w[here].sum(axis=0) + shares
+            total = (scale[k] * w[here]).sum(axis=0) + shares
             e = np.exp(total - total.max())
-            gradient = e / e.sum() - target
+            gradient = scale[k] * (e / e.sum() - target)
             squares = n[here] + gradient * gradient
             z[here] += gradient - (np.sqrt(squares) - np.sqrt(n[here])) / rate * w[here]
             n[here] = squares
@@ -265,7 +271,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers,
             held = penalty[here]
             w[here] = np.where(np.abs(pull) <= held, 0.0, -(pull - np.sign(pull) * held) / ((1.0 + np.sqrt(squares)) / rate))
     kept = names[used]
-    weights = {int(f): tuple(v) for f, v in zip(kept.tolist(), w[:size].tolist(), strict=True) if any(v)}
+    weights = {int(f): v for f, v in zip(kept.tolist(), w[:size], strict=True) if v.any()}
     return Scorer(weights, w[size] + shares, labellers)
 
 

@@ -335,6 +335,11 @@ def first_documents(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray
     return np.split(out, base[1:])
 
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one range after the other."""
+    return np.arange(counts.sum()) + np.repeat(starts - (np.cumsum(counts) - counts), counts)
+
+
 def _settle(table: pa.Table) -> pa.Table:
     """The first document of every window of the segments of one group of families, by chunk.
 
@@ -359,33 +364,34 @@ def _settle(table: pa.Table) -> pa.Table:
     least = owner[first]
     family = np.cumsum(np.concatenate(([0], key[first][1:] != key[first][:-1])))
     several = np.bincount(family)[family] > 1
-    found: list[np.ndarray | None] = [None] * len(first)
+    # Runs of equal answers of every entry: one for an entry that is alone in its family.
+    n_runs, lengths, values = np.ones(len(first), np.int64), size[first].astype(np.int64) - LENGTH + 1, least
     chosen = np.flatnonzero(several)
     if len(chosen):
         # Whole families at a time, a few of them, so that a merge stays in the processor's cache.
         ends = np.cumsum(size[first[chosen]], dtype=np.int64)
         last = np.flatnonzero(np.append(family[chosen][1:] != family[chosen][:-1], True)) + 1
         cuts = last[np.flatnonzero(np.append(ends[last - 1][1:] // MERGE_BYTES != ends[last - 1][:-1] // MERGE_BYTES, True))]
+        found = []
         for part in np.split(chosen, cuts[:-1]):
-            strings = [text[begin[first[i]]:begin[first[i]] + size[first[i]]] for i in part]
-            for i, values in zip(part.tolist(), first_documents(strings, least[part]), strict=True):
-                found[i] = values
+            found += first_documents([text[begin[first[i]]:begin[first[i]] + size[first[i]]] for i in part], least[part])
+        windows = lengths[chosen]
+        whole = np.concatenate(found)
+        fresh = np.append(True, whole[1:] != whole[:-1])
+        fresh[np.cumsum(windows)[:-1]] = True
+        at = np.flatnonzero(fresh)
+        counts = np.add.reduceat(fresh.astype(np.int64), np.cumsum(windows) - windows)
+        n_runs[chosen] = counts
+        start = np.cumsum(n_runs) - n_runs
+        lengths, values = np.repeat(lengths, n_runs), np.repeat(least, n_runs)
+        place = _ranges(start[chosen], counts)
+        lengths[place], values[place] = np.diff(np.append(at, len(whole))), whole[at]
+    start = np.cumsum(n_runs) - n_runs
     rows = []
     for number, at in _split(chunk, int(chunk.max()) + 1):
-        # Runs of equal values: how many runs an entry has, their lengths and values.
-        lengths, values, runs = [], [], np.empty(len(at), np.int32)
-        for j, i in enumerate(at.tolist()):
-            own = found[entry[i]]
-            if own is None:
-                runs[j] = 1
-                lengths.append(size[i] - LENGTH + 1)
-                values.append(least[entry[i]])
-            else:
-                cut = np.concatenate(([0], np.flatnonzero(np.diff(own)) + 1))
-                runs[j] = len(cut)
-                lengths.extend(np.diff(np.append(cut, len(own))).tolist())
-                values.extend(own[cut].tolist())
-        rows.append((number, table["group"][0].as_py(), pack(runs), pack(np.array(lengths, "<i4"), np.array(values, "<i8"))))
+        own = entry[at]
+        place = _ranges(start[own], n_runs[own])
+        rows.append((number, table["group"][0].as_py(), pack(n_runs[own].astype("<i4")), pack(lengths[place].astype("<i4"), values[place].astype("<i8"))))
     kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "part", "data", "runs"])
 
@@ -406,6 +412,20 @@ def _send(groups: int, texts: pa.Table, packed: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["group", "chunk", "data", "content"])
 
 
+def _joined(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges that overlap or touch in one document as one, by document and place."""
+    if not len(doc):
+        return doc, lo, hi
+    order = np.lexsort((lo, doc))
+    doc, lo, hi = doc[order], lo[order], hi[order]
+    # Documents lie one behind the other, with a gap between.
+    shift = doc * (int(hi.max()) + 2)
+    reach = np.maximum.accumulate(hi + shift)
+    first = np.flatnonzero(np.append(True, lo[1:] + shift[1:] > reach[:-1]))
+    last = np.append(first[1:], len(doc)) - 1
+    return doc[first], lo[first], reach[last] - shift[last]
+
+
 _REMOVED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
 
@@ -414,7 +434,7 @@ def _remove(options: tuple[bool, int], texts: pa.Table, packed: pa.Table) -> pa.
     with_text, groups = options
     body = _bytes(texts["text"]) if texts.num_rows else []
     ids = texts["id"].fill_null(_LAST).to_numpy() if body else np.empty(0, np.int64)
-    gone: list[list[tuple[int, int]]] = [[] for _ in body]
+    gone: list[list[tuple[int, int]]] = [[] for _ in body]  # maximal ranges, in order
     if body and packed.num_rows:
         own = _Chunk(body, ids, [d for d in packed["anchors"].to_pylist() if d is not None])
         sent = dict(_split(own.key[own.first] % np.uint64(groups), groups))
@@ -430,28 +450,21 @@ def _remove(options: tuple[bool, int], texts: pa.Table, packed: pa.Table) -> pa.
             order = np.empty(len(place), np.int64)
             order[place] = np.arange(len(place))
             entry = order[own.entry]
-            for doc, start, number, i in zip(own.doc.tolist(), own.start.tolist(), own.id.tolist(), entry.tolist(), strict=True):
-                at = start
-                for j in range(begin[i], begin[i] + runs[i]):
-                    if least[j] < number:
-                        gone[doc].append((at, at + int(length[j]) + LENGTH - 1))
-                    at += int(length[j])
+            length = length.astype(np.int64)
+            ahead = np.cumsum(length) - length
+            ahead -= np.repeat(ahead[begin], runs)
+            own_runs = runs[entry].astype(np.int64)
+            run, segment = _ranges(begin[entry], own_runs), np.repeat(np.arange(len(entry)), own_runs)
+            hit = least[run] < own.id[segment]
+            run, segment = run[hit], segment[hit]
+            doc, lo = own.doc[segment], own.start[segment] + ahead[run]
+            for number, a, b in zip(*(x.tolist() for x in _joined(doc, lo, lo + length[run] + LENGTH - 1)), strict=True):
+                gone[number].append((a, b))
     rows = []
     for text, ranges, number in zip(body, gone, texts["id"].to_pylist() if body else [], strict=True):
-        kept, spans, removed, end = [], 0, 0, 0
-        reach = -1
-        for a, b in sorted(ranges):
-            if a > reach:
-                kept.append(text[end:a])
-                spans += 1
-                removed += b - a
-                end = reach = b
-            elif b > reach:
-                removed += b - reach
-                end = reach = b
-        kept.append(text[end:])
-        left = b"".join(kept)
-        rows.append((number, len(text), removed, spans, hashlib.sha256(left).hexdigest(), left if with_text else None))
+        ends = [0, *(x for r in ranges for x in r), len(text)]
+        left = b"".join([text[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)])
+        rows.append((number, len(text), len(text) - len(left), len(ranges), hashlib.sha256(left).hexdigest(), left if with_text else None))
     columns = zip(*rows, strict=True) if rows else [[]] * 6
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _REMOVED, strict=True)], schema=_REMOVED)
 
