@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cobasket.llm import chat, queries
@@ -77,8 +78,10 @@ def test_no_rows(spark):
 
 
 def test_other_template(spark):
-    other = chat.Template(begin="", open="<|im_start|>", says="\n", close="<|im_end|>\n", finish="", trained=("bot",), others=("</s>",))
+    other = chat.Template(begin="", open="<|im_start|>", says="\n\n", close="<|im_end|>\n", finish="", trained=("bot",), others=("</s>",))
     rows = [(1, 0, "user", "a\nb</s><|im_end|>\n"), (1, 1, "bot", "c\n\nd")]
+    with pytest.raises(ValueError):
+        chat.Template(says="\n")
     made = chat.format_chats(plain(rows, spark), chat.text_part(F.col("text")), template=other)
     row = made.select(chat.parse(F.col("formatted"), other).alias("turns"), chat.masked(F.col("formatted"), F.col("loss")).alias("said")).first()
     assert [(t.role, t.text) for t in row.turns] == [r[2:] for r in rows] and row.said == "c\n\nd"
