@@ -25,13 +25,17 @@ Batches = Iterator[pa.RecordBatch]
 
 
 class Loads:
-    """In how many shares the baskets of a unit are dealt out."""
+    """The sizes of units, and in how many shares the baskets of one are dealt out.
+
+    ``weights`` are the sums of the frequencies of each block's items.
+    """
 
     def __init__(self, weights: list[int], n_baskets: int):
         self.weights, self.n_baskets = weights, max(1, n_baskets)
+        self.block, self.unit_pairs, self.held_ids, self.sorted_pairs = BLOCK_ITEMS, UNIT_PAIRS, HELD_IDS, SORTED_PAIRS
 
     def shares(self, one: int, other: int) -> int:
-        return 1 + int(self.weights[one] * self.weights[other] / self.n_baskets) // UNIT_PAIRS
+        return 1 + int(self.weights[one] * self.weights[other] / self.n_baskets) // self.unit_pairs
 
 
 def pack(loads: Loads) -> Callable[[Batches], Batches]:
@@ -50,7 +54,7 @@ def pack(loads: Loads) -> Callable[[Batches], Batches]:
         for batch in batches:
             lists = batch.column(1)
             values, offsets = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            blocks, inner = values // BLOCK_ITEMS, (values % BLOCK_ITEMS).astype(np.uint16)
+            blocks, inner = values // loads.block, (values % loads.block).astype(np.uint16)
             for k, h in enumerate(batch.column(0).to_numpy()):
                 lo, hi = offsets[k], offsets[k + 1]
                 cuts = np.flatnonzero(np.diff(blocks[lo:hi])) + lo + 1
@@ -63,7 +67,7 @@ def pack(loads: Loads) -> Callable[[Batches], Batches]:
                     for other, right in runs[i + 1:]:
                         held[one, other, int(h % loads.shares(one, other))] += (left, right)
                         size += len(left) + len(right)
-                    if size >= HELD_IDS:
+                    if size >= loads.held_ids:
                         yield flush(held)
                         held, size = defaultdict(list), 0
         if held:
@@ -75,19 +79,20 @@ def pack(loads: Loads) -> Callable[[Batches], Batches]:
 class Cells:
     """The counts of one unit: a list of pairs while they are few, an array afterwards."""
 
-    def __init__(self, same: bool):
+    def __init__(self, loads: Loads, same: bool):
+        self.block, self.sorted_pairs = loads.block, loads.sorted_pairs
         self.same, self.table, self.few, self.n_few = same, None, [], 0
 
     def add(self, left: np.ndarray, right: np.ndarray) -> None:
         # The pairs of one basket are distinct, so adding by index loses none.
-        keys = (left.astype(np.int32)[:, None] * BLOCK_ITEMS + (left if self.same else right)[None, :]).ravel()
+        keys = (left.astype(np.int32)[:, None] * self.block + (left if self.same else right)[None, :]).ravel()
         if self.table is not None:
             self.table[keys] += 1
             return
         self.few.append(keys)
         self.n_few += len(keys)
-        if self.n_few > SORTED_PAIRS:
-            self.table = np.bincount(np.concatenate(self.few), minlength=BLOCK_ITEMS * BLOCK_ITEMS)
+        if self.n_few > self.sorted_pairs:
+            self.table = np.bincount(np.concatenate(self.few), minlength=self.block * self.block)
             self.few = []
 
     def found(self, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +105,7 @@ class Cells:
             keys = np.flatnonzero(self.table >= max(1, least))
             n = self.table[keys]
         if self.same:
-            keep = keys // BLOCK_ITEMS < keys % BLOCK_ITEMS
+            keep = keys // self.block < keys % self.block
             keys, n = keys[keep], n[keep]
         return keys, n
 
@@ -113,8 +118,8 @@ def count(loads: Loads, least: int) -> Callable[[Batches], Batches]:
         one, other = unit
         for at in range(0, len(keys), _ROWS):
             part = keys[at:at + _ROWS]
-            a = (part // BLOCK_ITEMS + one * BLOCK_ITEMS).astype(np.int32)
-            b = (part % BLOCK_ITEMS + other * BLOCK_ITEMS).astype(np.int32)
+            a = (part // loads.block + one * loads.block).astype(np.int32)
+            b = (part % loads.block + other * loads.block).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n[at:at + _ROWS].astype(np.int64))], names=["a", "b", "n"])
 
     def run(batches: Batches) -> Batches:
@@ -124,7 +129,7 @@ def count(loads: Loads, least: int) -> Callable[[Batches], Batches]:
                 if (one, other, share) != unit:
                     if unit:
                         yield from rows(unit[:2], cells)
-                    unit, cells = (one, other, share), Cells(one == other)
+                    unit, cells = (one, other, share), Cells(loads, one == other)
                 ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
                 ids, start = np.frombuffer(ids, np.uint16), 0
                 for mid, end in zip(ends[::2], ends[1::2], strict=True):

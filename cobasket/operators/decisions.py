@@ -20,6 +20,16 @@ def last_writer(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
     return rows.groupBy(*keys).agg(latest).select(*keys, *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
+def replay(log: DataFrame) -> DataFrame:
+    """The state ``(field, key, value)`` that a log of decisions ends in: the last writer of each key.
+
+    Later versions win, then later files, then what stands further down.
+    """
+    return last_writer(log.select("field", "key", "value", "version", "file", "ord"), ["field", "key"], [F.col("version"), F.col("file"), F.col("ord")]).select(
+        "field", "key", "value"
+    )
+
+
 def union_names(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Validated or deleted names of both sides."""
     return local.select("item").unionByName(remote.select("item")).distinct()

@@ -34,7 +34,7 @@ def _document(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _pieces(spark: SparkSession, path: str, between: str) -> DataFrame:
     """``(ord, value)``: a document cut at ``between``, by as many tasks as its size asks for."""
-    return spark.read.option("lineSep", between).text(path).select(_source_order().alias("ord"), "value")
+    return spark.read.option("lineSep", between).text(path).select(source_order().alias("ord"), "value")
 
 
 AFFINITY_HEAD = "v INT, meta STRUCT<source:STRING,ingredients:INT,recipes:INT>, i ARRAY<STRING>"
@@ -74,7 +74,7 @@ def read_affinity_document(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return items.select("item", "item_id"), named.select("context", "item", "partner", "score"), doc.select("v", "meta")
 
 
-def _source_order():
+def source_order():
     """File, place of the split in it, row in the split: the order of the lines whatever the packing of splits."""
     return F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
@@ -87,13 +87,18 @@ def read_basket_jsonl(spark: SparkSession, paths: list[str]) -> DataFrame:
     parts = None
     for n, path in enumerate(paths):
         part = spark.read.schema(BASKET_SCHEMA).json(path).withColumns({
-            "src_ord": F.struct(F.lit(n).alias("input"), *[_source_order()[c].alias(c) for c in ("file", "start", "row")]),
+            "src_ord": F.struct(F.lit(n).alias("input"), *[source_order()[c].alias(c) for c in ("file", "start", "row")]),
         })
         parts = part if parts is None else parts.unionByName(part)
+    return basket_records(parts)
+
+
+def basket_records(rows: DataFrame) -> DataFrame:
+    """Rows of ``BASKET_SCHEMA`` with ``src_ord`` as baskets, missing fields filled in."""
     phrases = F.when(F.size("ingredients") > 0, F.col("ingredients")).otherwise(
         F.coalesce("ner", F.array().cast("array<string>"))
     )
-    return parts.select(
+    return rows.select(
         "src_ord",
         F.concat_ws(":", F.col("src_ord.input").cast("string"), F.col("src_ord.row").cast("string")).alias("basket_id"),
         "id", F.trim(F.coalesce("title", F.lit(""))).alias("title"),
@@ -113,7 +118,7 @@ def read_records(
     an array of records, or an object with one in ``recipes``. CSV files without line ends in
     cells can be split over tasks: give ``multi_line=False``.
     """
-    ordered = _source_order().alias("src_ord")
+    ordered = source_order().alias("src_ord")
     if path.endswith(".jsonl"):
         text = F.get_json_object
         raw = spark.read.text(path).where(F.trim("value") != "").select(ordered, F.col("value").alias("j"))
@@ -148,7 +153,7 @@ def read_wide_csv(spark: SparkSession, path: str, source: str = "wide", multi_li
     """``title, link, NER`` with a list in the cell; the other columns are not parsed."""
     csv = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return csv.select(
-        _source_order().alias("src_ord"),
+        source_order().alias("src_ord"),
         F.trim(F.coalesce("title", F.lit(""))).alias("title"), F.lit("en").alias("lang"),
         cell_to_list(F.col("NER")).alias("phrases"), normalise_url(F.col("link")).alias("url"),
         F.lit(source).alias("source"),
@@ -163,7 +168,7 @@ def read_long_csv(
     csv = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     return split_lines(
         csv.select(
-            _source_order().alias("ord"), F.trim(F.coalesce(url_key, F.lit(""))).alias("url"),
+            source_order().alias("ord"), F.trim(F.coalesce(url_key, F.lit(""))).alias("url"),
             F.trim(F.coalesce(title_key, F.lit(""))).alias("title"), F.coalesce(item_key, F.lit("")).alias("line"),
         )
     )
@@ -204,7 +209,9 @@ def _basket_rows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     ends = F.col("value").rlike(r"\]\s*\]\s*\}\s*$")
     inner = F.when(ends, F.regexp_replace(inner, r"\]\s*\]\s*\}\s*$", "")).otherwise(inner)
     cells = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>", {"mode": "PERMISSIVE"})
-    rows = pieces.select("ord", opens.alias("opens"), ends.alias("ends"), cells.alias("f"))
+    # Without its strings a row is flat but for lists of numbers.
+    flat = F.regexp_replace(inner, r'"(?:[^"\\]++|\\.)*+"', "").rlike(r"^[^\[\]]*+(?:\[[^\[\]]*+\][^\[\]]*+)*+$")
+    rows = pieces.select("ord", opens.alias("opens"), ends.alias("ends"), F.when(flat, cells).alias("f"))
     # Cut inside a string, or in another order of keys: then some piece is no list of cells.
     odd, n_opens, n_ends, files = rows.agg(
         F.count_if(F.col("f").isNull()), F.count_if("opens"), F.count_if("ends"), F.count_distinct("ord.file"),
@@ -279,6 +286,27 @@ def read_curation(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     }
 
 
+def read_decision_log(spark: SparkSession, path: str) -> DataFrame:
+    """Curation documents of many curators as one log: ``(field, key, value, version, file, ord)``.
+
+    Fields are ``validated`` and ``deleted`` (no value), ``merged`` (the target is the value) and ``badPairs``
+    (the two names, sorted, as a JSON list). ``version`` is the document's ``v``, 0 without one.
+    """
+    schema = "v INT, validated ARRAY<STRING>, deleted ARRAY<STRING>, merged MAP<STRING,STRING>, badPairs ARRAY<ARRAY<STRING>>"
+    docs = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"), F.col("_metadata.file_path").alias("file"))
+    entry = lambda field, key, value: F.struct(F.lit(field).alias("field"), key.alias("key"), value.cast("string").alias("value"))
+    plain = lambda field: F.transform(F.coalesce(f"d.{field}", F.array()), lambda x: entry(field, x, F.lit(None)))
+    merged = F.transform(F.map_entries(F.coalesce("d.merged", F.create_map().cast("map<string,string>"))), lambda e: entry("merged", e["key"], e["value"]))
+    pairs = F.transform(
+        F.filter(F.coalesce("d.badPairs", F.array().cast("array<array<string>>")), lambda p: F.size(p) == 2),
+        lambda p: entry("badPairs", F.to_json(F.array_sort(p)), F.lit(None)),
+    )
+    rows = docs.select(
+        F.coalesce("d.v", F.lit(0)).alias("version"), "file", F.posexplode(F.concat(plain("validated"), plain("deleted"), merged, pairs)).alias("ord", "e"),
+    )
+    return rows.where("e.key IS NOT NULL").select("e.field", "e.key", "e.value", "version", "file", "ord")
+
+
 def read_judgments(spark: SparkSession, path: str) -> DataFrame:
     doc = _document(spark, path, "judgments MAP<STRING,MAP<STRING,INT>>")
     return doc.select(F.explode("judgments").alias("probe", "m")).select(

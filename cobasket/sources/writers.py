@@ -19,6 +19,26 @@ def write_graph(edges: DataFrame, path: str, mode: str = "errorifexists") -> Non
     edges.repartitionByRange("item").sortWithinPartitions("item", F.desc("score"), "partner").write.mode(mode).parquet(path)
 
 
+def store_graph(edges: DataFrame, table: str, path: str, buckets: int = 64) -> DataFrame:
+    """The graph as a table bucketed and sorted by item: joins and groupings on the item do not move it.
+
+    Choose ``buckets`` so that one fits a task; tables joined on one key want the same number.
+    """
+    return _bucketed(edges.select("item", "partner", "score"), table, path, buckets, "item")
+
+
+def store_baskets(basket_items: DataFrame, table: str, path: str, by: str = "basket_id", buckets: int = 64) -> DataFrame:
+    """Basket items as a table bucketed and sorted by basket, or by item for lookups of baskets by item."""
+    return _bucketed(basket_items, table, path, buckets, by)
+
+
+def _bucketed(df: DataFrame, table: str, path: str, buckets: int, by: str) -> DataFrame:
+    # One task writes a bucket, so a bucket is one sorted file.
+    dealt = df.repartition(buckets, by)
+    dealt.write.bucketBy(buckets, by).sortBy(by).option("path", path).mode("overwrite").saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def adjacency(items: DataFrame, edges: DataFrame, part_size: int = 10_000) -> DataFrame:
     """``(idx, item, part, partners)``: partner ids with scores, best first.
 

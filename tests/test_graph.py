@@ -5,8 +5,10 @@ from collections import Counter
 from dataclasses import replace
 from itertools import combinations
 
+import pyarrow as pa
 import pytest
 
+from cobasket.functions import pairs
 from cobasket.operators import graph as g
 from cobasket.params import Params
 
@@ -146,10 +148,36 @@ def test_params_are_one_place():
     assert replace(Params(), min_support=1).min_item_freq == 30
 
 
-def test_pairs_are_counted_before_they_travel(spark):
-    rows = spark.createDataFrame([(b, x, 1) for b in range(40) for x in (1, 2)], "basket_id int, id long, n long")
-    counted = g._light_counts(rows)
-    assert [tuple(r) for r in counted.collect()] == [(1, 2, 40)]
-    plan = counted._jdf.queryExecution().executedPlan().toString()
-    last = plan[:plan.index("partial_count")]
-    assert last.rindex("Exchange hashpartitioning(a") > 0 and "Generate" not in last
+def test_units_of_blocks_count_all_pairs(spark, monkeypatch):
+    """Blocks of three items, units of few pairs, lists that turn into arrays: the same counts."""
+    for name, value in {"BLOCK_ITEMS": 3, "UNIT_PAIRS": 40, "HELD_IDS": 16, "SORTED_PAIRS": 10}.items():
+        monkeypatch.setattr(pairs, name, value)
+    p = Params(min_item_freq=3, min_support=3)
+    baskets = random_baskets(11)
+    assert got_pairs(g.npmi_pairs(as_df(spark, baskets), p)) == brute_pairs(baskets, p)
+
+
+def test_a_pair_in_all_baskets_is_spread(spark, monkeypatch):
+    """Baskets of a hot unit are dealt out in shares, and one count for each share travels."""
+    monkeypatch.setattr(pairs, "UNIT_PAIRS", 20)
+    rows = spark.createDataFrame([(b, x) for b in range(400) for x in (0, 1)], "basket_id int, id long")
+    numbered = spark.createDataFrame([(0, 400), (1, 400)], "id long, n long")
+    loads = pairs.Loads([800], 400)
+    assert loads.shares(0, 0) == 81
+    counted = g._light_counts(rows, numbered, 400)
+    assert [tuple(r) for r in counted.collect()] == [(0, 1, 400)]
+    packed = list(pairs.pack(loads)(iter([pa.RecordBatch.from_pydict({"hash": list(range(400)), "ids": [[0, 1]] * 400})])))
+    assert sorted(packed[0].column(2).to_pylist()) == list(range(81))
+    partial = list(pairs.count(loads, 3)(iter(packed)))
+    assert sum(b.num_rows for b in partial) == 81 and sum(sum(b.column(2).to_pylist()) for b in partial) == 400
+
+
+def test_rank_of_a_probe_however_deep(spark):
+    rows = [("hub", f"p{k:03d}", 90 - k // 7) for k in range(300)] + [("hub", "zz", 1), ("one", "hub", 5)]
+    edges = spark.createDataFrame(rows, "item string, partner string, score int")
+    probes = spark.createDataFrame([("hub", "p000"), ("hub", "p299"), ("hub", "zz"), ("one", "hub"), ("one", "none")], "item string, partner string")
+    got = {(r["item"], r.partner): (r.score, r["rank"], r.passed) for r in g.golden_probes(probes, edges, min_score=5).collect()}
+    assert got == {
+        ("hub", "p000"): (90, 1, True), ("hub", "p299"): (48, 300, False), ("hub", "zz"): (1, 301, False),
+        ("one", "hub"): (5, 1, True), ("one", "none"): (None, None, False),
+    }

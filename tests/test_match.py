@@ -91,3 +91,25 @@ def test_the_best_basket_may_come_late(spark):
     edges = spark.createDataFrame([("a", "b", 40)], "item string, partner string, score int")
     got = mt.basket_matches(chosen, heads, basket_items, edges).orderBy("rank").collect()
     assert got[0].basket_id == 249 and len(got) == 8
+
+
+def test_waves_under_the_bound_give_the_same_best(spark):
+    """Waves of one basket at first: later waves win, and the best are those of scoring all."""
+    baskets, selections, scores = world(9)
+    rows = [(k, pos, x) for k, (_, b) in baskets.items() for pos, x in enumerate(b)]
+    basket_items = spark.createDataFrame(rows, "basket_id int, pos int, item string")
+    sel = spark.createDataFrame([(s, x) for s, (_, xs) in selections.items() for x in xs], "sel_id int, item string")
+    edges = spark.createDataFrame(
+        [t for pair, s in scores.items() for a, b in [sorted(pair)] for t in ((a, b, s), (b, a, s))], "item string, partner string, score int"
+    )
+    hits = {(s, k): len(set(b) & set(xs)) for s, (_, xs) in selections.items() for k, (_, b) in baskets.items()}
+    pool = spark.createDataFrame(
+        [(s, k, len(selections[s][1]), m, 1, None) for (s, k), m in hits.items() if m], "sel_id int, basket_id int, n long, matched long, tier int, fill int"
+    )
+    best = lambda scored: sorted(tuple(r) for r in mt.rank_matches(scored, P).select("sel_id", "rank", "basket_id", "extras").collect())
+    whole = mt.score_matches(pool, sel, basket_items, edges, P, symmetric=True)[0]
+    some, _, _ = mt.score_best(pool, sel, basket_items, edges, P, symmetric=True, first_wave=1)
+    assert best(some) == best(whole)
+    assert some.count() < whole.count() == pool.count()
+    bound = whole.withColumn("bound", mt.best_possible(P))
+    assert bound.where("bound < score - 1e-12").count() == 0

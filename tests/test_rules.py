@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from cobasket.functions.text import KEY_TERM_SKIP
 from cobasket.operators import groups, media, quality, search
 from cobasket.operators import taxonomy as tx
@@ -74,6 +76,33 @@ def test_groups_equal_claiming_one_by_one(spark):
     assert groups.duplicate_groups(df.where("item = 'nothing'")).count() == 0
 
 
+@pytest.mark.parametrize("small_rows", [10_000, 3])
+def test_a_long_chain_of_terms(spark, small_rows):
+    """Every term shares an item with the next one, so each claim waits for the one before."""
+    n = 500 if small_rows > 3 else 12
+    digits = lambda k: "".join("abcdefghij"[int(d)] for d in f"{k:03d}")
+    word = lambda k: f"q{digits(k)}x"
+    items = [(f"{word(k)} {word(k + 1)}", n - k) for k in range(n)]
+    terms = {name: name.split() for name, _ in items}
+    df = spark.createDataFrame(items, "item string, degree int")
+    got = {(r.term, r["item"]) for r in groups.duplicate_groups(df, rounds=1, small_rows=small_rows).collect()}
+    assert got == one_by_one(items, terms)
+
+
+def test_search_meets_on_the_rarest_piece(spark):
+    items = spark.createDataFrame([(f"i{k}", f"common {k:04d}x", k) for k in range(300)] + [("one", "common zebra", 1)], "item string, display string, freq int")
+    ask = spark.createDataFrame([(1, "common zebra"), (2, "common qqq"), (3, "common"), (4, "0299x")], "query_id int, query string")
+    index = search.index_names(items)
+    found = search.search_items(ask, items, index=index)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r["item"])
+    assert got == {1: ["one"], 3: [f"i{k}" for k in range(299, 291, -1)], 4: ["i299"]}
+    # What a piece that all names share costs the others: nothing.
+    rare = dict(index[1].where("gram IN ('com', 'zeb')").collect())
+    assert rare == {"com": 301, "zeb": 1}
+
+
 def test_search_ranks_prefixes_then_popularity(spark):
     items = spark.createDataFrame(
         [("a", "Tomato", 5), ("b", "green tomato", 90), ("c", "tomatillo", 7), ("d", "atom", 99)], "item string, display string, freq int"

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cobasket.operators.graph import dense_ids
 from cobasket.operators.match import usable_baskets
-from cobasket.sources import readers, writers
+from cobasket.plans.source_queries import store_tables
+from cobasket.sources import quarantine, readers, writers
 
 
 def put(path, value):
@@ -119,3 +120,79 @@ def test_encoded_baskets_of_wrong_shape_are_reported(spark, tmp_path):
     assert found["wrong arity"] == 2 and found["wrong document version"] == 3 and found["unknown language"] == 1
     found = {r.check: r.violations for r in quality.check_baskets(baskets, refs, vocab, live, langs=None, version=1).collect()}
     assert found["wrong document version"] == 0 and found["no items"] == 0
+
+
+def test_large_documents_are_read_by_many_tasks(spark, tmp_path):
+    """Awkward names and every place a cut may fall on; the same rows as from the whole document."""
+    names = ["a]],", 'q"]],"5":[[1,2', "b\\", "],[", "é" * 30] + [f"n{k}" for k in range(400)]
+    lists = {str(k): [[(k * 7 + j) % 405, j + 1] for j in range(k % 9)] for k in range(405)}
+    for layout in ((",", ":"), (", ", ": ")):
+        path = put(tmp_path / f"g{len(layout[0])}.json", json.dumps({"v": 2, "meta": {"source": "s]],"}, "i": names, "p": lists}, separators=layout, ensure_ascii=False))
+        old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            items, edges, meta = readers.read_affinity_document(spark, path)
+            tasks = readers._pieces(spark, path, "]],").rdd.getNumPartitions()
+            got = sorted((r["item"], r.partner, r.score) for r in edges.collect())
+            assert [r["item"] for r in items.orderBy("item_id").collect()] == names and meta.first().meta.source == "s]],"
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == sorted((names[int(k)], names[b], s) for k, v in lists.items() for b, s in v)
+        assert tasks > 5
+    pieces = readers._pieces(spark, str(tmp_path / "g1.json"), "]],")
+    assert pieces.count() > 300
+
+
+def test_encoded_documents_are_read_by_many_tasks(spark, tmp_path):
+    rows = [[f"t{k} é", [j % 50 for j in range(k % 7)], f"u{k}", "en"] for k in range(600)] + [["short", [1]], ["none"]]
+    vocabulary = [f"w{k}" for k in range(50)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for odd in (False, True):
+        doc = {"v": 3, "ing": vocabulary, "r": rows + ([["x],[", [3], "],[", "fr"]] if odd else [])}
+        path = put(tmp_path / f"e{odd}.json", json.dumps(doc, separators=(",", ":"), ensure_ascii=False))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            assert (readers._basket_rows(spark, path) is None) == odd
+            baskets, refs, vocab = readers.read_encoded_baskets(spark, path)
+            got = {r.basket_id: (r.title, r.url, r.lang, r.arity, r.v) for r in baskets.collect()}
+            ids = {}
+            for r in refs.orderBy("basket_id", "pos").collect():
+                ids.setdefault(r.basket_id, []).append(r.local_id)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == {k: (*(r + [None] * 4)[:1], *(r + [None] * 4)[2:4], len(r), 3) for k, r in enumerate(doc["r"])}
+        assert ids == {k: r[1] for k, r in enumerate(doc["r"]) if len(r) > 1 and r[1]}
+        assert [r["item"] for r in vocab.orderBy("local_id").collect()] == vocabulary
+
+
+def test_jsonl_order_of_a_folder_follows_its_files(spark, tmp_path):
+    for k in range(5):
+        put(tmp_path / f"{k}.jsonl", "".join(f'{{"id":"{k}{j}","title":"t","ingredients":["x"]}}\n' for j in range(4)))
+    rows = readers.read_basket_jsonl(spark, [str(tmp_path)]).orderBy("src_ord").collect()
+    assert [r.id for r in rows] == [f"{k}{j}" for k in range(5) for j in range(4)]
+
+
+def test_bad_rows_are_set_aside(spark, tmp_path):
+    nodes = put(tmp_path / "n.csv", "node_id,name,node_type\n1,salt,ingredient\nx,oil,ingredient\n,rye,ingredient\n")
+    edges = put(tmp_path / "e.csv", 'id_1,id_2,score,edge_type\n1,2, 0.5 ,ingr-ingr\n1,2\n1,y,z,ingr-ingr\n1,2,0.5,a,b\n1,2,,"ingr-ingr"\n')
+    n, e, bad = quarantine.checked_graph_csv(spark, nodes, edges)
+    assert sorted(map(tuple, n.collect()), key=str) == [(1, "salt", "ingredient"), (None, "rye", "ingredient")]
+    assert sorted(map(tuple, e.collect()), key=str) == [(1, 2, 0.5, "ingr-ingr"), (1, 2, None, "ingr-ingr")]
+    found = sorted((r.file.rsplit("/", 1)[1], r.line, r.reason) for r in bad.collect())
+    assert found == [("e.csv", "1,2", "malformed"), ("e.csv", "1,2,0.5,a,b", "malformed"), ("e.csv", "1,y,z,ingr-ingr", "id_2,score"), ("n.csv", "x,oil,ingredient", "node_id")]
+    assert {(r.reason, r.n) for r in quarantine.counts(bad).collect()} == {("malformed", 2), ("id_2,score", 1), ("node_id", 1)}
+    lines = put(tmp_path / "b.jsonl", '{"id":"p","title":"A","ingredients":["x"]}\n{"id":"q"\n[1]\n{"id":"r","title":"B","ingredients":"none"}\n')
+    good, bad = quarantine.checked_basket_jsonl(spark, lines)
+    assert [(r.id, r.title, r.phrases) for r in good.collect()] == [("p", "A", ["x"])]
+    assert bad.count() == 3 and {r.reason for r in bad.collect()} == {"malformed"}
+
+
+def test_bucketed_tables_are_joined_where_they_lie(spark):
+    edges, postings = store_tables(spark, "/root/testdata/sf0.001")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = edges.join(postings, "item").groupBy("item").agg(F.count("*").alias("n"))
+        joined.collect()
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
