@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cobasket.operators.components import components
 from cobasket.operators.resolve import follow_links
 from cobasket.staging import stage
 
@@ -70,20 +72,31 @@ def _closing_edges(loop: DataFrame, size: int) -> DataFrame:
     return loop.join(ahead.select("src", "latest"), "src").where(F.col("ord") == F.col("latest")).select("src")
 
 
-def compact_merges(proposed: DataFrame, existing: DataFrame, deleted: DataFrame):
+#: Rounds over all proposals, before what still changes is taken component by component.
+ROUNDS = 2
+#: Links up to which a component is settled by one task.
+SMALL_LINKS = 20_000
+
+
+def compact_merges(proposed: DataFrame, existing: DataFrame, deleted: DataFrame, rounds: int = ROUNDS, small_links: int = SMALL_LINKS):
     """Fold proposed merges, in the order of ``ord``, into a chain-free map.
 
     ``proposed(src, tgt, ord)``, ``existing(src, tgt)``. Targets are resolved to
     their end and earlier merges into a new source are re-pointed. A proposal that
     reaches a deleted name or closes a cycle is rejected and the earlier map of its
     source stays. Returns ``(map(src, tgt), rejected(src, tgt))``.
+
+    A rejection brings an earlier map back, which may close another cycle. After ``rounds``
+    of this over all proposals, a connected component in which something still changed is
+    settled by one task; only components of more than ``small_links`` links go on by rounds.
     """
     gone = deleted.select(F.col("item").alias("_end"), F.lit(True).alias("_gone")).distinct()
     base = existing.select("src", "tgt", F.lit(-1).cast("long").alias("ord"))
-    latest = last_writer(proposed.select("src", "tgt", F.col("ord").cast("long").alias("ord")), ["src"], [F.col("ord")])
+    latest = stage(last_writer(proposed.select("src", "tgt", F.col("ord").cast("long").alias("ord")), ["src"], [F.col("ord")]), "latest")
     refused = latest.where(F.col("src") == F.col("tgt")).select("src").unionByName(
         latest.join(gone.select(F.col("_end").alias("tgt")), "tgt", "left_semi").select("src")
     ).distinct()
+    turn = 0
     while True:
         fine = stage(latest.join(refused, "src", "left_anti"), "fine")
         links = stage(
@@ -100,13 +113,67 @@ def compact_merges(proposed: DataFrame, existing: DataFrame, deleted: DataFrame)
         bad = stage(bad.distinct(), "bad")
         if bad.isEmpty():
             break
-        refused = stage(refused.unionByName(bad).distinct(), "refused")
+        refused = refused.unionByName(bad).distinct()
+        turn += 1
+        if turn == rounds:
+            refused = refused.unionByName(_refused_in_parts(latest, base, gone, stage(refused, "refused"), bad, small_links)).distinct()
+        refused = stage(refused, "refused")
     return (
         ends.where(~F.col("cyclic")).select("src", F.col("dst").alias("tgt")),
         latest.join(refused, "src", "left_semi").select("src", "tgt"),
     )
 
 
+def _refused_in_parts(latest: DataFrame, base: DataFrame, gone: DataFrame, refused: DataFrame, bad: DataFrame, small_links: int) -> DataFrame:
+    """Further ``src`` to refuse, in components of bounded size that hold one of ``bad``."""
+    rows = latest.withColumn("made", F.lit(True)).unionByName(base.withColumn("made", F.lit(False)))
+    rows = rows.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
+    parts = components(rows.select(F.col("src").alias("a"), F.col("tgt").alias("b"))).withColumnRenamed("node", "src")
+    rows = rows.join(parts, "src")
+    sizes = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= small_links).select("root")
+    asked = parts.join(bad, "src", "left_semi").select("root").distinct().join(sizes, "root")
+    out = refused.select("src", F.lit(True).alias("out"))
+    ends = gone.select(F.col("_end").alias("tgt"), F.col("_gone").alias("tgt_gone"))
+    starts = gone.select(F.col("_end").alias("src"), F.col("_gone").alias("src_gone"))
+    rows = rows.join(asked, "root", "left_semi").join(out, "src", "left").join(ends, "tgt", "left").join(starts, "src", "left")
+    rows = rows.fillna(False, ["out", "tgt_gone", "src_gone"])
+    return rows.groupBy("root").applyInPandas(_refuse, "src string")
+
+
+def _refuse(rows: pd.DataFrame) -> pd.DataFrame:
+    """The rounds of one component: refuse what closes a cycle or ends at a deleted name, until nothing does."""
+    base, made, refused, gone = {}, {}, set(), set()
+    for row in rows.itertuples():
+        if row.made:
+            made[row.src] = (row.tgt, row.ord)
+            if row.out:
+                refused.add(row.src)
+        else:
+            base[row.src] = row.tgt
+        gone.update(name for name, is_gone in ((row.src, row.src_gone), (row.tgt, row.tgt_gone)) if is_gone)
+    before = set(refused)
+    while True:
+        fine = {src: tgt for src, (tgt, _) in made.items() if src not in refused}
+        links = base | fine
+        end, bad = {}, set()
+        for src in links:
+            path, at = {}, src
+            while at in links and at not in end and at not in path:
+                path[at] = len(path)
+                at = links[at]
+            if at in path:
+                cycle = [name for name, place in path.items() if place >= path[at]]
+                latest = max(made[name][1] if name in fine else -1 for name in cycle)
+                bad.update(name for name in cycle if name in fine and made[name][1] == latest)
+                end.update((name, name) for name in cycle)
+            last = end.get(at, at)
+            end.update((name, last) for name in path if name not in end)
+        bad.update(src for src in fine if end[src] in gone)
+        if not bad:
+            return pd.DataFrame({"src": sorted(refused - before)}, dtype="object")
+        refused |= bad
+
+
 def apply_asset_changes(changes: DataFrame, manifest: DataFrame, overrides: DataFrame, credits: DataFrame):
     """Staged replacements and deletions applied to the three asset tables.
 

@@ -438,3 +438,24 @@ def localise_names(spark, sf_dir):
     nouns = names.select(w.alias("name")).distinct().where(F.col("name") != "anvil")
     dictionary = nouns.select("name", F.concat(F.lit("x"), "name").alias("translated"))
     return localise.localise(names.select(F.explode(forms).alias("name")), dictionary)
+
+
+@query("variant_table", """
+WITH v AS (SELECT lower(p_type) AS src, 'm' || p_partkey AS tgt, p_partkey AS ord, 1 AS seq, 1 AS prio FROM part WHERE p_size <= 10
+           UNION ALL SELECT 'c' || p_partkey, 'c' || least(p_partkey - p_partkey % 5 + 4, 1 + (SELECT max(p_partkey) FROM part)), p_partkey, 2, 2 FROM part WHERE p_partkey % 5 <> 4
+           UNION ALL SELECT lower(p_type), 'a' || p_partkey, p_partkey, 3, 3 FROM part WHERE p_size BETWEEN 20 AND 22
+           UNION ALL SELECT lower(p_type), 't' || p_partkey, p_partkey, 4, 0 FROM part)
+SELECT src, arg_max(tgt, struct_pack(prio, o := -ord)) AS tgt, min(struct_pack(seq, ord)).seq AS seq, min(struct_pack(seq, ord)).ord AS ord FROM v GROUP BY src""")
+def variant_table(spark, sf_dir):
+    """Variants from all four sources: merges, curation chains, aliases, and an inverted translation that fills the gaps."""
+    parts = i.parts(spark, sf_dir).select("p_partkey", "p_type", "p_size")
+    key = F.col("p_partkey")
+
+    def source(rows, src, letter, number=key):
+        return rows.select(src.alias("src"), F.concat(F.lit(letter), number).alias("tgt"), key.alias("ord"))
+
+    kind = F.lower("p_type")
+    return m.variant_table(
+        source(parts.where("p_size <= 10"), kind, "m"), source(parts.where("p_partkey % 5 <> 4"), F.concat(F.lit("c"), key), "c", key + 1),
+        source(parts.where("p_size BETWEEN 20 AND 22"), kind, "a"), source(parts, F.upper("p_type"), "t"),
+    )

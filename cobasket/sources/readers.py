@@ -108,6 +108,34 @@ def basket_records(rows: DataFrame) -> DataFrame:
     )
 
 
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+
+
+def _json_records(spark: SparkSession, path: str, record: T.StructType) -> DataFrame:
+    """``(src_ord, j)``: the records of JSON arrays, or of ``recipes`` in an object.
+
+    Files are cut between records and read by many tasks. Where that does not give whole
+    records (line ends between them, brackets in a string), a file is one value of one task.
+    """
+    pieces = _pieces(spark, path, "},{")
+    opens, ends = r'(?s)^\s*(?:\{\s*"recipes"\s*:\s*)?\[\s*\{', r"\}\s*\]\s*\}?\s*$"
+    opened, ended = F.col("value").rlike(opens), F.col("value").rlike(ends)
+    inner = F.regexp_replace(F.regexp_replace("value", opens, ""), ends, "")
+    flat = ~F.regexp_replace(inner, _STRING, "").rlike(r"\}\s*,\s*\{")
+    cut = pieces.select(F.col("ord").alias("src_ord"), opened.alias("opened"), ended.alias("ended"), F.when(flat, F.from_json(F.concat(F.lit("{"), inner, F.lit("}")), record)).alias("j"))
+    # A broken piece has no field at all.
+    broken = F.coalesce(*[F.col("j").getField(f.name) for f in record]).isNull()
+    odd, n_opened, n_ended, files = cut.agg(F.count_if(broken), F.count_if("opened"), F.count_if("ended"), F.count_distinct("src_ord.file")).first()
+    if not odd and n_opened == n_ended == files:
+        return cut.select("src_ord", "j")
+    whole = spark.read.schema(T.StructType(record.fields).add("recipes", T.ArrayType(record))).json(path, multiLine=True)
+    one = F.array(F.struct(*[F.col(f"`{f.name}`") for f in record]))
+    # Records of a file in their order: the place in the file is part of it.
+    return whole.select(source_order().alias("src_ord"), F.posexplode(F.coalesce("recipes", one)).alias("at", "j")).select(
+        F.struct("src_ord.file", "src_ord.start", (F.col("src_ord.row") + F.col("at")).alias("row")).alias("src_ord"), "j",
+    )
+
+
 def read_records(
     spark: SparkSession, path: str, title_key: str = "title", items_key: str = "ingredients", url_key: str = "url",
     multi_line: bool = True,
@@ -125,10 +153,7 @@ def read_records(
         raw = raw.select("src_ord", *[text("j", f"$['{k}']").alias(n) for k, n in ((title_key, "title"), (items_key, "cell"), (url_key, "url"))])
     elif path.endswith(".json"):
         keys = {title_key: "title", items_key: "cell", url_key: "url"}
-        record = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-        whole = spark.read.schema(record.add("recipes", T.ArrayType(T.StructType(list(record.fields))))).json(path, multiLine=True)
-        one = F.array(F.struct(*[F.col(f"`{k}`") for k in keys]))
-        raw = whole.select(ordered, F.explode(F.coalesce("recipes", one)).alias("j"))
+        raw = _json_records(spark, path, T.StructType([T.StructField(k, T.StringType()) for k in keys]))
         raw = raw.select("src_ord", *[F.col("j").getField(k).alias(n) for k, n in keys.items()])
     else:
         csv = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from cobasket.operators import curate as c
 from cobasket.operators import decisions as d
 from cobasket.operators import resolve as r
@@ -112,6 +114,38 @@ def test_compaction_equals_one_by_one(spark):
         assert sorted((x.src, x.tgt) for x in refused.collect()) == bad
 
 
+@pytest.mark.parametrize("small_links", [20_000, 3])
+def test_a_thousand_crossing_proposals(spark, monkeypatch, small_links):
+    rng = random.Random(7)
+    pool = [f"n{k:04d}" for k in range(1000)]
+    proposed = [(s, rng.choice(pool)) for s in rng.sample(pool, 1000)]
+    proposed += [(f"a{k}", f"b{k}") for k in range(100)] + [(f"b{k}", f"a{k}") for k in range(100)]
+    rng.shuffle(proposed)
+    deleted = ["b7", *rng.sample(pool, 5)]
+    df = spark.createDataFrame([(s, t, k) for k, (s, t) in enumerate(proposed)], "src string, tgt string, ord int")
+    rounds = []
+    monkeypatch.setattr(d, "follow_links", lambda links, f=d.follow_links: rounds.append(1) or f(links))
+    kept, refused = d.compact_merges(df, merge_df(spark, {}), names(spark, deleted), rounds=1, small_links=small_links)
+    want, bad = sequential_merges(proposed, {}, deleted)
+    assert {x.src: x.tgt for x in kept.collect()} == want
+    assert sorted((x.src, x.tgt) for x in refused.collect()) == bad
+    assert len(rounds) <= 3
+
+
+def test_rejections_that_bring_cycles_back(spark):
+    """Every rejection restores an earlier merge, which runs into the next cycle: in one task as by rounds."""
+    existing, proposed = {}, []
+    for k in range(30):
+        existing |= {f"s{k}": f"w{k}", f"w{k}": "gone" if k % 3 == 0 else f"x{k}", f"x{k}": f"s{k}" if k % 2 else f"y{k}"}
+        proposed += [(f"w{k}", f"s{k}"), (f"s{k}", f"w{(k * 7 + 3) % 30}"), (f"y{k}", f"w{k}"), (f"x{k}", f"y{(k + 1) % 30}")]
+    df = spark.createDataFrame([(s, t, (k * 37) % 121) for k, (s, t) in enumerate(proposed)], "src string, tgt string, ord int")
+    answers = []
+    for rounds in (1, 10**6):
+        kept, refused = d.compact_merges(df, merge_df(spark, existing), names(spark, ["gone"]), rounds=rounds)
+        answers.append((sorted(map(tuple, kept.collect())), sorted(map(tuple, refused.collect()))))
+    assert answers[0] == answers[1] and answers[0][1]
+
+
 def test_contradicting_merges_have_one_answer(spark):
     merged = spark.createDataFrame([("a", "c"), ("a", "b"), ("b", "a"), ("d", "a"), ("d", "a")], "src string, tgt string")
     ends = {(x.src, x.dst, x.cyclic) for x in r.follow_links(merged.withColumnRenamed("tgt", "dst")).collect()}

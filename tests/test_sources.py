@@ -165,6 +165,23 @@ def test_encoded_documents_are_read_by_many_tasks(spark, tmp_path):
         assert [r["item"] for r in vocab.orderBy("local_id").collect()] == vocabulary
 
 
+def test_large_json_dumps_are_read_by_many_tasks(spark, tmp_path):
+    recs = [{"title": f"t{k}", "ingredients": [f"salt {k}", 'a "b"'], "url": f"u{k}", "more": {"x": [1]}} for k in range(300)]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for n, (doc, layout) in enumerate([
+        (recs, (",", ":")), ({"recipes": recs}, (",", ":")), (recs, (", ", ": ")), (recs + [{"title": "odd },{ x", "ingredients": [], "url": ""}], (",", ":")),
+    ]):
+        path = put(tmp_path / f"{n}.json", json.dumps(doc, separators=layout))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        try:
+            rows = readers.read_records(spark, path).orderBy("src_ord").collect()
+            assert (readers._pieces(spark, path, "},{").count() > 200) == (n != 2)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        want = doc["recipes"] if isinstance(doc, dict) else doc
+        assert [(r.title, r.lines, r.url) for r in rows] == [(d["title"], d["ingredients"], d["url"]) for d in want]
+
+
 def test_jsonl_order_of_a_folder_follows_its_files(spark, tmp_path):
     for k in range(5):
         put(tmp_path / f"{k}.jsonl", "".join(f'{{"id":"{k}{j}","title":"t","ingredients":["x"]}}\n' for j in range(4)))
