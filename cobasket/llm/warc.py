@@ -1,8 +1,10 @@
 """A deterministic, sharded writer of WARC archives, and their reader.
 
 Records are sorted by key over shards. Shards are ranges of keys, cut where the payload
-bytes counted by key range reach a size, so they depend on the rows alone. A task
-writes its shards one after another to files with temporary names and rolls to the
+bytes counted by key range reach a size; a range that holds more is counted again in finer
+ones, so an outlying key does no harm, and shards depend on the rows alone. The driver
+sees no more than some numbers for each shard: choose ``shard_bytes`` by the size of the archive.
+A task gets a stretch of shards, writes them one after another to files with temporary names and rolls to the
 next file when the compressed size is reached; it reports each file in a manifest row.
 The manifest is stored first, then its files, and no others, get their final names. A
 task that is lost or runs twice leaves temporary files that no manifest names; they are
@@ -16,7 +18,7 @@ that name it, with the head alone. Payloads below ``min_revisit_bytes`` are alwa
 responses.
 
 A null payload is empty. A null url gives a record without target address, a null key
-one without key; such records come first and nothing refers to them unless all equal
+one without key; such records come first, in shards of their own by digest, and nothing refers to them unless all equal
 payloads lack a key, in which case the first of them is the response and the reference is
 null. Of rows equal in key and payload one is the response, the rest refer to the key.
 Line ends and control characters in urls are written as percent codes. An empty table
@@ -35,14 +37,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cobasket.llm.common import tasks_for
 from cobasket.staging import checkpoint_dir, stage
 
-#: Ranges of keys whose payload bytes are counted to cut shards: what the driver sees.
+#: Ranges of keys whose payload bytes are counted to cut shards, and into how many a range that is too full is cut further.
 KEY_RANGES = 4096
+FINER = 64
 SHARD_BYTES = 16 << 20
 ROLL_BYTES = 8 << 20
 DATE = "2000-01-01T00:00:00Z"
@@ -116,20 +119,50 @@ class _Rolling:
             self.out, self.seq = None, self.seq + 1
 
 
-def _shard_bounds(sizes: DataFrame, shard_bytes: int) -> list[int]:
-    """First keys of the shards after the first. ``sizes`` has ``(key, n_bytes)``."""
-    low, high = sizes.agg(F.min("key"), F.max("key")).first()
+def _shard_bounds(sizes: DataFrame, shard_bytes: int) -> tuple[int, list[int]]:
+    """The number of shards for rows without key, and the first keys of the other shards after their first.
+
+    ``sizes`` has ``(key, n_bytes)``.
+    """
+    low, high, keyless = sizes.agg(F.min("key"), F.max("key"), F.sum(F.when(F.col("key").isNull(), F.col("n_bytes") + 1))).first()
+    shards = -(-keyless // shard_bytes) if keyless else 0
     if low is None:
-        return []
-    width = max(1, -(-(high - low + 1) // KEY_RANGES))
-    counted = sizes.filter("key IS NOT NULL").groupBy(F.floor((F.col("key") - F.lit(low)) / F.lit(width)).alias("r")).agg(F.sum("n_bytes").alias("n"))
-    bounds, filled = [], 0
-    for r, n in sorted(counted.collect()):
-        if filled and filled + n > shard_bytes:
-            bounds.append(low + int(r) * width)
-            filled = 0
-        filled += n
-    return bounds
+        return shards, []
+    width = 1
+    while width * KEY_RANGES < high - low + 1:
+        width *= FINER
+    rows, filled = sizes.filter("key IS NOT NULL").select((F.col("key") - F.lit(low)).alias("at"), "n_bytes"), []
+    while True:
+        counted = rows.groupBy(F.expr(f"at div {width}L").alias("r")).agg(F.sum("n_bytes").alias("n")).collect()
+        heavy = [r.r for r in counted if r.n > shard_bytes and width > 1]
+        filled += [(low + r.r * width, r.n) for r in counted if r.n <= shard_bytes or width == 1]
+        if not heavy:
+            break
+        too_full = sizes.sparkSession.createDataFrame([(r,) for r in heavy], "r long")
+        rows = rows.withColumn("r", F.expr(f"at div {width}L")).join(too_full, "r", "left_semi").drop("r")
+        width //= FINER
+    bounds, held = [], 0
+    for start, n in sorted(filled):
+        if held and held + n > shard_bytes:
+            bounds.append(start)
+            held = 0
+        held += n
+    return shards, bounds
+
+
+def _place(key: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` are not beyond ``key``, by halving."""
+    if not bounds:
+        return F.lit(0)
+    ends = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(ends, at + step - 1) <= key, at + step).otherwise(at))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of the cluster's file system where it names none: tasks and Spark mean one place."""
+    plain = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return plain.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(plain).toString()
 
 
 def write_archive(
@@ -144,25 +177,22 @@ def write_archive(
         F.col(key_col).cast("long").alias("key"), F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.encode(F.col(payload_col), "UTF-8"), F.lit(b"")).alias("payload"),
     ).withColumn("digest", F.sha1("payload"))
-    spark = pages.sparkSession
+    spark, path = pages.sparkSession, _qualified(pages.sparkSession, path)
     narrow = stage(rows.select("key", "digest", F.length("payload").cast("long").alias("n_bytes")), "warc-digests")
-    bounds = _shard_bounds(narrow, shard_bytes)
-
-    def shard(key):
-        at = F.lit(0)
-        if bounds:
-            ends = F.array(*[F.lit(b) for b in bounds])
-            at = F.size(F.filter(ends, lambda b: b <= key))
-        return F.when(key.isNull(), 0).otherwise(at).cast("long")
+    keyless, bounds = _shard_bounds(narrow, shard_bytes)
+    key = F.col("key")
+    number = F.when(key.isNull(), F.pmod(F.xxhash64("digest"), F.lit(max(1, keyless)))).otherwise(keyless + _place(key, bounds)).cast("long")
 
     # Of equal payloads the least key is the response; only rows with an earlier one are told.
     groups = narrow.filter(F.col("n_bytes") >= F.lit(min_revisit_bytes)).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
     told = narrow.alias("r").join(groups.filter("n > 1").alias("g"), "digest").select("key", "digest", "first").dropDuplicates(["key", "digest"])
-    parts = max(1, min(len(bounds) + 1, 4 * tasks_for(pages)))
+    shards = keyless + len(bounds) + 1
+    parts = min(shards, 4 * tasks_for(pages))
     both = rows.select("key", "digest", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("first"), "url", "payload").unionByName(
         told.select("key", "digest", F.lit(0).alias("kind"), "first"), allowMissingColumns=True,
-    ).withColumn("shard", shard(F.col("key")))
-    both = both.repartition(parts, "shard").sortWithinPartitions("shard", "key", "digest", "kind", "url")
+    ).withColumn("shard", number)
+    # Neighbouring shards to one task, and as many shards to each.
+    both = both.repartitionById(parts, F.expr(f"int(shard * {parts} div {shards})")).sortWithinPartitions("shard", "key", "digest", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, mark, first, repeated, manifest = None, None, None, False, []
