@@ -1,11 +1,12 @@
 """Mixing sources to target weights by highest quotients.
 
-The words of a source, its documents in a seeded hash order, form an endless tape that
-repeats after the last document. The mix is a sequence of shards of equal size, cut in
-blocks of equal numbers of words. Block after block goes to the source with the highest
-quotient ``target / (2 * blocks so far + 1)``, so a shard holds an integer quota of each
-source, and the quotas of all shards add up to the same rule applied to the whole mix.
-A source gives its quota from its tape, from a seeded starting block onwards.
+The words of a source, its documents in a seeded hash order, lie on a tape, cut in blocks
+of equal numbers of words. The mix is a sequence of shards of equal size. Block after
+block goes to the source with the highest quotient ``target / (2 * blocks so far + 1)``, so
+a shard holds an integer quota of blocks of each source, and the quotas of all shards add up
+to the same rule applied to the whole mix. Which blocks a quota takes is a seeded order: the
+blocks of a tape are gone through in it, again and again, and each shard goes on where
+the shard before it stopped. ``blocks`` lists them; ``mix`` adds up what they take of every document.
 
 Targets: every source gets its share of ``share`` times all words by weight, no more
 than ``max_repeats`` times its own words; what is cut off goes to the others by weight.
@@ -68,13 +69,13 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), sh
 
 
 def quotas(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """``(shard, source, blocks, first_block)``: what each shard takes of each source's tape.
+    """``(shard, source, blocks, first_block)``: what each shard takes of each source's sequence of blocks.
 
-    For a mix of ``h`` blocks, a source whose exact part is ``x`` has ``round(x)`` of the
-    highest quotients at one common threshold. The sum of these differs from ``h`` by
-    at most half the number of sources, so only so many quotients on either side are
-    compared. A longer mix never takes a block back; the quota of a shard is the
-    difference of two such allotments.
+    At a common threshold a source with the share ``x`` has the ``round(x * m)`` highest
+    quotients. For n sources these sum up to ``h`` at most with ``m = h - n / 2``, and to
+    ``h`` at least with ``m = h + n / 2``. So the first are sure, only quotients up to
+    the second are compared, and there are about two for each source. A longer mix never
+    takes a block back; the quota of a shard is the difference of two such allotments.
     """
     whole = Window.partitionBy(F.lit(0))
     rows = sources.select(
@@ -84,10 +85,11 @@ def quotas(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int
     step = F.lit(max(1, shard_words // block_words))
     rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((total - 1) / step))))
     rows = rows.withColumn("_h", F.least((F.col("shard") + 1) * step, total))
-    rows = rows.withColumn("_near", F.floor(F.col("_h") * F.col("target") / F.col("_all") + F.lit(0.5)).cast("long"))
-    reach = F.floor(F.col("_sources") / 2).cast("long") + 1
-    rows = rows.withColumn("_sure", F.greatest(F.col("_near") - reach, F.lit(0)))
-    rows = rows.withColumn("_seat", F.explode(F.sequence(F.col("_sure") + 1, F.col("_near") + reach)))
+    # One more on either side, for what sums and divisions round away.
+    seats = lambda m: F.floor(m * F.col("target") / F.col("_all") + F.lit(0.5)).cast("long")
+    reach = F.col("_sources") / 2
+    rows = rows.withColumn("_sure", F.greatest(seats(F.col("_h") - reach) - 1, F.lit(0)))
+    rows = rows.withColumn("_seat", F.explode(F.sequence(F.col("_sure") + 1, seats(F.col("_h") + reach) + 1)))
     rows = rows.withColumn("_quotient", F.col("target") / (2 * F.col("_seat") - 1))
     best = Window.partitionBy("shard").orderBy(F.col("_quotient").desc(), F.col("source").asc_nulls_last(), "_seat")
     rows = rows.withColumn("_rank", F.row_number().over(best))
@@ -99,14 +101,27 @@ def quotas(sources: DataFrame, block_words: int = BLOCK_WORDS, shard_words: int
     return upto.select("shard", "source", (F.col("_upto") - start).alias("blocks"), start.alias("first_block"))
 
 
-def mix(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, max_repeats: int = 3,
-    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
-) -> DataFrame:
-    """``(id_col, size, source_size, target, taken)`` for every row of ``docs``.
+#: Steps of the seeded order, one of which has no factor in common with a tape.
+STEPS = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121)
+
 
-    ``taken`` counts the words of the document that the mix takes, repeats included.
+def _order(block: Column, source: Column, full: Column, seed: int) -> Column:
+    """The place of a block among the ``full`` ones of its source: each place once; a shorter last block comes last."""
+    hashed = F.xxhash64(F.lit(seed), source, F.lit("start"))
+    turned = F.pmod(F.shiftright(hashed, 32), F.lit(len(STEPS)))
+    steps = F.filter(F.array(*[F.lit(s).cast("long") for s in STEPS]), lambda p: full % p != 0)
+    step = F.get(steps, F.pmod(turned, F.size(steps)).cast("int"))
+    return F.when(block < full, F.pmod(block * step + F.pmod(hashed, full), full)).otherwise(full)
+
+
+def _pieces(
+    docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, max_repeats: int,
+    block_words: int, shard_words: int, seed: int,
+) -> tuple[DataFrame, DataFrame]:
+    """``(id, source, size, source_size, target, pieces)`` of every document, and the quotas.
+
+    A piece is what a document has of a block: ``(start, words, at, times)``, ``at`` being where the
+    block stands in the order of its source and ``times`` how often the mix takes it.
     """
     sized = stage(docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), size_of(F.col(text_col)).alias("size"),
@@ -114,20 +129,16 @@ def mix(
     ), "mix-sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_docs"))
     plan = stage(targets(sources, weights, share, max_repeats), "mix-targets")
-    blocks = quotas(plan, block_words, shard_words).groupBy("source").agg(F.sum("blocks").alias("_blocks"))
+    taken = stage(quotas(plan, block_words, shard_words), "mix-quotas")
+    blocks = taken.groupBy("source").agg(F.sum("blocks").alias("_blocks"))
     plan = plan.alias("p").join(blocks.alias("b"), F.expr("p.source <=> b.source"), "left").select("p.*", "_blocks")
-    # Whole rounds of the tape, then an arc of it from a seeded block onwards.
-    words = F.least(F.coalesce("_blocks", F.lit(0)) * F.lit(block_words), F.col("source_size") * F.lit(max_repeats))
-    tape_blocks = F.ceil(F.col("source_size") / F.lit(block_words))
-    start = F.pmod(F.xxhash64(F.lit(seed), F.col("source"), F.lit("start")), F.greatest(tape_blocks, F.lit(1))) * F.lit(block_words)
     plan = plan.select(
         "source", "source_size", "target", F.ceil(F.col("_docs") / F.lit(BUCKET_DOCS)).alias("_buckets"),
-        F.when(F.col("source_size") > 0, F.floor(words / F.col("source_size"))).otherwise(0).alias("_rounds"),
-        F.when(F.col("source_size") > 0, words % F.col("source_size")).otherwise(0).alias("_arc"), start.alias("_start"),
+        F.least(F.coalesce("_blocks", F.lit(0)) * F.lit(block_words), F.col("source_size") * F.lit(max_repeats)).alias("_words"),
     )
     spot = F.pmod(F.shiftright("place", 20), F.col("_buckets"))
     rows = sized.alias("d").join(plan.alias("p"), F.expr("d.source <=> p.source")).select(
-        "id", "d.source", "size", "place", spot.alias("_bucket"), "source_size", "target", "_rounds", "_arc", "_start",
+        "id", "d.source", "size", "place", spot.alias("_bucket"), "source_size", "target", "_words",
     )
     totals = rows.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -135,14 +146,51 @@ def mix(
     rows = rows.alias("d").join(offsets.alias("o"), F.expr("d.source <=> o.source AND d._bucket = o._bucket")).select("d.*", "_offset")
     upto = Window.partitionBy("source", "_bucket").orderBy("place", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_from", F.col("_offset") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    end, arc_end = F.col("_from") + F.col("size"), F.col("_start") + F.col("_arc")
+    begin, end, width = F.col("_from"), F.col("_from") + F.col("size"), F.lit(block_words)
+    whole = F.floor(F.col("source_size") / width)
 
-    def overlap(lo: Column, hi: Column) -> Column:
-        return F.greatest(F.least(end, hi) - F.greatest(F.col("_from"), lo), F.lit(0))
+    def piece(block: Column) -> Column:
+        low, high = F.greatest(begin, block * width), F.least(end, (block + 1) * width)
+        at = _order(block, F.col("source"), whole, seed) * width
+        # Round r of the tape has this block at word r * source_size + at.
+        times = F.greatest(F.floor((F.col("_words") - at - 1) / F.col("source_size")) + 1, F.lit(0))
+        return F.struct((low - begin).alias("start"), (high - low).alias("words"), at.alias("at"), times.cast("long").alias("times"))
 
-    # The arc may run over the end of the tape: the part beyond it lies at the front.
-    part = overlap(F.col("_start"), arc_end) + overlap(F.col("_start") - F.col("source_size"), arc_end - F.col("source_size"))
-    return rows.select(
-        F.col("id").alias(id_col), F.col("size").cast("long"), F.col("source_size").cast("long"), "target",
-        (F.col("_rounds") * F.col("size") + part).cast("long").alias("taken"),
-    )
+    numbers = F.sequence(F.floor(begin / width), F.floor((end - 1) / width))
+    found = F.when(F.col("size") > 0, F.transform(numbers, piece)).otherwise(F.transform(F.slice(numbers, 1, 0), piece))
+    return rows.select("id", "source", F.col("size").cast("long"), F.col("source_size").cast("long"), "target", found.alias("pieces")), taken
+
+
+def blocks(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, max_repeats: int = 3,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+) -> DataFrame:
+    """``(shard, source, id_col, start, words)``: the mix itself, as the stretches of words each shard takes of documents."""
+    rows, taken = _pieces(docs, id_col, text_col, source_col, weights, share, max_repeats, block_words, shard_words, seed)
+    each = rows.select("id", "source", "source_size", F.explode("pieces").alias("p")).select("id", "source", "source_size", "p.*").filter("times > 0")
+    each = each.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    each = each.withColumn("number", F.floor((F.col("r") * F.col("source_size") + F.col("at")) / F.lit(block_words)))
+    # A quota is found by the stretch of numbers it shares with a block: some few for each quota.
+    taken = taken.filter("blocks > 0")
+    span = taken.groupBy("source").agg(F.ceil(F.avg("blocks")).cast("long").alias("span"))
+    parted = taken.alias("t").join(span.alias("s"), F.expr("t.source <=> s.source")).select("t.*", "span")
+    last = F.col("first_block") + F.col("blocks") - 1
+    parted = parted.withColumn("part", F.explode(F.sequence(F.floor(F.col("first_block") / F.col("span")), F.floor(last / F.col("span")))))
+    each = each.alias("e").join(span.alias("s"), F.expr("e.source <=> s.source")).select("e.*", F.floor(F.col("number") / F.col("span")).alias("part"))
+    same = F.expr("e.source <=> q.source AND e.part = q.part AND number >= first_block AND number < first_block + blocks")
+    return each.alias("e").join(parted.alias("q"), same).select("shard", F.col("e.source").alias(source_col), F.col("id").alias(id_col), "start", "words")
+
+
+def mix(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, max_repeats: int = 3,
+    block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED,
+) -> DataFrame:
+    """``(id_col, size, source_size, target, taken)`` for every row of ``docs``.
+
+    ``taken`` counts the words of the document in the blocks that the mix takes, repeats included.
+    """
+    rows, _ = _pieces(docs, id_col, text_col, source_col, weights, share, max_repeats, block_words, shard_words, seed)
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, p: n + p["words"] * p["times"])
+    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
