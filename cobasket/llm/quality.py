@@ -120,8 +120,8 @@ class Labellers:
     #: Log-odds of toxic by hashed word.
     learned: dict[int, float] = field(default_factory=dict)
 
-    def votes(self, text: str, words: list[str]) -> list[int]:
-        """The votes on junk, then those on toxic."""
+    def votes(self, text: str, words: list[str], hashed: list[int] | None = None) -> list[int]:
+        """The votes on junk, then those on toxic; ``hashed`` are the distinct words as ``_hashed`` gives them."""
         if not words:
             return [NONE] * (len(self.junk) + len(self.toxic))
         counts = np.bincount(_KINDS[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], minlength=7)
@@ -144,10 +144,15 @@ class Labellers:
             _band(letters / n, 7.0, 9.0) if long else NONE,
             YES if insults else NONE,
             YES if insults >= 2 or insults / n > 0.01 else NONE,
-            _band(sum(map(self.learned.get, self.learned.keys() & set(_hashed(set(words))))), -LEARNED_SUM, LEARNED_SUM) if self.learned else NONE,
+            self._learned_vote(_hashed(set(words)) if hashed is None else hashed),
         ]
 
 
+    def _learned_vote(self, hashed: list[int]) -> int:
+        found = self.learned.keys() & hashed
+        return _band(sum(map(self.learned.get, found)), -LEARNED_SUM, LEARNED_SUM) if found else NONE
+
+
 def label_model(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, trust: float = 0.02, share: float | None = None, finders: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Shares of no and yes, and for each labeller the chance of each vote under either.
 
@@ -204,13 +209,13 @@ def classes(patterns: list[tuple[tuple[int, ...], int]], n_junk: int) -> dict[tu
     return dict(zip((p for p, _ in patterns), found, strict=True))
 
 
-def features(words: set[str], votes: list[int]) -> list[int]:
+def features(hashed: list[int], votes: list[int]) -> list[int]:
     """Hashed words, and votes in a range of their own.
 
     A vote counts as one, the words of a text together as one by their squares: else many
     words that say little outvote the few labellers that found something.
     """
-    return _hashed(words) + [
+    return (hashed if isinstance(hashed, list) else _hashed(hashed)) + [
         (1 << WORD_BITS) + 3 * j + v for j, v in enumerate(votes) if v != NONE
     ]
 
@@ -222,7 +227,7 @@ class Scorer:
     It starts from the shares of the classes, and no penalty draws it to zero.
     """
 
-    weights: dict[int, np.ndarray]
+    weights: dict[int, tuple[float, float, float]]
     constant: np.ndarray
     labellers: Labellers
     min_clean: float = 0.5
@@ -231,12 +236,14 @@ class Scorer:
         """The probability of clean, and the likeliest class."""
         words = WORD.findall((text or "").lower())
         total = self.constant.copy()
-        distinct = set(words)
-        share, get = 1.0 / math.sqrt(max(1, len(distinct))), self.weights.get
-        for f in features(distinct, self.labellers.votes(text or "", words)):
-            w = get(f)
+        hashed = _hashed(set(words))
+        said, found = ([], [])
+        for f in features(hashed, self.labellers.votes(text or "", words, hashed)):
+            w = self.weights.get(f)
             if w is not None:
-                total += w if f >= 1 << WORD_BITS else share * w
+                (said if f < 1 << WORD_BITS else found).append(w)
+        total += np.sum(found, axis=0) if found else 0.0
+        total += np.sum(said, axis=0) / math.sqrt(len(hashed)) if said else 0.0
         e = np.exp(total - total.max())
         p = e / e.sum()
         return float(p[CLEAN]), CLASSES[int(p.argmax())]
@@ -271,7 +278,7 @@ def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers,
             held = penalty[here]
             w[here] = np.where(np.abs(pull) <= held, 0.0, -(pull - np.sign(pull) * held) / ((1.0 + np.sqrt(squares)) / rate))
     kept = names[used]
-    weights = {int(f): v for f, v in zip(kept.tolist(), w[:size], strict=True) if v.any()}
+    weights = {int(f): tuple(v) for f, v in zip(kept.tolist(), w[:size].tolist(), strict=True) if any(v)}
     return Scorer(weights, w[size] + shares, labellers)
 
 
@@ -361,7 +368,7 @@ def train(
                 own = [int(v) for v in votes.as_py()]
                 own = own[:junk] + own[junk + 1:-1]
                 words = set(WORD.findall((text.as_py() or "").lower()))
-                found.append(np.array(features(words, own), np.int32).tobytes())
+                found.append(np.array(features(_hashed(words), own), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())], names=["key", "votes", "f"])
 
     sample = drawn.select("key", "text", "votes").mapInArrow(vectors, "key bigint, votes string, f binary").collect()
