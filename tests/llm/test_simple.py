@@ -28,6 +28,17 @@ def archive(spark, rows, **options):
     return manifest, warc.read_archive(spark, path)
 
 
+def test_an_outlying_key_leaves_many_shards(spark):
+    rows = [(k, None, f"page {k} " + "x" * 80, 1) for k in range(3000)] + [(1 << 60, None, "far", 1)] + [(None, None, f"lost {k} " + "y" * 80, 1) for k in range(500)]
+    manifest, found = archive(spark, rows, shard_bytes=8000)
+    assert found.count() == len(rows)
+    files = manifest.orderBy("shard", "seq").collect()
+    assert len({f.shard for f in files}) > 30
+    keyed = [f for f in files if f.first_key is not None]
+    assert all(a.last_key < b.first_key for a, b in zip(keyed, keyed[1:], strict=False)) and max(f.records for f in keyed) < 150
+    assert sum(f.records for f in files if f.first_key is None) == 500 and sum(f.first_key is None for f in files) > 3
+
+
 @pytest.mark.parametrize("options", [{}, {"shard_bytes": 10, "roll_bytes": 200}])
 def test_archive_round_trip(spark, options):
     manifest, found = archive(spark, PAGES, **options)
@@ -216,6 +227,31 @@ def test_mix(spark):
     assert {r.taken for r in mixing.mix(docs.filter("source = 'none'")).collect()} == {0}
 
 
+@pytest.mark.parametrize("shard_words", [64, 1 << 20])
+def test_blocks_of_shards_add_up_to_what_is_taken(spark, shard_words):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{i}_{k}" for k in range(rng.randint(0, 90))), rng.choice(["a", "a", "a", "b", None]), "x") for i in range(150)]
+    rows += [(900, "one two", "tiny", "x"), (901, None, "none", "x")]
+    docs = spark.createDataFrame(rows, DOCS)
+    sizes = {i: len((t or "").split()) for i, t, _, _ in rows}
+    found = mixing.blocks(docs, shard_words=shard_words).collect()
+    words, shards, marked = {}, {}, {}
+    for r in found:
+        assert 0 < r.words <= mixing.BLOCK_WORDS and 0 <= r.start <= sizes[r.doc_id] - r.words
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.words
+        shards.setdefault(r.shard, {}).setdefault(r.source, 0)
+        shards[r.shard][r.source] += r.words
+        for k in range(r.start, r.start + r.words):
+            marked[r.doc_id, k] = marked.get((r.doc_id, k), 0) + 1
+    taken = {r.doc_id: r.taken for r in mixing.mix(docs, shard_words=shard_words).collect()}
+    assert {i: n for i, n in taken.items() if n} == words and max(marked.values()) <= 3
+    # Every shard has its quota of blocks, but for the place where a tape starts anew.
+    sources = spark.createDataFrame([(s, float(sum(sizes[i] for i, _, o, _ in rows if o == s))) for s in ("a", "b", None, "tiny")], "source string, source_size double")
+    for r in mixing.quotas(mixing.targets(sources), shard_words=shard_words).collect():
+        assert abs(shards.get(r.shard, {}).get(r.source, 0) - 16 * r.blocks) <= 32, r
+    assert (len(shards) > 10) == (shard_words == 64)
+
+
 def test_quotas_follow_the_highest_quotients(spark):
     rng = random.Random(2)
     weights = {f"s{i:02d}": rng.choice([1.0, 3.0, 17.0, 400.0]) * rng.random() for i in range(23)}
