@@ -221,11 +221,19 @@ def score_matches(
     return scored, used, leftovers
 
 
-def best_possible(params: Params = DEFAULTS) -> Column:
-    """A bound of the score that needs no edges: affinities are 1 at most, and nothing is left to fit when all is matched."""
+def best_possible(pair_cap: Column, fit_cap: Column, params: Params = DEFAULTS) -> Column:
+    """A bound of the score: no affinity is above its cap, and nothing is left to fit when all is matched."""
     m = F.col("matched")
-    pairing = F.when(m < 2, F.lit(params.neutral_pairing)).otherwise(F.lit(1.0))
-    return match_score(pairing, F.when(m < F.col("n"), F.lit(1.0)).otherwise(0.0), params)
+    pairing = F.when(m < 2, F.lit(params.neutral_pairing)).otherwise(pair_cap)
+    return match_score(pairing, F.when(m < F.col("n"), fit_cap).otherwise(0.0), params)
+
+
+def affinity_caps(picked: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(sel_id, pair_cap, fit_cap)``: the best affinity inside a selection, and the best one any of its items has."""
+    inside = inner_edges(picked, edges).groupBy("sel_id").agg((F.max("score") / 100.0).alias("pair_cap"))
+    most = edges.groupBy("item").agg(F.max("score").alias("most"))
+    fits = picked.join(most, "item").groupBy("sel_id").agg((F.max("most") / 100.0).alias("fit_cap"))
+    return fits.join(inside, "sel_id", "left")
 
 
 def score_best(
@@ -240,13 +248,16 @@ def score_best(
     fill up (tier 2) come first: they are no more than the limit.
     """
     edges = edges if symmetric else stage(undirected_max(edges), "both-ways")
-    pool = pool.join(basket_totals(pool, basket_items), "basket_id").withColumn("bound", best_possible(params))
+    picked = stage(selections.select("sel_id", "item").distinct(), "picked")
+    pool = pool.join(basket_totals(pool, basket_items), "basket_id").join(affinity_caps(picked, edges), "sel_id", "left")
+    caps = [F.coalesce(c, F.lit(0.0)) for c in ("pair_cap", "fit_cap")]
+    pool = pool.withColumn("bound", best_possible(*caps, params)).drop("pair_cap", "fit_cap")
     order = Window.partitionBy("sel_id").orderBy(F.desc("tier"), F.desc("bound"), "basket_id")
     left = stage(pool.withColumn("place", F.row_number().over(order)), "bounded")
     upto = first_wave or 2 * params.match_limit
     waves: list[tuple[DataFrame, DataFrame, DataFrame]] = []
     while True:
-        found = score_matches(left.where(F.col("place") <= upto).drop("bound", "place"), selections, basket_items, edges, params, symmetric=True)
+        found = score_matches(left.where(F.col("place") <= upto).drop("bound", "place"), picked, basket_items, edges, params, symmetric=True)
         waves.append((stage(found[0], "scored"), *found[1:]))
         scored, used, leftovers = (functools.reduce(DataFrame.unionByName, part) for part in zip(*waves, strict=True))
         by_score = Window.partitionBy("sel_id").orderBy(F.desc("score"))

@@ -112,9 +112,9 @@ def words(c: Column) -> Column:
 
 
 def document_words(spark, sf_dir) -> DataFrame:
-    """``(basket_id, item)`` over the whole texts, one row per occurrence."""
+    """``(basket_id, item)`` over the whole texts, one row per word of a document."""
     docs = spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
-    return docs.select(F.col("doc_id").alias("basket_id"), F.explode(words(F.col("text"))).alias("item"))
+    return docs.select(F.col("doc_id").alias("basket_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("item"))
 
 
 DOC_WORDS_SQL = r"""

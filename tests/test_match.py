@@ -1,6 +1,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from cobasket.operators import match as mt
 from cobasket.params import Params
 
@@ -111,5 +113,7 @@ def test_waves_under_the_bound_give_the_same_best(spark):
     some, _, _ = mt.score_best(pool, sel, basket_items, edges, P, symmetric=True, first_wave=1)
     assert best(some) == best(whole)
     assert some.count() < whole.count() == pool.count()
-    bound = whole.withColumn("bound", mt.best_possible(P))
+    caps = mt.affinity_caps(sel, edges).fillna(0.0)
+    bound = whole.join(caps, "sel_id").withColumn("bound", mt.best_possible(F.col("pair_cap"), F.col("fit_cap"), P))
+    assert bound.count() == whole.count()
     assert bound.where("bound < score - 1e-12").count() == 0
