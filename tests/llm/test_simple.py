@@ -246,7 +246,7 @@ def test_blocks_of_shards_add_up_to_what_is_taken(spark, shard_words):
     taken = {r.doc_id: r.taken for r in mixing.mix(docs, shard_words=shard_words).collect()}
     assert {i: n for i, n in taken.items() if n} == words and max(marked.values()) <= 3
     # Every shard has its quota of blocks, but for the place where a tape starts anew.
-    sources = spark.createDataFrame([(s, float(sum(sizes[i] for i, _, o, _ in rows if o == s))) for s in ("a", "b", None, "tiny")], "source string, source_size double")
+    sources = spark.createDataFrame([(s, float(sum(sizes[i] for i, _, o, _ in rows if o == s))) for s in ("a", "b", "none", None, "tiny")], "source string, source_size double")
     for r in mixing.quotas(mixing.targets(sources), shard_words=shard_words).collect():
         assert abs(shards.get(r.shard, {}).get(r.source, 0) - 16 * r.blocks) <= 32, r
     assert (len(shards) > 10) == (shard_words == 64)
