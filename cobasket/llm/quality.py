@@ -215,7 +215,7 @@ def features(hashed: list[int], votes: list[int]) -> list[int]:
     A vote counts as one, the words of a text together as one by their squares: else many
     words that say little outvote the few labellers that found something.
     """
-    return (hashed if isinstance(hashed, list) else _hashed(hashed)) + [
+    return hashed + [
         (1 << WORD_BITS) + 3 * j + v for j, v in enumerate(votes) if v != NONE
     ]
 
@@ -249,7 +249,7 @@ class Scorer:
         return float(p[CLEAN]), CLASSES[int(p.argmax())]
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers, passes: int = 4, rate: float = 0.5, l1: float = 0.5) -> Scorer:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labellers: Labellers, passes: int = 4, rate: float = 1.0, l1: float = 0.2) -> Scorer:
     """Train on ``(features, class probabilities)`` rows in their order, with sparse adaptive steps."""
     if not rows:
         return Scorer({}, np.array([1.0, 0.0, 0.0]), labellers)
