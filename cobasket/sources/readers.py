@@ -128,7 +128,7 @@ def _json_records(spark: SparkSession, path: str, record: T.StructType) -> DataF
     odd, n_opened, n_ended, files = cut.agg(F.count_if(broken), F.count_if("opened"), F.count_if("ended"), F.count_distinct("src_ord.file")).first()
     if not odd and n_opened == n_ended == files:
         return cut.select("src_ord", "j")
-    whole = spark.read.schema(T.StructType(record.fields).add("recipes", T.ArrayType(record))).json(path, multiLine=True)
+    whole = spark.read.schema(T.StructType(list(record.fields)).add("recipes", T.ArrayType(record))).json(path, multiLine=True)
     one = F.array(F.struct(*[F.col(f"`{f.name}`") for f in record]))
     # Records of a file in their order: the place in the file is part of it.
     return whole.select(source_order().alias("src_ord"), F.posexplode(F.coalesce("recipes", one)).alias("at", "j")).select(
