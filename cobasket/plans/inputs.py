@@ -112,9 +112,22 @@ def words(c: Column) -> Column:
 
 
 def document_words(spark, sf_dir) -> DataFrame:
-    """``(basket_id, item)`` over the whole texts, one row per word of a document."""
+    """``(basket_id, item)`` over the whole texts, each word of a document once.
+
+    The words of a row are distinct by themselves. Only those of ids that several rows have,
+    or that are null, meet in an aggregation: none holds all words of all documents.
+    """
+
+    def found(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("doc_id").alias("basket_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("item"))
+
     docs = spread(spark, sf_dir, "documents", "doc_id").select("doc_id", "text")
-    return docs.select(F.col("doc_id").alias("basket_id"), F.explode(F.array_distinct(words(F.col("text")))).alias("item"))
+    ids = table(spark, sf_dir, "documents").groupBy("doc_id").count()
+    shared = ids.where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("shared"))
+    if shared.isEmpty():
+        return found(docs)
+    same = F.col("doc_id").eqNullSafe(F.col("shared"))
+    return found(docs.join(shared, same, "left_anti")).unionByName(found(docs.join(shared, same, "left_semi")).distinct())
 
 
 DOC_WORDS_SQL = r"""
