@@ -264,7 +264,7 @@ def text_baskets(spark, sf_dir):
 
 
 def text_basket_items(spark, sf_dir):
-    return stage(i.document_words(spark, sf_dir).distinct(), "words")
+    return stage(i.document_words(spark, sf_dir), "words")
 
 
 @query("match_gate", f"WITH {i.DOC_WORDS_SQL}, {MATCH_SQL} SELECT sel_id, basket_id, n, matched FROM gated")
@@ -310,10 +310,10 @@ SELECT sel_id, basket_id, tier, matched, extras, round(pairing, 9) AS pairing, r
        round(score, 9) AS score FROM sd""")
 def basket_match_score(spark, sf_dir):
     selections, postings = text_selections(spark, sf_dir), text_basket_items(spark, sf_dir)
-    edges = stage(g.affinity_edges(postings), "edges")
+    edges = stage(g.affinity_edges(postings, unique=True), "edges")
     counted = match.match_counts(selections, postings)
     pool = match.pick_pool(counted, selections.select("sel_id", "lang").distinct(), text_baskets(spark, sf_dir))
-    scored = match.score_matches(pool, selections, postings, edges)[0]
+    scored = match.score_matches(pool, selections, postings, edges, symmetric=True)[0]
     return _digits(scored, "pairing", "avg_fit", "score").select(
         "sel_id", "basket_id", "tier", "matched", "extras", "pairing", "avg_fit", "score"
     )
@@ -329,7 +329,7 @@ FROM rk r WHERE rank <= 8""")
 def basket_matches(spark, sf_dir):
     postings = text_basket_items(spark, sf_dir)
     found = match.basket_matches(
-        text_selections(spark, sf_dir), text_baskets(spark, sf_dir), postings, g.affinity_edges(postings)
+        text_selections(spark, sf_dir), text_baskets(spark, sf_dir), postings, g.affinity_edges(postings, unique=True), symmetric=True
     )
     names = F.transform("suggested", lambda x: x["name"])
     return _digits(found, "score").withColumns(
