@@ -318,7 +318,7 @@ g AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY degree DESC, item)
       FROM t WHERE length(term) >= 3 AND term NOT IN ({_SKIP}))
 SELECT term, item, place FROM g WHERE size >= 2 AND place <= 8""")
 def dup_groups_words(spark, sf_dir):
-    words = i.document_words(spark, sf_dir).distinct().groupBy("item").agg(F.count(F.lit(1)).alias("degree"))
+    words = i.document_words(spark, sf_dir).groupBy("item").agg(F.count(F.lit(1)).alias("degree"))
     return groups.duplicate_groups(words).select("term", "item", "place")
 
 
