@@ -319,7 +319,8 @@ g AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY degree DESC, item)
 SELECT term, item, place FROM g WHERE size >= 2 AND place <= 8""")
 def dup_groups_words(spark, sf_dir):
     words = i.document_words(spark, sf_dir).groupBy("item").agg(F.count(F.lit(1)).alias("degree"))
-    return groups.duplicate_groups(words).select("term", "item", "place")
+    # Read twice: the texts are taken apart once.
+    return groups.duplicate_groups(stage(words, "degrees")).select("term", "item", "place")
 
 
 def _flat(checks):
