@@ -54,19 +54,19 @@ pool AS (SELECT probe, CASE WHEN (SELECT sum(('0x' || c)::INT) FROM (SELECT unne
                 row_number() OVER (PARTITION BY probe ORDER BY md5('50:order:' || probe || ':' || candidate), candidate) AS ord FROM al)"""
 
 
-def rankings(spark, sf_dir):
+def rankings(spark, sf_dir, edges):
     probes = i.part_items(spark, sf_dir).withColumnRenamed("item", "probe")
-    return stage(ev.variant_rankings(probes, order_edges(spark, sf_dir), taxonomy(spark, sf_dir)), "rankings")
+    return stage(ev.variant_rankings(probes, edges, taxonomy(spark, sf_dir)), "rankings")
 
 
 @query("formula_variants", f"{VARIANTS_SQL} SELECT * FROM rk")
 def formula_variants(spark, sf_dir):
-    return rankings(spark, sf_dir)
+    return rankings(spark, sf_dir, order_edges(spark, sf_dir))
 
 
 @query("eval_pool", f"{VARIANTS_SQL} SELECT * FROM pool")
 def eval_pool(spark, sf_dir):
-    return ev.build_pool(rankings(spark, sf_dir))
+    return ev.build_pool(rankings(spark, sf_dir, order_edges(spark, sf_dir)))
 
 
 @query("eval_split", """
@@ -96,14 +96,16 @@ def grades(edges):
 @query("annotation_queue", f"""{VARIANTS_SQL}, {GRADES_SQL}
 SELECT probe, split, candidate, ord FROM pool WHERE (probe, candidate) NOT IN (SELECT (probe, candidate) FROM jd)""")
 def annotation_queue(spark, sf_dir):
-    pool = ev.build_pool(rankings(spark, sf_dir))
-    return ev.annotation_queue(pool, grades(order_edges(spark, sf_dir))).select("probe", "split", "candidate", "ord")
+    edges = order_edges(spark, sf_dir)
+    pool = ev.build_pool(rankings(spark, sf_dir, edges))
+    return ev.annotation_queue(pool, grades(edges)).select("probe", "split", "candidate", "ord")
 
 
 @query("eval_progress", f"""{VARIANTS_SQL}, {GRADES_SQL}
 SELECT count(grade) AS judged, count(*) AS total FROM pool LEFT JOIN jd USING (probe, candidate)""")
 def eval_progress(spark, sf_dir):
-    return ev.progress(ev.build_pool(rankings(spark, sf_dir)), grades(order_edges(spark, sf_dir)))
+    edges = order_edges(spark, sf_dir)
+    return ev.progress(ev.build_pool(rankings(spark, sf_dir, edges)), grades(edges))
 
 
 METRICS_SQL = f"""
@@ -126,8 +128,7 @@ me AS (SELECT probe, judged, precision, discovery, coalesce(recall, 1.0::DOUBLE)
        FROM tops LEFT JOIN id USING (probe) LEFT JOIN rc USING (probe))"""
 
 
-def per_probe(spark, sf_dir):
-    edges = order_edges(spark, sf_dir)
+def per_probe(spark, sf_dir, edges):
     top = r.top_diverse(
         r.score_candidates(single_selections(spark, sf_dir), edges, taxonomy(spark, sf_dir)), DEFAULTS, 36
     ).select(F.col("sel_id").alias("probe"), F.col("item").alias("candidate"), "rank")
@@ -140,7 +141,7 @@ _M = ("precision", "discovery", "recall", "ndcg")
 @query("eval_metrics", f"""{METRICS_SQL}
 SELECT probe, judged, {', '.join(f'round({c}, 9) AS {c}' for c in _M)} FROM me""")
 def eval_metrics(spark, sf_dir):
-    return per_probe(spark, sf_dir).withColumns({c: F.round(c, 9) for c in _M})
+    return per_probe(spark, sf_dir, order_edges(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in _M})
 
 
 @query("eval_averages", f"""{METRICS_SQL},
@@ -155,7 +156,8 @@ def eval_averages(spark, sf_dir):
     names = i.part_items(spark, sf_dir).withColumnRenamed("item", "probe")
     probes = names.withColumn("split", split_of(F.col("probe")))
     staples = names.where(F.col("probe").endswith("widget"))
-    return ev.split_averages(per_probe(spark, sf_dir), probes, staples, grades(order_edges(spark, sf_dir))).withColumns({c: F.round(c, 9) for c in _M})
+    edges = order_edges(spark, sf_dir)
+    return ev.split_averages(per_probe(spark, sf_dir, edges), probes, staples, grades(edges)).withColumns({c: F.round(c, 9) for c in _M})
 
 
 @query("resolved_judgments", f"""

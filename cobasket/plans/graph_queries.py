@@ -159,9 +159,10 @@ def two_corpora(spark, sf_dir):
     status = i.table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("basket_id"), F.col("o_orderstatus").alias("status")
     )
-    lines = i.order_lines(spark, sf_dir).join(status, "basket_id").select("basket_id", "item", "status")
-    old = g.affinity_edges(lines.where(F.col("status") != "P"), ENRICH)
-    new = g.affinity_edges(lines.where(F.col("status") == "P"), ENRICH)
+    # Read by both graphs.
+    lines = stage(i.order_lines(spark, sf_dir).join(status, "basket_id").select("basket_id", "item", "status"), "lines")
+    old = g.affinity_edges(lines.where(F.col("status") != "P"), ENRICH, staged=True)
+    new = g.affinity_edges(lines.where(F.col("status") == "P"), ENRICH, staged=True)
     return stage(old, "old"), stage(new, "new")
 
 

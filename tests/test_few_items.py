@@ -66,3 +66,26 @@ def test_many_items_in_small_units_count_the_same(spark, monkeypatch):
     p = Params(min_item_freq=3, min_support=3)
     baskets = random_baskets(11)
     assert got_pairs(g.npmi_pairs(as_df(spark, baskets), p)) == brute_pairs(baskets, p)
+
+
+@pytest.mark.parametrize("name", ["eval_averages", "eval_progress", "annotation_queue"])
+def test_a_query_builds_its_graph_once(spark, monkeypatch, name):
+    from cobasket.plans import catalogue, eval_queries, graph_queries
+
+    built = []
+    for module in (eval_queries, graph_queries):
+        monkeypatch.setattr(module, "order_edges", lambda *a, of=graph_queries.order_edges: built.append(1) or of(*a))
+    assert catalogue.QUERIES[name](spark, "/root/testdata/sf0.001") is not None
+    assert len(built) == 1
+
+
+def test_two_corpora_read_the_lines_once(spark, monkeypatch):
+    from cobasket.plans import graph_queries
+
+    read = []
+    lines = graph_queries.i.order_lines
+    monkeypatch.setattr(graph_queries.i, "order_lines", lambda *a: read.append(1) or lines(*a))
+    staged = []
+    monkeypatch.setattr(g, "stage", lambda df, label="t", of=g.stage: staged.append(label) or of(df, label))
+    graph_queries.two_corpora(spark, "/root/testdata/sf0.001")
+    assert len(read) == 1 and "incidence" not in staged
