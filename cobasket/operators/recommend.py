@@ -14,6 +14,8 @@ from cobasket.staging import stage
 # Scores are rounded before they decide an order, so that the order does not hang
 # on the last bit of a floating-point sum.
 ORDER_DIGITS = 9
+# Items with edges up to which all that a selection reaches is counted in the task that holds it.
+FEW_ITEMS = 1 << 10
 
 
 def _ordered(score: Column) -> Column:
@@ -59,9 +61,13 @@ def candidate_features(
     candidates and the selected items themselves go through one aggregation, which
     both sums the scores and drops what is already selected.
     """
-    # Read three times below.
+    # Read several times below.
     selections = stage(selections.select("sel_id", "item").distinct(), "selections")
-    reached = selections.join(edges.select("item", "partner", "score"), "item").select(
+    edges = edges.select("item", "partner", "score")
+    if edges.select("item").distinct().limit(FEW_ITEMS + 1).count() <= FEW_ITEMS:
+        # What a selection reaches is bounded: it is dealt out before that, and what follows stays where it is.
+        selections, edges = selections.repartition("sel_id"), F.broadcast(edges)
+    reached = selections.join(edges, "item").select(
         "sel_id", F.col("partner").alias("item"), F.col("score").cast("long").alias("score"), F.lit(1).alias("hit")
     )
     own = selections.select("sel_id", "item", F.lit(0).cast("long").alias("score"), F.lit(0).alias("hit"))
@@ -69,34 +75,32 @@ def candidate_features(
         reached.unionByName(own)
         .groupBy("sel_id", "item")
         .agg(F.sum("score").alias("total"), F.sum("hit").alias("coverage"), F.min("hit").alias("_other"))
-        .where(F.col("_other") == 1)
-        .drop("_other")
     )
+    passes = (F.col("_other") == 0) | (F.col("coverage") >= coverage_floor(F.col("n"), params))
     if taxonomy is None:
-        tagged = summed.withColumn("category", F.lit(None).cast("string"))
         profile = selections.groupBy("sel_id").agg(F.count(F.lit(1)).alias("n")).withColumn(
             "cats", F.array().cast("array<string>")
         )
+        gated = summed.join(profile, "sel_id").where(passes & (F.col("_other") == 1)).withColumn("category", F.lit(None).cast("string"))
     else:
         tagged_items = stage(
             taxonomy.select("item", "category").join(resolve_base(taxonomy), "item"), "tags"
         )
-        picked = selections.join(tagged_items, "item", "left").withColumn(
-            "root", F.coalesce("root", "item")
-        )
         # The set holds category slugs, of which there are a fixed few.
-        profile = picked.groupBy("sel_id").agg(
+        profile = selections.join(tagged_items.select("item", "category"), "item", "left").groupBy("sel_id").agg(
             F.count(F.lit(1)).alias("n"), F.collect_set("category").alias("cats")
         )
-        tagged = (
-            summed.join(tagged_items, "item", "left")
+        # Candidates below the floor go first; a root that a selected item has is nobody else's.
+        same = Window.partitionBy("sel_id", "root")
+        gated = (
+            summed.join(profile, "sel_id").where(passes)
+            .join(tagged_items, "item", "left")
             .withColumn("root", F.coalesce("root", "item"))
-            .join(picked.select("sel_id", "root").distinct(), ["sel_id", "root"], "left_anti")
-            .drop("root")
+            .withColumn("_others", F.min("_other").over(same))
+            .where(F.col("_others") == 1)
+            .drop("root", "_others")
         )
-    gated = tagged.join(profile, "sel_id").where(
-        F.col("coverage") >= coverage_floor(F.col("n"), params)
-    )
+    gated = gated.drop("_other")
     if stats is None and params.use_rarity:
         stats = quartiles_lower(edges)
     if stats is None:
