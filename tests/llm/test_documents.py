@@ -290,6 +290,15 @@ def test_trees_add_but_never_take(spark):
     assert pii.train(docs.limit(0)).trees == []
 
 
+def test_trees_and_thresholds_come_from_all_documents(spark, monkeypatch):
+    seen, fit = [], pii.fit
+    monkeypatch.setattr(pii, "fit", lambda rows, **k: (seen.append(rows.agg(F.sum("n")).first()[0]), fit(rows, **k))[1])
+    mails = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("to u"), "id", F.lit("@host.example.com")).alias("text"))
+    assert pii.train(mails).trees
+    # Each mail and its turned copy: both halves, and the whole.
+    assert sum(seen[:2]) == seen[2] == 48_000
+
+
 def test_overlapping_spans_become_one(spark):
     docs = docs_of(spark, [(1, "x +378282246310005 y")])
     assert [r.spans for r in pii.report(docs, pii.Trees()).collect()] == ["phone:2:18,card:3:18"]
