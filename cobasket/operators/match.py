@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cobasket.operators.coherence import inner_edges
+from cobasket.operators.coherence import few_items, inner_edges, met_inside
 from cobasket.operators.graph import undirected_max
 from cobasket.params import DEFAULTS, Params
 from cobasket.staging import stage, stage_counting
@@ -114,32 +114,41 @@ def pairing_fit(
     ``pairs(basket_id, item)`` -> ``(basket_id, item, fit)``. Absent edges count as
     0, the item itself is left out, and a basket with no other item gives 0.
     """
-    edges = edges if symmetric else undirected_max(edges)
-    pairs = pairs.select("basket_id", "item").distinct()
-    postings = basket_items.select("basket_id", "item")
-    touched = postings.join(pairs.select("basket_id").distinct(), "basket_id", "left_semi")
+    edges = edges if symmetric else stage(undirected_max(edges), "undirected")
+    near = few_items(edges)
+    pairs, postings = pairs.select("basket_id", "item"), basket_items.select("basket_id", "item")
+    if near:
+        # Dealt out by basket once; what follows stays where it is.
+        pairs, postings = pairs.repartition("basket_id"), postings.repartition("basket_id")
+    pairs = pairs.distinct()
+    # Where all is dealt out by basket, finding out which baskets are asked for costs more than it saves.
+    touched = postings if near else postings.join(pairs.select("basket_id").distinct(), "basket_id", "left_semi")
     sizes = touched.groupBy("basket_id").agg(F.count(F.lit(1)).alias("total"))
-    inside = postings.select("basket_id", "item", F.lit(1).alias("own"))
     strongest = Window.partitionBy("basket_id", "item").orderBy(F.desc("score"), "partner")
-    top = (
-        pairs.join(edges.select("item", "partner", "score"), "item")
-        .join(postings.withColumnRenamed("item", "partner"), ["basket_id", "partner"], "left_semi")
-        .withColumn("_r", F.row_number().over(strongest))
-        .where(F.col("_r") <= params.fit_topk)
-        .groupBy("basket_id", "item")
-        .agg(F.sum("score").alias("sum100"))
-    )
+    if near:
+        met = met_inside(pairs, touched.distinct(), edges, "basket_id")
+    else:
+        met = pairs.join(edges.select("item", "partner", "score"), "item").join(
+            postings.withColumnRenamed("item", "partner"), ["basket_id", "partner"], "left_semi"
+        )
+    top = met.withColumn("_r", F.row_number().over(strongest)).where(F.col("_r") <= params.fit_topk)
     others = F.col("total") - F.coalesce("own", F.lit(0))
+    fit = F.when(others > 0, F.coalesce("sum100", F.lit(0)) / 100.0 / F.least(others, F.lit(params.fit_topk))).otherwise(F.lit(0.0))
+    if near:
+        def rows(df: DataFrame, score: Column, own: int, asked: int) -> DataFrame:
+            return df.select("basket_id", "item", score.cast("long").alias("score"), F.lit(own).alias("own"), F.lit(asked).alias("asked"))
+
+        every = rows(pairs, F.lit(0), 0, 1).unionByName(rows(top, F.col("score"), 0, 0))
+        every = every.unionByName(rows(touched.where(F.col("item").isNotNull()), F.lit(0), 1, 0))
+        summed = every.groupBy("basket_id", "item").agg(F.sum("score").alias("sum100"), F.max("own").alias("own"), F.max("asked").alias("asked"))
+        return summed.where(F.col("asked") == 1).join(sizes, "basket_id", "left").select("basket_id", "item", fit.alias("fit"))
+    top = top.groupBy("basket_id", "item").agg(F.sum("score").alias("sum100"))
+    inside = postings.select("basket_id", "item", F.lit(1).alias("own"))
     return (
         pairs.join(sizes, "basket_id", "left")
         .join(inside, ["basket_id", "item"], "left")
         .join(top, ["basket_id", "item"], "left")
-        .select(
-            "basket_id", "item",
-            F.when(others > 0, F.coalesce("sum100", F.lit(0)) / 100.0 / F.least(others, F.lit(params.fit_topk)))
-            .otherwise(F.lit(0.0))
-            .alias("fit"),
-        )
+        .select("basket_id", "item", fit.alias("fit"))
     )
 
 

@@ -169,8 +169,13 @@ loo AS (SELECT sel_id, item, n, coalesce(t, 0) / 100.0::DOUBLE / (n - 1) AS loo
         FROM sel JOIN sz USING (sel_id) LEFT JOIN inn USING (sel_id, item))"""
 
 
+def order_lists(spark, sf_dir):
+    """The items of every order, repeated ones too: the scores take each once."""
+    return i.order_lines(spark, sf_dir).select(F.col("basket_id").alias("sel_id"), "item")
+
+
 def order_loo(spark, sf_dir):
-    return coherence.loo_scores(i.order_selections(spark, sf_dir), order_edges(spark, sf_dir), symmetric=True)
+    return coherence.loo_scores(order_lists(spark, sf_dir), order_edges(spark, sf_dir), symmetric=True)
 
 
 @query("loo_scores", f"{LOO_SQL} SELECT sel_id, item, n, round(loo, 9) AS loo FROM loo")
@@ -185,7 +190,7 @@ def loo_one_way(spark, sf_dir):
     edges = order_edges(spark, sf_dir)
     ahead = (F.col("item") < F.col("partner")) == (F.col("score") % 2 == 0)
     partial = edges.where(ahead).unionByName(edges.where(~ahead & (F.col("score") % 3 == 0)).withColumn("score", F.col("score") - 1))
-    return _digits(coherence.loo_scores(i.order_selections(spark, sf_dir), partial), "loo")
+    return _digits(coherence.loo_scores(order_lists(spark, sf_dir), partial), "loo")
 
 
 # A name with its five best partners and a stranger; affinities here are small, so is the floor.
