@@ -5,18 +5,19 @@ Words are those of ``simhash``; a document is the set of its runs of ``SHINGLE``
 are one entry from the start. Others are linked when their sets have a Jaccard
 similarity of ``SHARE`` or more, and a group is what links connect.
 
-A 64-bit SimHash cannot propose these links: at a similarity of 0.8 fingerprints differ
-in ten bits on average, and a trie join under a budget that loses none of them compares
-nearly all pairs. Candidates share one of ``BANDS`` bands of ``ROWS`` minimal hashes
-instead. A pair of similarity s is missed with a chance of (1 - s^ROWS)^BANDS, 7e-5 at 0.8
-and 8e-7 at 0.85, or when two sketches of 128 bits differ in more than ``SKETCH_BITS``,
-some 3e-6 at 0.8. Every candidate is then confirmed on the sets themselves.
-
-In the first rounds a member of a band value is compared with the two first members and with
-the most alike one that it is not connected with, which joins most of a large group without
-its pairs. What is still apart in a band value is then compared in units of two blocks of
-members: a unit finds by sketches and sizes who has anybody to be compared with, gets the
-sets of these once, confirms inside, and gives the links that connect something new. So no
+Links are proposed by the trie join of ``simhash``, twice. First the SimHash fingerprints of the sets are
+joined as ``op5`` joins its own: turned, under its budget. At a similarity of 0.8 fingerprints differ in ten bits on
+average, and a budget that loses none of them would compare nearly all pairs. So a second fingerprint is turned
+once for each of ``BANDS`` bands of ``ROWS`` minimal hashes: the band comes first and has to be equal, the 128 bits
+of a sketch follow, which may differ in ``SKETCH_BITS``. A band value is a subtrie and is joined with itself, in
+two tries of 64 bits, each under half the budget: one half of a pair within the budget is within its own. A pair of
+similarity s is missed with a chance of (1 - s^ROWS)^BANDS, 7e-5 at 0.8 and 8e-7 at 0.85, or when the sketches
+differ in more than ``SKETCH_BITS``, some 3e-6 at 0.8. Every candidate is then confirmed on the sets themselves.
+
+In the first rounds the join gives of a member the pairs with the two first members of its band value and with the most
+alike one that it is not connected with, which joins most of a large group without its pairs. What is still apart in a
+band value is then joined in units of two blocks of members: a unit finds by the tries and by sizes who has anybody to be
+compared with, gets the sets of these once, confirms inside, and gives the links that connect something new. So no
 row stands for a pair, a band value may have any size, and nothing is capped.
 
 Null texts are empty ones, and empty texts are copies of each other. Rows without id take part; one
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cobasket.llm.common import SEED, fresh_name, tasks_for
-from cobasket.llm.simhash import components, row_key
+from cobasket.llm.simhash import Trie, components, linked, majority, row_key
 from cobasket.staging import scope, stage, stage_counting
 
 SHINGLE = 5
@@ -44,11 +45,13 @@ BANDS, ROWS = 24, 5
 #: Permutations; each gives a bit of the sketch.
 HASHES = 128
 SKETCH_BITS = 30
-#: Rounds before the last one, and members among which one looks for its most alike.
+#: Rounds before the last one, and rows of whole band values whose tries are joined at once in them.
 ROUNDS = 2
-BLOCK = 1024
+BLOCK = 1 << 14
 #: Members of a band value that are held at once in the first rounds.
-HELD = 4096
+HELD = 2048
+#: A pair of nodes with so few pairs of sketches is compared directly: under a wide budget deeper nodes save nothing.
+LEAF_PAIRS = 1 << 10
 #: Members of a block of the last round: twice as many sets are held at once.
 UNIT = 256
 #: Members of a band value with which all others are compared first.
@@ -88,50 +91,69 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, key, members, bands, s0, s1, size)`` of every row: a hash of its set of runs, its bands, sketch and size."""
+    """``(id, key, members, fp, bands, s0, s1, size)`` of every row: a hash of its set of runs, its fingerprint, bands, sketch and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
-            members, bands, sketch, sizes = [], [], [], []
+            members, fps, bands, sketch, sizes = [], [], [], [], []
             for text in batch.column(2):
                 found = shingles(text.as_py())
                 least = minima(found)
                 members.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED))
+                fps.append(majority(found))
                 bands += [xxhash.xxh64_intdigest(part.astype("<u8").tobytes(), band) for band, part in enumerate(least[:BANDS * ROWS].reshape(BANDS, ROWS))]
                 sizes.append(len(found))
                 sketch.append(np.packbits((least >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64))
             signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
             lists = pa.ListArray.from_arrays(np.arange(0, len(bands) + 1, BANDS, dtype=np.int32), signed(bands))
             halves = np.array(sketch, np.int64).reshape(-1, 2)
-            columns = [batch.column(0), batch.column(1), signed(members), lists, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "members", "bands", "s0", "s1", "size"])
+            columns = [batch.column(0), batch.column(1), signed(members), signed(fps), lists, pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "members", "fp", "bands", "s0", "s1", "size"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, key bigint, members bigint, bands array<bigint>, s0 bigint, s1 bigint, size bigint")
-
-
-def _apart(rows: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Bits in which sketches differ, of every row with every other; too many for one label."""
-    bits = np.zeros((len(rows), len(others)), np.uint8)
-    for at in (3, 4):
-        # Unsigned: of a negative number the bits of its absolute value are counted.
-        bits += np.bitwise_count((rows[:, at, None] ^ others[None, :, at]).view(np.uint64))
-    bits[rows[:, 2, None] == others[None, :, 2]] = 255
-    return bits
-
-
-def _meet(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the members of one band value, from ``(unit, members, label, s0, s1)`` rows: with the most alike of a block, and with the first ones."""
-    for lo in range(0, len(rows), BLOCK):
-        mine = rows[lo:lo + BLOCK]
-        bits = _apart(mine, mine)
-        i, j = np.arange(len(mine)), bits.argmin(axis=1)
-        near = bits[i, j] <= SKETCH_BITS
-        yield mine[i[near], 1], mine[j[near], 1]
-        i, j = np.nonzero(_apart(mine, rows[:HUBS]) <= SKETCH_BITS)
-        yield mine[i, 1], rows[j, 1]
+    return rows.mapInArrow(run, "id bigint, key bigint, members bigint, fp bigint, bands array<bigint>, s0 bigint, s1 bigint, size bigint")
+
+
+def _near(halves: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows within ``SKETCH_BITS`` of each other, each once, and their bits: tries of either half of the sketches, one below each start."""
+    ends = np.append(starts[1:], len(halves))
+    unit = np.repeat(np.arange(len(starts)), ends - starts)
+    nodes = np.stack((starts, ends, starts, ends, np.zeros_like(starts)), 1)[ends - starts > 1]
+    for half in (0, 1):
+        order = np.lexsort((halves[:, half], unit))
+        # One of two halves of a pair within the budget is within half of it.
+        for a, b in Trie(halves[order, half], LEAF_PAIRS).pairs(0, nodes, SKETCH_BITS // 2):
+            a, b = order[a], order[b]
+            bits = np.bitwise_count(halves[a] ^ halves[b]).astype(np.int64)
+            good = bits.sum(axis=1) <= SKETCH_BITS
+            if half:
+                good &= bits[:, 0] > SKETCH_BITS // 2
+            yield a[good], b[good], bits[good].sum(axis=1)
+
+
+def _starts(units: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, units[1:] != units[:-1]))
+
+
+def _meet(rows: np.ndarray) -> pa.RecordBatch:
+    """Pairs in whole band values, from ``(unit, members, label, s0, s1)`` rows sorted by unit: with the most alike of another label, and with the first ones."""
+    starts = _starts(rows[:, 0])
+    first = np.zeros(len(rows), bool)
+    for k in range(HUBS):
+        first[starts[np.diff(np.append(starts, len(rows))) > k] + k] = True
+    none = np.iinfo(np.int64).max
+    best, pairs = np.full(len(rows), none), []
+    for i, j, bits in _near(np.ascontiguousarray(rows[:, 3:]).view(np.uint64), starts):
+        apart = rows[i, 2] != rows[j, 2]
+        i, j, bits = i[apart], j[apart], bits[apart]
+        np.minimum.at(best, i, (bits << 32) | j)
+        np.minimum.at(best, j, (bits << 32) | i)
+        hub = first[i] | first[j]
+        pairs.append((rows[i[hub], 1], rows[j[hub], 1]))
+    i = np.flatnonzero(best != none)
+    return _as_batch([*pairs, (rows[i, 1], rows[best[i] & 0xFFFFFFFF, 1])])
 
 
 def _whole_units(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.RecordBatch]]:
@@ -157,19 +179,19 @@ def _pairs(rows: DataFrame) -> DataFrame:
     """``(a, b)``: a few pairs of ``rows(band, members, label, s0, s1, n)`` with one band, alike sketches and two labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, size = [], 0
-        for unit in _whole_units(batches, 1):
-            if sum(b.num_rows for b in unit) < 2:
-                continue
-            found = np.concatenate([np.stack([c.to_numpy() for c in b.columns], 1) for b in unit])
-            for a, b in _meet(found):
-                pairs.append((a, b))
-                size += len(a)
-            if size >= 1 << 16:
-                yield _as_batch(pairs)
-                pairs, size = [], 0
+        held, size = [], 0
+        for batch in batches:
+            held.append(np.stack([c.to_numpy() for c in batch.columns], 1))
+            size += batch.num_rows
+            if size >= BLOCK:
+                found = np.concatenate(held)
+                # Whole units only; the last one may go on in the next batch.
+                cut = _starts(found[:, 0])[-1]
+                if cut:
+                    yield _meet(found[:cut])
+                held, size = [found[cut:]], len(found) - cut
         if size:
-            yield _as_batch(pairs)
+            yield _meet(np.concatenate(held))
 
     # A band value with very many members is several units.
     blocks = F.ceil(F.col("n") / HELD)
@@ -183,6 +205,15 @@ def _as_batch(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], names=["a", "b"])
 
 
+def _fingerprint_pairs(entries: DataFrame) -> DataFrame:
+    """``(a, b)``: of ``entries(members, fp)`` those with one fingerprint, by one of them, and by the links of ``simhash`` between fingerprints."""
+    ones = stage(entries.groupBy("fp").agg(F.min("members").alias("one")), "fingerprints")
+    near = linked(ones.select("fp")).join(ones.select(F.col("fp").alias("a"), "one"), "a").join(ones.select(F.col("fp").alias("b"), F.col("one").alias("members")), "b")
+    same = entries.join(ones, "fp").where("members <> one")
+    ordered = [F.least("members", "one").alias("a"), F.greatest("members", "one").alias("b")]
+    return near.select(*ordered).unionByName(same.select(*ordered)).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
     """The ``pairs(a, b)`` whose ``sets(members, runs)`` have a similarity of ``share`` or more."""
 
@@ -218,11 +249,11 @@ def _sets(asked: DataFrame, entries: DataFrame, docs: DataFrame, id_col: str, te
 
 def _candidates(rows: np.ndarray, share: float) -> np.ndarray:
     """Which of ``(label, s0, s1, size, block)`` rows are to be compared with which: alike, of fitting sizes, not connected."""
-    bits = np.zeros((len(rows), len(rows)), np.uint8)
-    for at in (1, 2):
-        bits += np.bitwise_count((rows[:, at, None] ^ rows[None, :, at]).view(np.uint64))
+    near = np.zeros((len(rows), len(rows)), bool)
+    for i, j, _ in _near(np.ascontiguousarray(rows[:, 1:3]).view(np.uint64), np.zeros(1, np.int64)):
+        near[i, j] = near[j, i] = True
     size = rows[:, 3]
-    near = (bits <= SKETCH_BITS) & (np.minimum(size[:, None], size[None, :]) >= share * np.maximum(size[:, None], size[None, :]))
+    near &= np.minimum(size[:, None], size[None, :]) >= share * np.maximum(size[:, None], size[None, :])
     near &= rows[:, 0, None] != rows[None, :, 0]
     # In a unit of two blocks those of one block are left to its own unit.
     if rows[:, 4].min() != rows[:, 4].max():
@@ -303,15 +334,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shar
     """``(members, first)``: of every entry the row of its group with the least id, as id and key."""
     rows = stage(signatures(docs, id_col, text_col), "signatures")
     named = F.struct(F.col("id").isNull().alias("unnamed"), "id", "key")
-    columns = [F.first(c).alias(c) for c in ("bands", "s0", "s1", "size")]
+    columns = [F.first(c).alias(c) for c in ("fp", "bands", "s0", "s1", "size")]
     entries = stage(rows.groupBy("members").agg(F.min(named).alias("first"), *columns), "entries")
     banded = entries.select("members", "s0", "s1", "size", F.explode("bands").alias("band"))
     # Only bands with two entries or more go on.
     shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     banded = stage(banded.join(shared, "band"), "shared-bands")
     labelled, tried, sets, links = banded.withColumn("label", F.col("members")), None, None, None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         pairs = _pairs(labelled)
+        if turn == 0:
+            pairs = pairs.unionByName(_fingerprint_pairs(entries.select("members", "fp"))).distinct()
         pairs, seen = stage_counting(pairs.join(tried, ["a", "b"], "left_anti") if tried else pairs, "pairs", n=F.count("*"))
         if not seen["n"]:
             break

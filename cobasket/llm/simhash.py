@@ -44,6 +44,8 @@ UNIT_ROWS = 50_000
 LEAF_PAIRS = 4
 #: Pairs of nodes that a traversal expands at once.
 FRONTIER = 1 << 18
+#: Pairs of fingerprints that are compared at once.
+COMPARED = 1 << 20
 _CHUNK = 1 << 16
 
 
@@ -56,12 +58,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
     n = max(1, len(words) - size + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n)
+    return majority(np.fromiter((digest(s, SEED) for s in shingles), np.uint64, n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, _CHUNK):
+    for at in range(0, len(hashes), _CHUNK):
         part = hashes[at:at + _CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.add.reduce(np.unpackbits(part, axis=1, bitorder="little"), axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -84,8 +90,9 @@ def row_key(id_col: str, text_col: str) -> Column:
 class Trie:
     """The trie over sorted keys; ``pairs`` joins ranges of it with each other."""
 
-    def __init__(self, keys: np.ndarray):
+    def __init__(self, keys: np.ndarray, leaf_pairs: int = LEAF_PAIRS):
         self.keys = keys
+        self.leaf_pairs = leaf_pairs
         self.sums: dict[int, np.ndarray] = {}
 
     def ones(self, bit: int) -> np.ndarray:
@@ -105,11 +112,14 @@ class Trie:
         todo = [(depth, nodes[i:i + FRONTIER]) for i in range(0, len(nodes), FRONTIER)]
         while todo:
             depth, nodes = todo.pop()
-            few = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2]) <= LEAF_PAIRS
+            size = (nodes[:, 1] - nodes[:, 0]) * (nodes[:, 3] - nodes[:, 2])
+            few = size <= self.leaf_pairs
             if depth == 64:
                 few[:] = True
             if few.any():
-                yield self._compare(nodes[few], budget)
+                piece = np.cumsum(size[few]) // COMPARED
+                for part in np.split(nodes[few], np.flatnonzero(piece[1:] != piece[:-1]) + 1):
+                    yield self._compare(part, budget)
                 nodes = nodes[~few]
             if not len(nodes):
                 continue

@@ -102,3 +102,27 @@ def test_units_of_a_hot_band(spark, monkeypatch):
     pairs = [(i, edited(rng, base, rng.randrange(3, 9))) for i in range(70)] + [(100 + i, text(rng, 40)) for i in range(5)]
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
     assert sorted(r.doc_id for r in copies.keep_first(docs).collect()) == slow_first(pairs)
+
+
+def test_links_are_proposed_by_tries(spark, monkeypatch):
+    """Pairs come from tries of the sketches, as many as all pairs compared give, and from the trie join of ``op5``."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, (6, 2), np.uint64)
+    halves = base[rng.integers(0, 6, 300)]
+    for _ in range(18):
+        at = rng.random((300, 2)) < 0.8
+        halves = np.where(at, halves ^ (np.uint64(1) << rng.integers(0, 64, (300, 2), np.uint64)), halves)
+    starts = np.array([0, 1, 40, 42, 200])
+    unit = np.searchsorted(starts, np.arange(300), "right")
+    apart = np.bitwise_count(halves[:, None] ^ halves[None]).astype(int).sum(axis=2)
+    wanted = {(i, j): apart[i, j] for i in range(300) for j in range(i) if unit[i] == unit[j] and apart[i, j] <= copies.SKETCH_BITS}
+    assert len(wanted) > 50
+    for leaf in (1, copies.LEAF_PAIRS):
+        monkeypatch.setattr(copies, "LEAF_PAIRS", leaf)
+        found = [(max(i, j), min(i, j), n) for a, b, bits in copies._near(halves, starts) for i, j, n in zip(a, b, bits, strict=True)]
+        assert len(found) == len(wanted) and {(i, j): n for i, j, n in found} == wanted
+    asked, own = [], copies.linked
+    monkeypatch.setattr(copies, "linked", lambda fps: asked.append(fps.count()) or own(fps))
+    body = text(random.Random(23), 400)
+    docs = spark.createDataFrame([(1, body), (2, body + " end"), (3, "else")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in copies.keep_first(docs).collect()) == [1, 3] and asked == [3 - (copies.majority(copies.shingles(body)) == copies.majority(copies.shingles(body + " end")))]
