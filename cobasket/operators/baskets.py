@@ -22,34 +22,36 @@ def admit(baskets: DataFrame, occurrences: DataFrame, params: Params = DEFAULTS)
     """Baskets that are mostly canonical: ``(basket_id, title, lang, url, src_ord, items)``.
 
     ``items`` is in first-place order. Sizes are checked before any list is built,
-    so a list never holds more than ``max_items``.
+    so a list never holds more than ``max_items``. The occurrences travel once, by basket;
+    items, sizes and lists are found where they lie.
     """
     head = baskets.where((F.trim("title") != "") & (F.lit(True) if params.langs is None else F.col("lang").isin(*params.langs)))
     per_item = (
-        occurrences.groupBy("basket_id", "item")
+        occurrences.select("basket_id", "pos", "item").repartition("basket_id").groupBy("basket_id", "item")
         .agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("times"))
     )
-    sizes = per_item.groupBy("basket_id").agg(
-        F.count("item").alias("mapped"), F.sum("times").alias("total")
-    )
-    good = sizes.where(
-        F.col("mapped").between(params.min_items, params.max_items)
+    basket = Window.partitionBy("basket_id")
+    mapped, total = F.count("item").over(basket), F.sum("times").over(basket)
+    good = per_item.withColumns({"mapped": mapped, "total": total}).where(
+        F.col("item").isNotNull()
+        & F.col("mapped").between(params.min_items, params.max_items)
         & (F.col("mapped") / F.col("total") >= params.min_map_ratio)
     )
-    lists = (
-        per_item.where(F.col("item").isNotNull())
-        .join(good.select("basket_id"), "basket_id", "left_semi")
-        .groupBy("basket_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items"))
+    lists = good.groupBy("basket_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"]).alias("items")
     )
     return head.join(lists, "basket_id")
 
 
 def dedupe(admitted: DataFrame) -> DataFrame:
-    """First basket of each (language, title, item set)."""
+    """First basket of each (language, title, item set).
+
+    A hash of the three stands first in the key: rows are sorted by a number and seldom by lists.
+    """
     row = F.struct(*[F.col(c) for c in admitted.columns])
+    key = {"_l": F.col("lang"), "_t": norm_title(F.col("title")), "_s": F.array_sort("items")}
     return (
-        admitted.groupBy("lang", norm_title(F.col("title")).alias("_t"), F.array_sort("items").alias("_s"))
+        admitted.groupBy(F.xxhash64(*key.values()).alias("_h"), *[c.alias(n) for n, c in key.items()])
         .agg(F.min_by(row, F.struct("src_ord", "basket_id")).alias("r"))
         .select("r.*")
     )
