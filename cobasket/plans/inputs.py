@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cobasket.operators.taxonomy import Rules, make_rules
 from cobasket.params import DEFAULTS
+from cobasket.staging import stage
 
 NOUN_CATEGORY = {
     "anvil": "meat",
@@ -61,7 +62,8 @@ def order_selections(spark, sf_dir) -> DataFrame:
 
 
 def part_items(spark, sf_dir) -> DataFrame:
-    return parts(spark, sf_dir).select(F.col("p_name").alias("item")).distinct()
+    """The names of all parts as a staged table: rules and merges read it many times, the parts once."""
+    return stage(parts(spark, sf_dir).select(F.col("p_name").alias("item")).distinct(), "part-names")
 
 
 def rules(spark: SparkSession) -> Rules:
