@@ -15,9 +15,10 @@ segments of its anchor. That deals the corpus out into families of segments:
 3. Segments of equal content are one entry. Families that still have several are shards of
    suffixes: each shard has a Burrows-Wheeler transform, and the transforms are merged
    by refining their interleaving, two symbols a round, without sorting suffixes
-   again. Rounds also tell how long neighbours agree, so after ``LENGTH`` rounds the
-   intervals of suffixes with a common prefix of that length stand; the least document
-   of an interval is the first in which its string starts.
+   again. Rounds also tell how long neighbours agree, so in the end the intervals of
+   suffixes with a common prefix of ``LENGTH`` stand; the least document of an interval is
+   the first in which its string starts. Rows that agree with no other, or that reach no
+   start of a window, are left out of the rounds.
 4. Each document marks its windows whose string starts earlier, and drops what they cover.
 
 Between the steps, anchors and segments travel as packed arrays, one row for each chunk of
@@ -49,6 +50,8 @@ from cobasket.staging import stage
 LENGTH = 50
 PIECE = 24
 CHUNK_BYTES = 4 << 20
+#: More chunks than these become larger ones, up to so many times: every chunk has a row for every group.
+MANY_CHUNKS, CHUNK_GROWTH = 256, 4
 #: Anchors are told apart by this many bits less while the common ones are looked for.
 SHORT = np.uint64(16)
 SHARDS = 8
@@ -57,6 +60,8 @@ MERGE_BYTES = 1 << 18
 #: An anchor that occurs so often sends its windows one by one.
 WIDE_ANCHOR = 512
 _SLICE = 1 << 17
+#: Longer pieces are hashed one by one.
+_LONG_PIECE = 512
 _END = 255  # no byte of UTF-8
 _LAST = np.iinfo(np.int64).max
 
@@ -95,8 +100,7 @@ def piece_hashes(data: np.ndarray, length: int) -> np.ndarray:
                 whole, size = whole[:n] * power + part[size:size + n], size + step
         if step * 2 <= length:
             part = part[:len(part) - step] * power + part[step:]
-    whole = (whole ^ (whole >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return whole ^ (whole >> np.uint64(32))
+    return _mix(whole)
 
 
 def _anchors(data: np.ndarray) -> np.ndarray:
@@ -109,9 +113,8 @@ def _anchors(data: np.ndarray) -> np.ndarray:
     return np.minimum(least[:n], least[width - span:width - span + n])
 
 
-def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document number, first window, number of windows and anchor of every segment of the texts."""
-    docs, starts, counts, anchors = [], [], [], []
+def _slices(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts that stay in the processor's cache: first and last text, where each begins, and the bytes."""
     first = 0
     while first < len(texts):
         last, size = first, 0
@@ -119,11 +122,65 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             size += len(texts[last])
             last += 1
         sizes = np.array([len(t) for t in texts[first:last]])
-        data = np.frombuffer(b"".join(texts[first:last]), np.uint8)
+        yield first, last, np.cumsum(sizes) - sizes, np.frombuffer(b"".join(texts[first:last]), np.uint8)
+        first = last
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+@functools.cache
+def _ladders() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of an odd number and of its inverse, as far as a slice with a piece behind it reaches."""
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.full(_SLICE + _LONG_PIECE + 1, x, np.uint64) for x in (base, pow(base, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+
+
+def digests(texts: list[bytes], doc: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A hash of each of the given pieces of the texts, which come in the order of the texts."""
+    import xxhash
+
+    out = np.empty(len(doc), np.uint64)
+    short, (up, down) = np.minimum(size, _LONG_PIECE), _ladders()
+    for first, last, begin, data in _slices(texts):
+        lo, hi = np.searchsorted(doc, (first, last))
+        at = begin[doc[lo:hi] - first] + start[lo:hi]
+        # A long text is a slice of its own and cut here.
+        for cut in range(0, len(data), _SLICE):
+            a, b = np.searchsorted(at, (cut, cut + _SLICE))
+            if a < b:
+                part = data[cut:cut + _SLICE + _LONG_PIECE].astype(np.uint64) + np.uint64(1)
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(part * up[:len(part)], dtype=np.uint64)))
+                here = at[a:b] - cut
+                out[lo + a:lo + b] = (sums[here + short[lo + a:lo + b]] - sums[here]) * down[here]
+    out = _mix(out)
+    for i in np.flatnonzero(size > _LONG_PIECE).tolist():
+        out[i] = xxhash.xxh64_intdigest(texts[doc[i]][start[i]:start[i] + size[i]])
+    return out
+
+
+def _edges(texts: list[bytes], doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The first and the last four bytes of windows, as one number; the windows come in the order of the texts."""
+    out = np.zeros(len(doc), np.uint64)
+    for first, last, begin, data in _slices(texts):
+        lo, hi = np.searchsorted(doc, (first, last))
+        at = begin[doc[lo:hi] - first] + start[lo:hi]
+        for shift, step in enumerate((0, 1, 2, 3, LENGTH - 4, LENGTH - 3, LENGTH - 2, LENGTH - 1)):
+            out[lo:hi] |= data[at + step].astype(np.uint64) << np.uint64(8 * shift)
+    return out
+
+
+def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document number, first window, number of windows and anchor of every segment of the texts."""
+    docs, starts, counts, anchors = [], [], [], []
+    for first, _, begin, data in _slices(texts):
         if len(data) >= LENGTH:
             found = _anchors(data)
-            owner = np.repeat(np.arange(len(sizes)), sizes)
-            begin = np.cumsum(sizes) - sizes
+            owner = np.repeat(np.arange(len(begin)), np.diff(begin, append=len(data)))
             inside = owner[:len(found)] == owner[LENGTH - 1:]
             change = np.concatenate(([True], (found[1:] != found[:-1]) | (owner[1:len(found)] != owner[:len(found) - 1]))) & inside
             at = np.flatnonzero(change)
@@ -133,7 +190,6 @@ def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
                 docs.append(owner[at] + first)
                 starts.append(at - begin[owner[at]])
                 anchors.append(found[at])
-        first = last
     if not docs:
         return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64))
     return np.concatenate(docs), np.concatenate(starts), np.concatenate(counts), np.concatenate(anchors)
@@ -195,8 +251,6 @@ class _Chunk:
     """The segments of a chunk of documents whose anchors are common, in the order of their keys."""
 
     def __init__(self, texts: list[bytes], ids: np.ndarray, packed: list[bytes]):
-        import xxhash
-
         known = [unpack(d, "<u8", "?") for d in packed]
         anchors = np.concatenate([np.cumsum(a, dtype=np.uint64) for a, _ in known]) if known else np.empty(0, np.uint64)
         wide = np.concatenate([w for _, w in known]) if known else np.empty(0, bool)
@@ -215,16 +269,10 @@ class _Chunk:
             nth = np.arange(len(index)) - np.repeat(np.cumsum(each) - each, each)
             split = spread[index]
             doc, start, count, anchor = doc[index], start[index] + np.where(split, nth, 0), np.where(split, 1, count[index]), anchor[index].copy()
-            mixed = np.fromiter(
-                (xxhash.xxh64_intdigest(texts[d][s:s + 4] + texts[d][s + LENGTH - 4:s + LENGTH], int(a)) for d, s, a in zip(doc[split].tolist(), start[split].tolist(), anchor[split].tolist(), strict=True)),
-                np.uint64, int(split.sum()),
-            )
-            anchor[split] = mixed
-        digest = xxhash.xxh64_intdigest
+            ends = _edges(texts, doc[split], start[split])
+            anchor[split] = _mix((ends ^ anchor[split]) * np.uint64(0x9E3779B97F4A7C15))
         # 48 bits of content beside 64 of the anchor.
-        content = np.fromiter(
-            (digest(texts[d][s:s + c + LENGTH - 1]) for d, s, c in zip(doc.tolist(), start.tolist(), count.tolist(), strict=True)), np.uint64, len(doc),
-        ) >> SHORT
+        content = digests(texts, doc, start, count + LENGTH - 1) >> SHORT
         order = np.lexsort((content, anchor))
         self.doc, self.start, self.count, self.key, self.content = (x[order] for x in (doc, start, count, anchor, content))
         self.id = ids[self.doc]
@@ -280,15 +328,13 @@ def transform(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (text[before[near]].astype(np.uint16) << 8) | text[near], order
 
 
-def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merge transforms: the shard of every merged row, and where a row differs from the one before within ``depth`` symbols.
+def _refine(shards: list[np.ndarray], depth: int, rows: np.ndarray, whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Refine the interleaving of transforms from the given rows of theirs: the rows they lead to, in order, and where blocks begin.
 
-    The interleaving that is right for ``r`` symbols becomes right for ``r + 2`` when its
-    rows are moved, in order, to the buckets of the two symbols before them. Rows that
-    lie in one block agree so far; strings end in a mark that agrees with nothing.
-    ``depth`` is even.
+    A round moves rows, in order, to the buckets of the two symbols before them. Without
+    ``whole`` a row that is alone in its block is left out from then on: it and all it
+    leads to agree with no other.
     """
-    sizes = [len(s) for s in shards]
     symbols = np.concatenate(shards)
     ended = ((symbols & 255) == _END) | (symbols >> 8 == _END)
     # Where a row of a shard's own transform goes in one round.
@@ -296,20 +342,39 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     for s in shards:
         target[offset + np.argsort(s, kind="stable")] = np.arange(offset, offset + len(s), dtype=np.int32)
         offset += len(s)
-    rows, block = np.arange(len(symbols), dtype=np.int32), np.zeros(len(symbols), np.int32)
+    block = np.zeros(len(rows), np.int32)
+    first = np.append(True, np.zeros(len(rows), bool))[:len(rows)]
     for _ in range(depth // 2):
         before = symbols[rows]
         move = np.argsort(before, kind="stable")
         moved, block, before = rows[move], block[move], before[move]
-        fresh = (before[1:] != before[:-1]) | (block[1:] != block[:-1]) | ended[moved[1:]]
+        first = np.append(True, (before[1:] != before[:-1]) | (block[1:] != block[:-1]) | ended[moved[1:]])[:len(moved)]
+        if not whole:
+            several = ~(first & np.append(first[1:], True)[:len(first)])
+            moved, block, first = moved[several], block[several], first[several]
         rows = target[moved]
-        block = np.concatenate((block[:1] * 0, np.cumsum(fresh, dtype=np.int32)))
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    return source[rows], np.concatenate(([True], block[1:] != block[:-1]))
+        block = np.cumsum(first, dtype=np.int32)
+    return rows, first
+
+
+def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merge transforms: the shard of every merged row, and where a row differs from the one before within ``depth`` symbols.
+
+    The interleaving that is right for ``r`` symbols becomes right for ``r + 2`` when its
+    rows are moved, in order, to the buckets of the two symbols before them. Rows that
+    lie in one block agree so far; strings end in a mark that agrees with nothing.
+    ``depth`` is even.
+    """
+    sizes = [len(s) for s in shards]
+    rows, first = _refine(shards, depth, np.arange(sum(sizes), dtype=np.int32), True)
+    return np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)[rows], first
 
 
 def first_documents(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For every window of every string, the least owner of a string in which the same window starts."""
+    """For every window of every string, the least owner of a string in which the same window starts.
+
+    Of the merged transforms only rows count that reach the start of a window in the last round.
+    """
     shards, places = [], []
     for number in range(min(SHARDS, len(strings))):
         own = list(range(number, len(strings), SHARDS))
@@ -320,18 +385,15 @@ def first_documents(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray
         shards.append(symbols)
         which = np.repeat(np.arange(len(own)), sizes)
         places.append((np.array(own)[which[order]], order - bounds[:-1][which[order]]))
-    source, fresh = merge(shards, LENGTH)
-    rows = np.argsort(source, kind="stable")
-    string, offset = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    string[rows] = np.concatenate([s for s, _ in places])
-    offset[rows] = np.concatenate([o for _, o in places])
-    start = np.flatnonzero(fresh)
-    least = np.repeat(np.minimum.reduceat(owners[string], start), np.diff(np.append(start, len(fresh))))
+    string, offset = (np.concatenate(x) for x in zip(*places, strict=True))
+    rows, first = _refine(shards, LENGTH, np.flatnonzero(offset >= LENGTH).astype(np.int32), False)
     counts = np.array([len(s) - LENGTH + 1 for s in strings])
     base = np.cumsum(counts) - counts
-    full = offset < counts[string]
-    out = np.empty(counts.sum(), np.int64)
-    out[base[string[full]] + offset[full]] = least[full]
+    # A window that agrees with no other starts in its own document only.
+    out = np.repeat(owners, counts)
+    if len(rows):
+        start = np.flatnonzero(first)
+        out[base[string[rows]] + offset[rows]] = np.repeat(np.minimum.reduceat(owners[string[rows]], start), np.diff(start, append=len(rows)))
     return np.split(out, base[1:])
 
 
@@ -485,7 +547,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, math.ceil(total / chunk_bytes))
+    chunks = max(1, math.ceil(total / min(CHUNK_GROWTH * chunk_bytes, max(chunk_bytes, total / MANY_CHUNKS))))
     rows = rows.select(F.pmod(F.xxhash64(F.lit(SEED), "id", "text"), F.lit(chunks)).cast("int").alias("chunk"), "id", "text")
     anchors = stage(common_anchors(rows, chunks), "anchors")
     sent = rows.groupBy("chunk").cogroup(anchors.groupBy("chunk")).applyInArrow(_bound(_send, chunks), "group int, chunk int, data binary, content binary")
