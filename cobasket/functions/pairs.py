@@ -40,17 +40,20 @@ Batches = Iterator[pa.RecordBatch]
 class Loads:
     """The blocks, the sizes of units, and in how many shares the baskets of one are dealt out.
 
-    ``weights`` are the sums of the frequencies of each step's items.
+    ``weights`` are the sums of the frequencies of each step's items. Only pairs with an id below
+    ``outer``, or both below ``inner``, are counted, where these are given; both are starts of steps.
     """
 
-    def __init__(self, weights: list[int], n_baskets: int):
+    def __init__(self, weights: list[int], n_baskets: int, outer: int | None = None, inner: int | None = None):
         self.n_baskets = max(1, n_baskets)
+        self.outer, self.inner = outer, inner
         self.step, self.unit_pairs, self.held_ids, self.sorted_pairs = BLOCK_ITEMS, UNIT_PAIRS, HELD_IDS, SORTED_PAIRS
         most = min(math.sqrt(self.unit_pairs * self.n_baskets), sum(weights) / _BLOCKS)
         firsts: list[int] = []
         self.weights: list[int] = []
         for i, weight in enumerate(weights):
-            if firsts and self.weights[-1] + weight <= most and (i + 1 - firsts[-1]) * self.step <= _WIDEST:
+            joins = i * self.step not in (outer, inner) and self.weights[-1:] and self.weights[-1] + weight <= most
+            if joins and (i + 1 - firsts[-1]) * self.step <= _WIDEST:
                 self.weights[-1] += weight
             else:
                 firsts.append(i)
@@ -61,14 +64,20 @@ class Loads:
     def shares(self, one: int, other: int) -> int:
         return 1 + int(self.weights[one] * self.weights[other] / self.n_baskets) // self.unit_pairs
 
+    def asked(self, one: int, other: int) -> bool:
+        """Whether pairs of these blocks are counted, ``one`` not behind ``other``."""
+        return self.outer is None or self.starts[one] < self.outer or self.starts[other] < self.inner
+
+    def _all_shares(self) -> list[int]:
+        blocks = range(len(self.weights))
+        return [self.shares(one, other) for one in blocks for other in blocks[one:] if self.asked(one, other)]
+
     def units(self) -> int:
         """How many units there are."""
-        blocks = range(len(self.weights))
-        return sum(self.shares(one, other) for one in blocks for other in blocks[one:])
+        return sum(self._all_shares())
 
     def any_shared(self) -> bool:
-        top = max(range(len(self.weights)), key=self.weights.__getitem__, default=None)
-        return top is not None and self.shares(top, top) > 1
+        return max(self._all_shares(), default=1) > 1
 
 
 def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -114,6 +123,8 @@ def pack(loads: Loads) -> Callable[[Batches], Batches]:
             present = [b for b in range(len(loads.starts)) if (place[b] >= 0).any()]
             for i, one in enumerate(present):
                 for other in present[i:]:
+                    if not loads.asked(one, other):
+                        continue
                     if one == other:
                         met = np.flatnonzero(place[one] >= 0)
                         met = met[count[place[one, met]] > 1]

@@ -89,6 +89,29 @@ def _number_items(rows: DataFrame, params: Params) -> DataFrame:
     return stage(ranked.select(F.col("item_id").alias("id"), "item", "n"), "frequent")
 
 
+@dataclass
+class Asked:
+    """Pairs asked for: one item in ``outer(item)``, or both in ``inner(item)``."""
+
+    inner: DataFrame
+    outer: DataFrame
+
+
+def _number_asked(numbered: DataFrame, asked: Asked) -> tuple[DataFrame, int, int]:
+    """``numbered`` anew, items of ``outer`` first, then those of ``inner``, and where each kind ends; both ends are starts of steps."""
+    kinds = asked.outer.select("item", F.lit(0).alias("kind")).unionByName(asked.inner.select("item", F.lit(1).alias("kind")))
+    kinds = kinds.groupBy("item").agg(F.min("kind").alias("kind"))
+    known = numbered.join(kinds, "item", "left").withColumn("kind", F.coalesce("kind", F.lit(2)))
+    # Inside a kind the order by frequency stays.
+    ranked = stage(dense_ids(known.select("kind", "id", "item", "n"), ["kind", "id"]).select("kind", "item", "n", "item_id"), "asked")
+    sizes = {r["kind"]: r["count"] for r in ranked.groupBy("kind").count().collect()}
+    steps = lambda n: -(-n // pairs.BLOCK_ITEMS) * pairs.BLOCK_ITEMS
+    outer = steps(sizes.get(0, 0))
+    inner = outer + steps(sizes.get(1, 0))
+    first = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, outer - sizes.get(0, 0)).otherwise(inner - sizes.get(0, 0) - sizes.get(1, 0))
+    return ranked.select((F.col("item_id") + first).alias("id"), "item", "n"), outer, inner
+
+
 def _few_counts(rows: DataFrame, numbered: DataFrame, width: int) -> tuple[DataFrame, DataFrame, int]:
     """Of ``rows(basket_id, item)``, repeated ones too, and few items: ``(a, b, n_ab)``, a < b, ``(id, n)`` and the number of baskets.
 
@@ -104,7 +127,9 @@ def _few_counts(rows: DataFrame, numbered: DataFrame, width: int) -> tuple[DataF
     return added.where("a < b").select("a", "b", F.col("n").alias("n_ab")), single, int(n_baskets)
 
 
-def _light_counts(rows: DataFrame, numbered: DataFrame, n_baskets: int, least: int = 1) -> DataFrame:
+def _light_counts(
+    rows: DataFrame, numbered: DataFrame, n_baskets: int, least: int = 1, outer: int | None = None, inner: int | None = None
+) -> DataFrame:
     """``rows(basket_id, id)`` of baskets of usual size -> ``(a, b, n_ab)``, a < b.
 
     Counted in blocks: a unit is a pair of item blocks and a share of the baskets, and counts
@@ -112,11 +137,12 @@ def _light_counts(rows: DataFrame, numbered: DataFrame, n_baskets: int, least: i
     one row for each basket. A basket goes to the units whose blocks it touches, many baskets
     packed in a row. A unit of frequent items, known by the sums of their frequencies, is
     spread over several shares; its counts are added up. Elsewhere a unit sees all
-    baskets, and pairs below ``least`` end there; with 1 all are returned.
+    baskets, and pairs below ``least`` end there; with 1 all are returned. ``outer`` and
+    ``inner`` say which pairs are counted, as for ``pairs.Loads``.
     """
     step = (F.col("id") / pairs.BLOCK_ITEMS).cast("int").alias("step")
     weights = {r["step"]: r["n"] for r in numbered.groupBy(step).agg(F.sum("n").alias("n")).toLocalIterator()}
-    loads = pairs.Loads([weights[i] for i in range(len(weights))], n_baskets)
+    loads = pairs.Loads([weights[i] for i in range(len(weights))], n_baskets, outer, inner)
     ids = F.sort_array(F.collect_list(F.col("id").cast("int"))).alias("ids")
     baskets = rows.groupBy("basket_id").agg(ids).where(F.size("ids") > 1)
     packed = baskets.select(F.xxhash64("basket_id").alias("hash"), "ids").mapInArrow(pairs.pack(loads), pairs.PACKED)
@@ -131,12 +157,13 @@ def _light_counts(rows: DataFrame, numbered: DataFrame, n_baskets: int, least: i
     return counted.where("whole").select("a", "b", F.col("n").alias("n_ab")).unionByName(added)
 
 
-def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
+def pair_counts(inc: Incidence, params: Params = DEFAULTS, asked: Asked | None = None) -> DataFrame:
     """Pairs of frequent items with enough common baskets: ``(a, b, n_a, n_b, n_ab, n)``, a < b; ``n`` is the number of baskets.
 
     Rare items go before any pair is formed. Few items are counted where their baskets are.
     Otherwise oversized baskets take ``_add_heavy``,
-    which gives the same counts without one task ever holding such a basket.
+    which gives the same counts without one task ever holding such a basket. With ``asked``
+    no other pairs are formed, but that few items are counted all the same.
     """
     numbered = _number_items(inc.rows, params)
     width = numbered.count()
@@ -151,19 +178,24 @@ def pair_counts(inc: Incidence, params: Params = DEFAULTS) -> DataFrame:
         numbered = _number_items(rows, params)
     sizes = rows.groupBy("basket_id").count()
     n_baskets, largest = map(int, sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("count"), F.lit(0))).first())
+    outer = inner = None
+    if asked:
+        numbered, outer, inner = _number_asked(numbered, asked)
+        # Without items of the first kind only pairs of the second are asked for.
+        numbered = numbered if outer else numbered.where(F.col("id") < inner)
     kept = rows.join(numbered, "item").select("basket_id", "id")
     if largest <= params.light_basket_items:
-        counted = _light_counts(kept, numbered, n_baskets, params.min_support)
+        counted = _light_counts(kept, numbered, n_baskets, params.min_support, outer, inner)
     else:
         kept = stage(kept, "kept")
         sizes = kept.groupBy("basket_id").count()
         big = stage(
             sizes.where(F.col("count") > params.light_basket_items).select("basket_id"), "big"
         )
-        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), numbered, n_baskets)
+        counted = _light_counts(kept.join(big, "basket_id", "left_anti"), numbered, n_baskets, 1, outer, inner)
         heavy = stage(kept.join(big, "basket_id", "left_semi").select("basket_id", "id"), "heavy")
         if not heavy.isEmpty():
-            counted = _add_heavy(counted, heavy, params)
+            counted = _add_heavy(counted, heavy, params, outer, inner)
     return _named_counts(counted, numbered, n_baskets, params)
 
 
@@ -183,7 +215,7 @@ def _named_counts(counted: DataFrame, numbered: DataFrame, n_baskets: int, param
     )
 
 
-def _add_heavy(light_counts: DataFrame, heavy: DataFrame, params: Params) -> DataFrame:
+def _add_heavy(light_counts: DataFrame, heavy: DataFrame, params: Params, outer: int | None = None, inner: int | None = None) -> DataFrame:
     """Add what oversized baskets ``heavy(basket_id, id)`` contribute, exactly.
 
     Let h be the number of oversized baskets an item is in. A pair's count from
@@ -220,6 +252,8 @@ def _add_heavy(light_counts: DataFrame, heavy: DataFrame, params: Params) -> Dat
     met = left.join(right, ["basket_id", "cl", "cr"]).where(
         (F.col("cl") < F.col("cr")) | (F.col("id") < F.col("id2"))
     )
+    if outer is not None:
+        met = met.where((F.least("id", "id2") < outer) | (F.greatest("id", "id2") < inner))
     direct = (
         met.groupBy(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
         .agg(F.count(F.lit(1)).alias("n_ab"))
@@ -257,19 +291,23 @@ def npmi(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     return F.when(n_ab == n, F.lit(1.0)).otherwise(F.least(value, F.lit(1.0)))
 
 
-def npmi_pairs(basket_items: DataFrame, params: Params = DEFAULTS, unique: bool = False, staged: bool = False) -> DataFrame:
+def npmi_pairs(
+    basket_items: DataFrame, params: Params = DEFAULTS, unique: bool = False, staged: bool = False, asked: Asked | None = None
+) -> DataFrame:
     """``basket_items(basket_id, item)`` -> ``(a, b, n_ab, npmi, score)``, a < b."""
     return (
-        pair_counts(incidence(basket_items, unique=unique, staged=staged), params)
+        pair_counts(incidence(basket_items, unique=unique, staged=staged), params, asked)
         .withColumn("npmi", npmi(F.col("n_ab"), F.col("n_a"), F.col("n_b"), F.col("n")))
         .where(F.col("npmi") >= params.min_score)
         .select("a", "b", "n_ab", "npmi", quantise(F.col("npmi")).alias("score"))
     )
 
 
-def affinity_edges(basket_items: DataFrame, params: Params = DEFAULTS, unique: bool = False, staged: bool = False) -> DataFrame:
-    """The stored graph: ``edges(item, partner, score)``, both directions."""
-    return symmetrise(npmi_pairs(basket_items, params, unique, staged))
+def affinity_edges(
+    basket_items: DataFrame, params: Params = DEFAULTS, unique: bool = False, staged: bool = False, asked: Asked | None = None
+) -> DataFrame:
+    """The stored graph: ``edges(item, partner, score)``, both directions; with ``asked`` the part that is asked for, at least."""
+    return symmetrise(npmi_pairs(basket_items, params, unique, staged, asked))
 
 
 def support_sizing(inc: Incidence, params: Params = DEFAULTS, bounds=(1, 2, 5, 10, 20, 50, 100)) -> DataFrame:

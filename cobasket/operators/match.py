@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cobasket.operators.coherence import few_items, inner_edges, met_inside
-from cobasket.operators.graph import undirected_max
+from cobasket.operators.graph import Asked, affinity_edges, undirected_max
 from cobasket.params import DEFAULTS, Params
 from cobasket.staging import stage, stage_counting
 
@@ -40,8 +40,10 @@ def match_counts(selections: DataFrame, basket_items: DataFrame, params: Params
     the rarest part of a selection walks the baskets, and items found in a large
     share of all baskets are looked up for the survivors alone.
     """
-    picked = selections.select("sel_id", "item").distinct()
-    frequency = basket_items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    picked = stage(selections.select("sel_id", "item").distinct(), "picked")
+    # Of the baskets only selected items are looked at.
+    postings = basket_items.select("basket_id", "item").join(picked.select("item").distinct(), "item", "left_semi")
+    frequency = postings.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
     sizes = picked.groupBy("sel_id").agg(F.count(F.lit(1)).alias("n"))
     rarest = Window.partitionBy("sel_id").orderBy("df", "item")
     placed = (
@@ -54,7 +56,6 @@ def match_counts(selections: DataFrame, basket_items: DataFrame, params: Params
         .withColumn("leading", F.col("place") <= F.col("n") - F.col("gate") + F.col("need"))
     )
     placed = stage(placed.select("sel_id", "item", "n", "gate", "need", "leading"), "placed")
-    postings = basket_items.select("basket_id", "item")
     survivors = (
         placed.where("leading")
         .join(postings, "item")
@@ -128,8 +129,9 @@ def pairing_fit(
     if near:
         met = met_inside(pairs, touched.distinct(), edges, "basket_id")
     else:
-        met = pairs.join(edges.select("item", "partner", "score"), "item").join(
-            postings.withColumnRenamed("item", "partner"), ["basket_id", "partner"], "left_semi"
+        # What a basket holds is met first: it has fewer items than an item may have partners.
+        met = pairs.join(touched.distinct().withColumnRenamed("item", "partner"), "basket_id").join(
+            edges.select("item", "partner", "score"), ["item", "partner"]
         )
     top = met.withColumn("_r", F.row_number().over(strongest)).where(F.col("_r") <= params.fit_topk)
     others = F.col("total") - F.coalesce("own", F.lit(0))
@@ -172,6 +174,24 @@ def basket_totals(baskets: DataFrame, basket_items: DataFrame) -> DataFrame:
     return basket_items.join(asked, "basket_id", "left_semi").groupBy("basket_id").agg(F.count(F.lit(1)).alias("total"))
 
 
+def held_items(pool: DataFrame, basket_items: DataFrame) -> DataFrame:
+    """The rows of ``basket_items`` of the pool's baskets, staged."""
+    return stage(basket_items.join(pool.select("basket_id").distinct(), "basket_id", "left_semi"), "held")
+
+
+def pool_edges(pool: DataFrame, selections: DataFrame, held: DataFrame, basket_items: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Of the graph of ``basket_items``, which are staged and do not repeat, the edges that scoring looks at.
+
+    These are edges between selected items, and those of the items that a basket of the pool
+    lacks; ``held`` are the items of the pool's baskets.
+    """
+    picked = selections.select("sel_id", "item").distinct()
+    wanted = pool.select("sel_id", "basket_id").join(picked, "sel_id")
+    lacking = wanted.join(held.select("basket_id", "item"), ["basket_id", "item"], "left_anti")
+    asked = Asked(picked.select("item").distinct(), stage(lacking.select("item").distinct(), "lacking"))
+    return stage(affinity_edges(basket_items, params, unique=True, staged=True, asked=asked), "edges")
+
+
 def score_matches(
     pool: DataFrame, selections: DataFrame, basket_items: DataFrame, edges: DataFrame, params: Params = DEFAULTS,
     symmetric: bool = False,
@@ -298,18 +318,23 @@ def basket_matches(
     selections: DataFrame,
     baskets: DataFrame,
     basket_items: DataFrame,
-    edges: DataFrame,
+    edges: DataFrame | None,
     params: Params = DEFAULTS,
     symmetric: bool = False,
 ) -> DataFrame:
     """The ranked answer: ``(sel_id, rank, basket_id, title, url, lang, used, suggested, missing, score)``.
 
-    ``selections(sel_id, item, lang)``, ``baskets(basket_id, title, url, lang)``.
+    ``selections(sel_id, item, lang)``, ``baskets(basket_id, title, url, lang)``. Without
+    ``edges`` they are those of ``pool_edges``.
     """
-    edges = stage(edges if symmetric else undirected_max(edges), "edges")
     langs = selections.groupBy("sel_id").agg(F.min("lang").alias("lang"))
-    pool = pick_pool(match_counts(selections, basket_items, params), langs, baskets, params)
-    scored, used, leftovers = score_best(pool, selections, basket_items, edges, params, symmetric=True)
+    pool = stage(pick_pool(match_counts(selections, basket_items, params), langs, baskets, params), "pool")
+    held = held_items(pool, basket_items)
+    if edges is None:
+        edges = pool_edges(pool, selections, held, basket_items, params)
+    else:
+        edges = stage(edges if symmetric else undirected_max(edges), "edges")
+    scored, used, leftovers = score_best(pool, selections, held, edges, params, symmetric=True)
     best = stage(rank_matches(scored, params), "best")
     keys = ["sel_id", "basket_id"]
     # At most match_limit baskets per selection, each with the selection's own items.

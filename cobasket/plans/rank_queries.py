@@ -315,10 +315,11 @@ SELECT sel_id, basket_id, tier, matched, extras, round(pairing, 9) AS pairing, r
        round(score, 9) AS score FROM sd""")
 def basket_match_score(spark, sf_dir):
     selections, postings = text_selections(spark, sf_dir), text_basket_items(spark, sf_dir)
-    edges = stage(g.affinity_edges(postings, unique=True), "edges")
     counted = match.match_counts(selections, postings)
-    pool = match.pick_pool(counted, selections.select("sel_id", "lang").distinct(), text_baskets(spark, sf_dir))
-    scored = match.score_matches(pool, selections, postings, edges, symmetric=True)[0]
+    pool = stage(match.pick_pool(counted, selections.select("sel_id", "lang").distinct(), text_baskets(spark, sf_dir)), "pool")
+    held = match.held_items(pool, postings)
+    edges = match.pool_edges(pool, selections, held, postings)
+    scored = match.score_matches(pool, selections, held, edges, symmetric=True)[0]
     return _digits(scored, "pairing", "avg_fit", "score").select(
         "sel_id", "basket_id", "tier", "matched", "extras", "pairing", "avg_fit", "score"
     )
@@ -332,10 +333,7 @@ SELECT r.sel_id, rank, r.basket_id, 'doc ' || r.basket_id AS title, 'https://doc
        extras AS missing, round(score, 9) AS score
 FROM rk r WHERE rank <= 8""")
 def basket_matches(spark, sf_dir):
-    postings = text_basket_items(spark, sf_dir)
-    found = match.basket_matches(
-        text_selections(spark, sf_dir), text_baskets(spark, sf_dir), postings, g.affinity_edges(postings, unique=True), symmetric=True
-    )
+    found = match.basket_matches(text_selections(spark, sf_dir), text_baskets(spark, sf_dir), text_basket_items(spark, sf_dir), None)
     names = F.transform("suggested", lambda x: x["name"])
     return _digits(found, "score").withColumns(
         {"used": F.array_join("used", " "), "suggested": F.array_join(names, " ")}
